@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import design, records, spectral  # noqa: F401
+from . import design, records, results, spectral  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
