@@ -219,7 +219,7 @@ def density(df: DataFrame, keys: list[str], value: str, points: list[float], wid
     contributes once per point, and the points are summed before the shuffle.
     """
     v = F.col(value) if width is None else (F.floor(F.col(value) / width) + 0.5) * width
-    merged = df.groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__w"), F.sum(value).alias("__s1"), F.sum(F.col(value) * F.col(value)).alias("__s2"))
+    merged = df.groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
     spread = df.groupBy(*keys).agg(F.stddev(value).alias("__sd"), F.count(value).alias("__n"))
     spread = spread.select(*keys, "__n", (F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("__h"))
     rows = merged.join(broadcast_if_small(spread), keys)
@@ -268,7 +268,7 @@ def best_per_feature_count(tuning: DataFrame, keys: list[str], score: str, rest:
 
 def each_feature_count(df: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     """A row for every feature count 1..n of each key, null where there is no score."""
-    wanted = keys.withColumn("feat_n", F.explode(F.sequence(F.lit(1), F.lit(n))).cast("bigint"))
+    wanted = keys.withColumn("feat_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))))
     return wanted.join(df, [*keys.columns, "feat_n"], "left")
 
 
