@@ -52,26 +52,27 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.4,
     return numbered.withColumn("is_test", F.col("__rn") <= F.round(F.lit(share) * F.col("__n"))).drop("__h", "__n", "__rn")
 
 
-def repeated_kfold(
+def fold_rows(
     df: DataFrame, stratum: str, key: str, n_splits: int = 4, n_repeats: int = 3, seed: int = 973717
 ) -> DataFrame:
-    """Add one fold column per repeat (``fold_0``, ...), balanced inside every stratum.
+    """One row per observation and repeat (columns repeat, fold), balanced inside every stratum.
 
-    The first fold of a stratum is shifted by its id, so leftovers do not all
-    fall into fold 0.
+    All repeats are numbered in one pass. The first fold of a stratum is shifted
+    by its id, so leftovers do not all fall into fold 0.
     """
-    out = df
-    for r in range(n_repeats):
-        tagged = out.withColumn("__h", digest(F.col(key), seed + r))
-        out = hash_ranked(tagged, [stratum], "__h", key, "__rn")
-        out = out.withColumn(f"fold_{r}", ((F.col("__rn") - 1 + F.col(stratum)) % n_splits).cast("bigint")).drop("__h", "__rn")
-    return out
+    repeats = F.sequence(F.lit(0).cast("bigint"), F.lit(n_repeats - 1).cast("bigint"))
+    rows = df.withColumn("repeat", F.explode(repeats)).withColumn("__h", digest(F.col(key), F.col("repeat") + seed))
+    numbered = hash_ranked(rows, [stratum, "repeat"], "__h", key, "__rn")
+    return numbered.withColumn("fold", ((F.col("__rn") - 1 + F.col(stratum)) % n_splits).cast("bigint")).drop("__h", "__rn")
 
 
-def fold_rows(df: DataFrame, n_repeats: int = 3) -> DataFrame:
-    """One row per observation and repeat (columns repeat, fold)."""
-    parts = [F.struct(F.lit(r).cast("bigint").alias("repeat"), F.col(f"fold_{r}").alias("fold")) for r in range(n_repeats)]
-    return df.withColumn("__f", F.explode(F.array(*parts))).select("*", "__f.*").drop("__f")
+def repeated_kfold(
+    df: DataFrame, stratum: str, key: str, n_splits: int = 4, n_repeats: int = 3, seed: int = 973717
+) -> DataFrame:
+    """Add one fold column per repeat (``fold_0``, ...); ``key`` is unique."""
+    rows = fold_rows(df.select(stratum, key), stratum, key, n_splits, n_repeats, seed)
+    picks = [F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(n_repeats)]
+    return df.join(rows.groupBy(key).agg(*picks), key)
 
 
 def fold_proportions(folds: DataFrame, stratum: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indices as I
 from ..operators import design as D
+from ..operators import impute as N
 from ..operators import pixels as P
 from . import views as V
 from .registry import query
@@ -83,8 +84,8 @@ def stratified_split(s, d):
 
 
 def folds(s, d):
-    rows = D.repeated_kfold(observations(s, d).select("plot_id", "dataset_id"), "dataset_id", "plot_id", seed=SEED)
-    return D.fold_rows(rows).select("plot_id", "dataset_id", "repeat", "fold")
+    rows = D.fold_rows(observations(s, d).select("plot_id", "dataset_id"), "dataset_id", "plot_id", seed=SEED)
+    return rows.select("plot_id", "dataset_id", "repeat", "fold")
 
 
 @query("repeated_stratified_kfold", V.sql(_FOLDS, "ground", "spectra", obs=_OBS))
@@ -128,3 +129,36 @@ def fold_proportions_wide(s, d):
 def assemble_features(s, d):
     x = D.assemble_features(observations(s, d), extra=["rate"])
     return long(x, "plot_id", column="x").withColumnRenamed("band", "pos")
+
+
+def gappy(s, d):
+    """Spectra with values missing in a fixed pattern."""
+    hole = lambda v, k: F.when((F.col("plot_id") * 7 + k) % 41 != 0, v)
+    return V.spectra(s, d).select("plot_id", F.transform("refl", hole).alias("x"))
+
+
+@query("impute_iterative")
+def impute_iterative(s, d):
+    out = N.impute_iterative(gappy(s, d), 64)
+    return long(out, "plot_id", column="x").filter((F.col("plot_id") * 7 + F.col("band")) % 41 == 0)
+
+
+_GAPS = """SELECT plot_id, k, CASE WHEN (plot_id * 7 + k) % 41 <> 0 THEN r END AS v FROM
+  (SELECT plot_id, unnest(refl) AS r, unnest(range(64)) AS k FROM spectra)"""
+
+
+@query(
+    "impute_knn",
+    V.sql(
+        """SELECT plot_id, k AS band, round(avg(v), 6) AS value FROM
+        (SELECT q.plot_id, q.k, n.v, row_number() OVER (PARTITION BY q.plot_id, q.k ORDER BY p.dist, p.b) AS rn
+         FROM g q JOIN p ON p.a = q.plot_id JOIN g n ON n.plot_id = p.b AND n.k = q.k AND n.v IS NOT NULL WHERE q.v IS NULL)
+        WHERE rn <= 2 GROUP BY plot_id, k""",
+        "spectra",
+        g=_GAPS,
+        p="SELECT a.plot_id AS a, b.plot_id AS b, 64.0 / count(*) * sum((a.v - b.v) * (a.v - b.v)) AS dist FROM g a JOIN g b ON a.k = b.k AND a.plot_id <> b.plot_id AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2",
+    ),
+)
+def impute_knn(s, d):
+    out = N.impute_knn(gappy(s, d), 64, "plot_id")
+    return long(out, "plot_id", column="x").filter((F.col("plot_id") * 7 + F.col("band")) % 41 == 0)

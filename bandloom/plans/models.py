@@ -11,8 +11,9 @@ from ..operators import gram as M
 from ..operators import scores as R
 from ..operators import selection as L
 from ..operators import sweep as W
+from ..session import checkpointed
 from . import views as V
-from .design import SEED, _FOLDS, _OBS, folds, observations
+from .design import SEED, _FOLDS, _OBS, observations
 from .registry import query
 from .results import rounded
 
@@ -30,9 +31,11 @@ def study(s, d):
 
 
 def training(s, d):
+    """Training rows with folds, stored once: the sweep reads them several times."""
     train = study(s, d).filter(~F.col("is_test"))
-    ids = train.select("plot_id", "dataset_id").distinct()
-    return train.join(D.repeated_kfold(ids, "dataset_id", "plot_id", seed=SEED).drop("dataset_id"), "plot_id")
+    ids = train.filter("feat = 'reflectance'").select("plot_id", "dataset_id")
+    folds = D.repeated_kfold(ids, "dataset_id", "plot_id", seed=SEED).drop("dataset_id")
+    return checkpointed(train.join(folds, "plot_id"))
 
 
 _TRIPLE = [5, 20, 40]
