@@ -125,8 +125,8 @@ def ml_lambda(df: DataFrame, keys: list[str], y: str = "y", member: str = "membe
     grid is narrowed around the best and its vertex interpolated at the end.
     """
     points, step = 41, (high - low) / 40
-    ref = df.groupBy(*keys).agg(F.avg(y).alias("ref"), F.first(F.size(member)).alias("k"))
-    centre = ref.select(*keys, "ref", F.array_repeat(F.lit((low + high) / 2), F.col("k")).alias("lambdas"))
+    ref = df.groupBy(*keys).agg(F.avg(y).alias("__ref"), F.first(F.size(member)).alias("__k"))
+    centre = ref.select(*keys, "__ref", F.array_repeat(F.lit((low + high) / 2), F.col("__k")).alias("lambdas"))
     for _ in range(refine + 1):
         centre = _lambda_pass(df, keys, y, member, broadcast_if_small(centre), points, step)
         points, step = 21, step / 10
@@ -134,14 +134,14 @@ def ml_lambda(df: DataFrame, keys: list[str], y: str = "y", member: str = "membe
 
 
 def _lambda_pass(df, keys, y, member, centre, points, step):
-    rows = df.select(*keys, y, F.transform(member, lambda m: m.cast("double")).alias("m")).join(centre, keys)
+    rows = df.select(*keys, y, F.transform(member, lambda m: m.cast("double")).alias("__m")).join(centre, keys)
     fields = [rows.schema[k] for k in keys]
     schema = T.StructType(
-        [*fields, T.StructField("split", T.LongType()), T.StructField("n", T.DoubleType()), T.StructField("slog", T.DoubleType())]
-        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("s1", "s2")]
+        [*fields, T.StructField("split", T.LongType()), T.StructField("__n", T.DoubleType()), T.StructField("__slog", T.DoubleType())]
+        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__s1", "__s2")]
     )
     offsets = (np.arange(points) - points // 2) * step
-    cols = rows.select(*keys, y, "m", "ref", "lambdas")
+    cols = rows.select(*keys, y, "__m", "__ref", "lambdas")
 
     def sums(batches):
         for b in batches:
@@ -154,7 +154,7 @@ def _lambda_pass(df, keys, y, member, centre, points, step):
             groups: dict[tuple, list[int]] = {}
             for i, k in enumerate(labels):
                 groups.setdefault(k, []).append(i)
-            out = {c: [] for c in ("key", "split", "n", "slog", "s1", "s2")}
+            out = {c: [] for c in ("key", "split", "__n", "__slog", "__s1", "__s2")}
             for k, at in groups.items():
                 first, ys = at[0], yv[at]
                 for s in range(n_splits):
@@ -164,33 +164,33 @@ def _lambda_pass(df, keys, y, member, centre, points, step):
                     w = m[at, s]
                     out["key"].append(k)
                     out["split"].append(s)
-                    out["n"].append(w.sum())
-                    out["slog"].append((w * np.sign(ys) * np.log1p(np.abs(ys))).sum())
-                    out["s1"].append(w @ psi)
-                    out["s2"].append(w @ psi**2)
+                    out["__n"].append(w.sum())
+                    out["__slog"].append((w * np.sign(ys) * np.log1p(np.abs(ys))).sum())
+                    out["__s1"].append(w @ psi)
+                    out["__s2"].append(w @ psi**2)
             lead = [pa.array([k[i] for k in out["key"]], type=b.column(i).type) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays(
-                [*lead, pa.array(out["split"], pa.int64()), pa.array(out["n"]), pa.array(out["slog"]), matrix_list(np.array(out["s1"])), matrix_list(np.array(out["s2"]))],
+                [*lead, pa.array(out["split"], pa.int64()), pa.array(out["__n"]), pa.array(out["__slog"]), matrix_list(np.array(out["__s1"])), matrix_list(np.array(out["__s2"]))],
                 names=schema.names,
             )
 
     vec = lambda c: Summarizer.metrics("sum").summary(array_to_vector(c)).alias(c)
-    total = cols.mapInArrow(sums, schema).groupBy(*keys, "split").agg(F.sum("n").alias("n"), F.sum("slog").alias("slog"), vec("s1"), vec("s2"))
-    total = total.select(*keys, "split", "n", "slog", vector_to_array("s1.sum").alias("s1"), vector_to_array("s2.sum").alias("s2"))
+    total = cols.mapInArrow(sums, schema).groupBy(*keys, "split").agg(F.sum("__n").alias("__n"), F.sum("__slog").alias("__slog"), vec("__s1"), vec("__s2"))
+    total = total.select(*keys, "split", "__n", "__slog", vector_to_array("__s1.sum").alias("__s1"), vector_to_array("__s2.sum").alias("__s2"))
     back = total.join(centre, keys)
     grid = lambda j: F.element_at("lambdas", (F.col("split") + 1).cast("int")) + (j - F.lit(points // 2)) * F.lit(step)
 
     def loglik(j: Column) -> Column:
-        s1, s2 = F.element_at("s1", j + 1), F.element_at("s2", j + 1)
-        var = (s2 - s1 * s1 / F.col("n")) / F.col("n")
-        return F.when(var > 0, -F.col("n") / 2 * F.log(var) + (grid(j) - 1) * F.col("slog"))
+        s1, s2 = F.element_at("__s1", j + 1), F.element_at("__s2", j + 1)
+        var = (s2 - s1 * s1 / F.col("__n")) / F.col("__n")
+        return F.when(var > 0, -F.col("__n") / 2 * F.log(var) + (grid(j) - 1) * F.col("__slog"))
 
     ll = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda j: F.coalesce(loglik(j), F.lit(float("-inf"))))
-    best = back.withColumn("ll", ll).withColumn("j", F.array_position("ll", F.array_max("ll")).cast("int") - 1)
-    a, b, c = (F.try_element_at("ll", F.greatest(F.col("j") + d, F.lit(1))) for d in (0, 1, 2))
+    best = back.withColumn("__ll", ll).withColumn("__j", F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
+    a, b, c = (F.try_element_at("__ll", F.greatest(F.col("__j") + d, F.lit(1))) for d in (0, 1, 2))
     bend = a - 2 * b + c
-    shift = F.when((F.col("j") > 0) & (F.col("j") < points - 1) & (bend < 0), 0.5 * (a - c) / bend)
-    lam = grid(F.col("j")) + F.coalesce(shift, F.lit(0.0)) * step
+    shift = F.when((F.col("__j") > 0) & (F.col("__j") < points - 1) & (bend < 0), 0.5 * (a - c) / bend)
+    lam = grid(F.col("__j")) + F.coalesce(shift, F.lit(0.0)) * step
     # One value per split of a key: a short array in split order.
-    packed = best.groupBy(*keys, "ref").agg(F.sort_array(F.collect_list(F.struct("split", lam.alias("lam")))).alias("p"))
-    return packed.select(*keys, "ref", F.transform("p", lambda s: s["lam"]).alias("lambdas"))
+    packed = best.groupBy(*keys, "__ref").agg(F.sort_array(F.collect_list(F.struct("split", lam.alias("__lam")))).alias("__p"))
+    return packed.select(*keys, "__ref", F.transform("__p", lambda s: s["__lam"]).alias("lambdas"))
