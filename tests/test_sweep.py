@@ -133,7 +133,8 @@ def test_sweep_end_to_end(data):
     assert set(tuning.model) == {"lasso", "pls"}
     # Sets too small for latent variables stay as empty rows.
     assert tuning[(tuning.model == "pls") & (tuning.feat_n < 2)].cand.isna().all()
-    assert (tuning[tuning.model == "pls"].n_components.dropna() <= tuning[tuning.model == "pls"].feat_n).all()
+    pls = tuning[tuning.n_components.notna()]
+    assert (pls.n_components <= pls.feat_n).all()
     best = W.best_by_count(run["tuning"], PLAN)
     assert best.groupBy("k", "model", "feat_n").count().filter("count > 1").isEmpty()
     models = W.final_models(run["stats"], run["lambdas"], best, PLAN)
