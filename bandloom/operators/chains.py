@@ -31,19 +31,19 @@ def best_runs(df: DataFrame, keys: list[str], like: str, maximize: bool = True)
 def simulation_percentiles(df: DataFrame, keys: list[str], columns: list[str], percents: list[float]) -> DataFrame:
     """Percentiles of every simulation column, one row per column."""
     wide = exact_percentiles(df, keys, columns, [p / 100 for p in percents])
-    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_pctl").alias("p")) for c in columns])
-    out = wide.select(*keys, F.explode(rows).alias("r"))
-    return out.select(*keys, "r.name", *[F.col("r.p")[i].alias(f"p{p:g}".replace(".", "_")) for i, p in enumerate(percents)])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_pctl").alias("__p")) for c in columns])
+    out = wide.select(*keys, F.explode(rows).alias("__r"))
+    return out.select(*keys, "__r.name", *[F.col("__r.__p")[i].alias(f"p{p:g}".replace(".", "_")) for i, p in enumerate(percents)])
 
 
 def welch_t(df: DataFrame, keys: list[str], a: str, b: str, p_value: bool = True) -> DataFrame:
     """Unequal-variance t statistic of two columns, its degrees of freedom and p."""
     s = df.groupBy(*keys).agg(
-        *[f(c).alias(f"{n}{i}") for i, c in enumerate((a, b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
+        *[f(c).alias(f"__{n}{i}") for i, c in enumerate((a, b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
     )
-    e0, e1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    df_ = F.pow(e0 + e1, F.lit(2.0)) / (e0 * e0 / (F.col("n0") - 1) + e1 * e1 / (F.col("n1") - 1))
-    out = s.select(*keys, ((F.col("m0") - F.col("m1")) / F.sqrt(e0 + e1)).alias("t"), df_.alias("df"))
+    e0, e1 = F.col("__v0") / F.col("__n0"), F.col("__v1") / F.col("__n1")
+    df_ = F.pow(e0 + e1, F.lit(2.0)) / (e0 * e0 / (F.col("__n0") - 1) + e1 * e1 / (F.col("__n1") - 1))
+    out = s.select(*keys, ((F.col("__m0") - F.col("__m1")) / F.sqrt(e0 + e1)).alias("t"), df_.alias("df"))
     return out.withColumn("p", t_p_value("t", "df")) if p_value else out
 
 
@@ -73,8 +73,8 @@ def running_best(df: DataFrame, keys: list[str], like: str, idx: str = "idx") ->
 
 def first_below_mean(df: DataFrame, keys: list[str], like: str, level: float = 0.999, idx: str = "idx") -> DataFrame:
     """First run whose best-so-far is under the upper confidence limit of the mean."""
-    s = df.groupBy(*keys).agg(F.avg(like).alias("mean"), F.stddev(like).alias("sd"), F.count(like).alias("n"))
-    half = t_factor(level)((F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt("n")
+    s = df.groupBy(*keys).agg(F.avg(like).alias("mean"), F.stddev(like).alias("__sd"), F.count(like).alias("__n"))
+    half = t_factor(level)((F.col("__n") - 1).cast("double")) * F.col("__sd") / F.sqrt("__n")
     s = s.select(*keys, "mean", (F.col("mean") + half).alias("upper"))
     # The best falls below a limit exactly when some run first does.
     hit = F.min(F.when(F.col(like) < F.col("upper"), F.col(idx)))
@@ -88,12 +88,12 @@ def long_params(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 def gelman_rubin(df: DataFrame, chain: str, columns: list[str], idx: str = "idx") -> DataFrame:
     """Potential scale reduction of each column over chains cut to the shortest length."""
-    n = df.groupBy(chain).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
+    n = df.groupBy(chain).agg(F.count(F.lit(1)).alias("__n")).agg(F.min("__n")).scalar()
     rows = long_params(df.filter(F.col(idx) <= n), [chain], columns)
-    per = rows.groupBy("name", chain).agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n"))
-    s = per.groupBy("name").agg(F.var_samp("m").alias("b"), F.avg("v").alias("w"), F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
-    s2 = F.col("w") * (F.col("n") - 1) / F.col("n") + F.col("b")
-    return s.select("name", ((s2 + F.col("b") / F.col("k")) / F.col("w")).alias("r_hat"))
+    per = rows.groupBy("name", chain).agg(F.avg("value").alias("__m"), F.var_samp("value").alias("__v"), F.count("value").alias("__n"))
+    s = per.groupBy("name").agg(F.var_samp("__m").alias("__b"), F.avg("__v").alias("__w"), F.count(F.lit(1)).alias("__k"), F.min("__n").alias("__n"))
+    s2 = F.col("__w") * (F.col("__n") - 1) / F.col("__n") + F.col("__b")
+    return s.select("name", ((s2 + F.col("__b") / F.col("__k")) / F.col("__w")).alias("r_hat"))
 
 
 def geweke(df: DataFrame, keys: list[str], value: str, idx: str = "idx", intervals: int = 20) -> DataFrame:
@@ -114,12 +114,12 @@ def geweke(df: DataFrame, keys: list[str], value: str, idx: str = "idx", interva
 
 def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: list[int], idx: str = "idx") -> DataFrame:
     """Correlation of a trace with itself at given lags, by an equality join on the run number."""
-    s = df.groupBy(*keys).agg(F.avg(value).alias("m"), F.var_pop(value).alias("c0"), F.count(value).alias("n"))
-    x = df.select(*keys, idx, F.col(value).alias("x"))
-    shifted = x.select(*keys, F.explode(F.array(*[F.lit(h) for h in lags])).alias("lag"), F.col(idx).alias("__i"), F.col("x").alias("x0"))
+    s = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.var_pop(value).alias("__c0"), F.count(value).alias("__n"))
+    x = df.select(*keys, idx, F.col(value).alias("__x"))
+    shifted = x.select(*keys, F.explode(F.array(*[F.lit(h) for h in lags])).alias("lag"), F.col(idx).alias("__i"), F.col("__x").alias("__x0"))
     shifted = shifted.withColumn(idx, F.col("__i") + F.col("lag")).drop("__i")
     pairs = x.join(shifted, [*keys, idx]).join(broadcast_if_small(s), keys)
-    r = F.sum((F.col("x") - F.col("m")) * (F.col("x0") - F.col("m"))) / F.first(F.col("n") * F.col("c0"))
+    r = F.sum((F.col("__x") - F.col("__m")) * (F.col("__x0") - F.col("__m"))) / F.first(F.col("__n") * F.col("__c0"))
     return pairs.groupBy(*keys, "lag").agg(r.alias("r"))
 
 
@@ -129,7 +129,7 @@ def correlations(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     keyed, gk = (df, keys) if keys else (df.withColumn("__all", F.lit(0)), ["__all"])
     wide = keyed.groupBy(*gk).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
-    return wide.select(*keys, F.explode(rows).alias("p")).select(*keys, "p.*")
+    return wide.select(*keys, F.explode(rows).alias("__p")).select(*keys, "__p.*")
 
 
 def bounds(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

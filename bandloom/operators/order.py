@@ -1,8 +1,9 @@
 """Ordered computations over groups of any size.
 
-A plain window puts a whole group into one task. The functions here cut a
-group's value range into cells at approximate quantiles, work inside the cells
-and carry small per-cell totals across them. The quantiles only balance the
+A plain window puts a whole group into one task, which is right for groups seen
+to be small. For larger ones the functions here cut a group's value range into
+cells at approximate quantiles, work inside the cells and carry small per-cell
+totals across them. The quantiles only balance the
 work: results are exact whatever their error is. A value frequent enough to
 fill a cell gets a cell of its own, which is cut again by the second order
 column, so ties do not pile up either.
@@ -45,12 +46,12 @@ def _cell_of(value: Column, splits: Column) -> Column:
     return F.coalesce(2 * below + F.array_contains(splits, value).cast("int"), F.lit(-1))
 
 
-def with_cells(df: DataFrame, keys: list[str], order: list[str], cells: int = 32) -> DataFrame:
+def with_cells(df: DataFrame, keys: list[str], order: list[str], cells: int = 256) -> DataFrame:
     """Add the cell columns for an ascending order by one or two numeric or time columns."""
     probs = [i / cells for i in range(1, cells)]
     splits = df.groupBy(*keys).agg(
         *[
-            F.array_distinct(F.percentile_approx(c, probs, 1000)).alias(f"__split{i}")
+            F.array_distinct(F.percentile_approx(c, probs, 4 * cells)).alias(f"__split{i}")
             for i, c in enumerate(order[:2])
         ]
     )
@@ -88,25 +89,43 @@ def _carry(tagged: DataFrame, keys: list[str], order: list[str], outs: dict) ->
     return rows.drop(_CELL, _SUB)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], outs: dict, cells: int = 32) -> DataFrame:
+def _whole(df: DataFrame, keys: list[str], order: list[str], outs: dict) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *[_FOLDS[how](expr).over(w).alias(out) for out, (how, expr) in outs.items()])
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], outs: dict, cells: int = 256, small_group_rows: int | None = None
+) -> DataFrame:
     """Running sums, minima and maxima from the start of each group up to each row.
 
     ``outs`` maps an output name to ``(how, column)`` with ``how`` one of sum,
     min, max. ``order`` must make rows unique within a group; its first two
     columns must be numbers or times. Keys must not be null.
     """
+    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    if largest_group(df, keys) <= limit:
+        return _whole(df, keys, order, outs)
     return _carry(with_cells(df, keys, order, cells), keys, order, outs)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", cells: int = 32) -> DataFrame:
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", cells: int = 256, small_group_rows: int | None = None
+) -> DataFrame:
     """1-based position of each row in its group (``row_number`` for groups of any size)."""
-    return running(df, keys, order, {out: ("sum", F.lit(1))}, cells)
+    return running(df, keys, order, {out: ("sum", F.lit(1))}, cells, small_group_rows)
 
 
-def hash_ranked(df: DataFrame, keys: list[str], hash_col: str, tie: str, out: str = "rn", prefix: int = 3) -> DataFrame:
+def hash_ranked(
+    df: DataFrame, keys: list[str], hash_col: str, tie: str, out: str = "rn", prefix: int = 3, small_group_rows: int | None = None
+) -> DataFrame:
     """Position by a hex digest. Digests are uniform, so their prefix is the cell."""
+    outs = {out: ("sum", F.lit(1))}
+    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    if largest_group(df, keys) <= limit:
+        return _whole(df, keys, [hash_col, tie], outs)
     tagged = df.withColumn(_CELL, F.substring(hash_col, 1, prefix)).withColumn(_SUB, F.lit(0))
-    return _carry(tagged, keys, [hash_col, tie], {out: ("sum", F.lit(1))})
+    return _carry(tagged, keys, [hash_col, tie], outs)
 
 
 def exact_percentiles(
@@ -114,7 +133,7 @@ def exact_percentiles(
     keys: list[str],
     values: list[str],
     probs: list[float],
-    small_group_rows: int = SMALL_GROUP_ROWS,
+    small_group_rows: int | None = None,
     epsilon: float = 1e-4,
     largest: int | None = None,
 ) -> DataFrame:
@@ -125,7 +144,8 @@ def exact_percentiles(
     only the rows of the narrow cells that hold a wanted rank are ordered. Pass
     ``largest`` when the size of the largest group is known already.
     """
-    if (largest_group(df, keys) if largest is None else largest) <= small_group_rows:
+    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         p = F.array(*[F.lit(float(x)) for x in probs])
         return df.groupBy(*keys).agg(*[F.percentile(v, p).alias(f"{v}_pctl") for v in values])
     return _located_percentiles(df, keys, values, probs, epsilon)

@@ -48,8 +48,8 @@ def optimum_feature_count(scores: DataFrame, keys: list[str], metric: str = "met
     before the shuffle and no group is sorted.
     """
     best = F.min(F.struct(_loss(metric, "value").alias("loss"), F.col("feat_n"), F.col("value")))
-    out = scores.filter(F.col("value").isNotNull()).groupBy(*keys).agg(best.alias("b"))
-    return out.select(*keys, F.col("b.feat_n").alias("n_feats_opt"), F.col("b.value").alias("value"))
+    out = scores.filter(F.col("value").isNotNull()).groupBy(*keys).agg(best.alias("__b"))
+    return out.select(*keys, F.col("__b.feat_n").alias("n_feats_opt"), F.col("__b.value").alias("value"))
 
 
 def stack_metrics(frames: dict[str, DataFrame], label: str = "metric") -> DataFrame:
@@ -89,8 +89,8 @@ def class_proportions(df: DataFrame, keys: list[str], value: str, lows: list[flo
     hits = [F.count_if(F.col(value).between(lo, lo + width)).alias(f"__c{i}") for i, lo in enumerate(lows)]
     wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *hits)
     rows = F.array(*[F.struct(F.lit(float(lo)).alias("class_min_val"), F.col(f"__c{i}").alias("c")) for i, lo in enumerate(lows)])
-    return wide.select(*keys, F.explode(rows).alias("r"), "__n").select(
-        *keys, "r.class_min_val", (100.0 * F.col("r.c") / F.col("__n")).alias("proportion")
+    return wide.select(*keys, F.explode(rows).alias("__r"), "__n").select(
+        *keys, "__r.class_min_val", (100.0 * F.col("__r.c") / F.col("__n")).alias("proportion")
     )
 
 
@@ -122,20 +122,20 @@ def percentile_of_score(df: DataFrame, keys: list[str], value: str, score: float
 
 def extreme_scenarios(df: DataFrame, keys: list[str], value: str = "value", idx: str = "grid_idx") -> DataFrame:
     """Scenarios with the lowest and highest mean value over models."""
-    means = df.groupBy(*keys, idx).agg(F.avg(value).alias("m"))
-    low = F.min(F.struct("m", idx))
-    high = F.max(F.struct(F.col("m"), (-F.col(idx)).alias("i")))
-    out = means.groupBy(*keys).agg(low.alias("lo"), high.alias("hi"))
+    means = df.groupBy(*keys, idx).agg(F.avg(value).alias("__m"))
+    low = F.min(F.struct("__m", idx))
+    high = F.max(F.struct(F.col("__m"), (-F.col(idx)).alias("__i")))
+    out = means.groupBy(*keys).agg(low.alias("__lo"), high.alias("__hi"))
     return out.select(
-        *keys, F.col(f"lo.{idx}").alias("idx_min"), F.col("lo.m").alias("value_min"), (-F.col("hi.i")).alias("idx_max"), F.col("hi.m").alias("value_max")
+        *keys, F.col(f"__lo.{idx}").alias("idx_min"), F.col("__lo.__m").alias("value_min"), (-F.col("__hi.__i")).alias("idx_max"), F.col("__hi.__m").alias("value_max")
     )
 
 
 def relative_rmse(df: DataFrame, response: DataFrame, keys: list[str], value: str = "value", y: str = "y") -> DataFrame:
     """Mean value per scenario in percent of the mean response (a scalar subquery)."""
     scale = response.agg(F.avg(y)).scalar()
-    means = df.groupBy(*keys).agg(F.avg(value).alias("m"))
-    return means.select(*keys, (F.col("m") / scale * 100).alias("rrmse"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("__m"))
+    return means.select(*keys, (F.col("__m") / scale * 100).alias("rrmse"))
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -178,16 +178,16 @@ def stratified_error(df: DataFrame, keys: list[str], edges: list[float], y: str
         cols.append((i, F.avg(F.when(cond, err)).alias(f"__m{i}")))
     wide = df.groupBy(*keys).agg(*[c for _, c in cols])
     rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("level"), F.col(f"__m{i}").alias("mae")) for i, _ in cols])
-    return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    return wide.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.*")
 
 
 def score_ranges(df: DataFrame, keys: list[str], columns: list[str], pad: float = 0.05) -> DataFrame:
     """Common axis range of several score columns, padded on both sides."""
     lo = F.least(*[F.min(c) for c in columns]) if len(columns) > 1 else F.min(columns[0])
     hi = F.greatest(*[F.max(c) for c in columns]) if len(columns) > 1 else F.max(columns[0])
-    out = df.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"))
-    span = (F.col("hi") - F.col("lo")) * pad
-    return out.select(*keys, (F.col("lo") - span).alias("low"), (F.col("hi") + span).alias("high"))
+    out = df.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"))
+    span = (F.col("__hi") - F.col("__lo")) * pad
+    return out.select(*keys, (F.col("__lo") - span).alias("low"), (F.col("__hi") + span).alias("high"))
 
 
 def counts_by_month(df: DataFrame, study: str, ts: str, many: int = 15) -> DataFrame:
@@ -200,9 +200,9 @@ def counts_by_month(df: DataFrame, study: str, ts: str, many: int = 15) -> DataF
 
 def optimum_wavelengths(df: DataFrame, keys: list[str], score: str, feats: str, wl: tuple[float, ...]) -> DataFrame:
     """Wavelengths of the features at the lowest score."""
-    best = df.groupBy(*keys).agg(F.min(F.struct(F.col(score), F.col(feats))).alias("b"))
+    best = df.groupBy(*keys).agg(F.min(F.struct(F.col(score), F.col(feats))).alias("__b"))
     table = F.array(*[F.lit(float(w)) for w in wl])
-    return best.select(*keys, F.explode(f"b.{feats}").alias("band")).select(*keys, "band", F.element_at(table, F.col("band").cast("int") + 1).alias("wavelength"))
+    return best.select(*keys, F.explode(f"__b.{feats}").alias("band")).select(*keys, "band", F.element_at(table, F.col("band").cast("int") + 1).alias("wavelength"))
 
 
 def positive_scores(df: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
@@ -233,18 +233,16 @@ def density(df: DataFrame, keys: list[str], value: str, points: list[float], wid
 # --- tuning and score bookkeeping -------------------------------------------
 
 
-def best_candidate(cv: DataFrame, keys: list[str], cand: str = "cand") -> DataFrame:
+def best_candidate(cv: DataFrame, keys: list[str], cand: str = "cand", metrics: tuple[str, ...] = ("mae", "mse", "r2")) -> DataFrame:
     """Candidate with the lowest mean validation MAE, its mean and spread over the splits.
 
-    ``cv`` has one row per candidate and split with columns mae, mse and r2; the
-    smaller candidate number wins ties.
+    ``cv`` has one row per candidate and split with columns mae, mse, r2 (and any
+    other ``metrics``); the smaller candidate number wins ties.
     """
-    stats = cv.groupBy(*keys, cand).agg(
-        *[f(c).alias(f"{n}_{c}") for c in ("mae", "mse", "r2") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    )
+    stats = cv.groupBy(*keys, cand).agg(*[f(c).alias(f"{n}_{c}") for c in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     rest = [c for c in stats.columns if c not in (*keys, "mean_mae", cand)]
-    best = stats.groupBy(*keys).agg(F.min(F.struct("mean_mae", cand, *rest)).alias("b"))
-    return best.select(*keys, "b.*")
+    best = stats.groupBy(*keys).agg(F.min(F.struct("mean_mae", cand, *rest)).alias("__b"))
+    return best.select(*keys, "__b.*")
 
 
 def trim_components(sets: DataFrame, components: list[int], n_feats: str = "feat_n") -> DataFrame:
@@ -260,10 +258,10 @@ def best_per_feature_count(tuning: DataFrame, keys: list[str], score: str, rest:
     A feature count without any score is dropped, except the smallest one.
     """
     by = [*keys, "feat_n"]
-    best = tuning.groupBy(*by).agg(F.max(F.struct(F.col(score), *[(-F.col(c)).alias(c) for c in rest])).alias("b"))
+    best = tuning.groupBy(*by).agg(F.max(F.struct(F.col(score), *[(-F.col(c)).alias(c) for c in rest])).alias("__b"))
     small = tuning.groupBy(*keys).agg(F.min("feat_n").alias("__least"))
-    out = best.join(broadcast_if_small(small), keys).filter(F.col(f"b.{score}").isNotNull() | (F.col("feat_n") == F.col("__least")))
-    return out.select(*by, f"b.{score}", *[(-F.col(f"b.{c}")).alias(c) for c in rest])
+    out = best.join(broadcast_if_small(small), keys).filter(F.col(f"__b.{score}").isNotNull() | (F.col("feat_n") == F.col("__least")))
+    return out.select(*by, f"__b.{score}", *[(-F.col(f"__b.{c}")).alias(c) for c in rest])
 
 
 def each_feature_count(df: DataFrame, keys: DataFrame, n: int) -> DataFrame:
@@ -280,12 +278,12 @@ def param_summary(df: DataFrame, keys: list[str], params: list[str], n: int) ->
 
 def mode_share(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Most frequent value and its share of all rows (missing values count in the total)."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     known = F.col(value).isNotNull()
     out = counts.groupBy(*keys).agg(
-        F.max(F.when(known, F.struct(F.col("c"), (-F.col(value)).alias("v")))).alias("b"), F.sum("c").alias("n")
+        F.max(F.when(known, F.struct(F.col("__c"), (-F.col(value)).alias("__v")))).alias("__b"), F.sum("__c").alias("__n")
     )
-    return out.select(*keys, (-F.col("b.v")).alias("mode"), (F.col("b.c") / F.col("n")).alias("share"))
+    return out.select(*keys, (-F.col("__b.__v")).alias("mode"), (F.col("__b.__c") / F.col("__n")).alias("share"))
 
 
 def wide_by_feature_count(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import md5_uniform, poisson_weight
 from .grid import Grid
@@ -26,17 +29,17 @@ def variance_indices(cells: DataFrame, grid: Grid, keys: list[str], value: str =
     parts = []
     for step, stride in grid.strides().items():
         digit = grid.digit(step).cast("bigint")
-        parts.append(F.struct(F.lit(step).alias("step"), F.lit("S1").alias("kind"), digit.alias("cell")))
-        parts.append(F.struct(F.lit(step).alias("step"), F.lit("ST").alias("kind"), (F.col("grid_idx") - digit * stride).alias("cell")))
-    rows = cells.select(*keys, F.col(value).alias("v"), F.explode(F.array(*parts)).alias("g")).select(*keys, "v", "g.*")
-    means = rows.groupBy(*keys, "step", "kind", "cell").agg(F.avg("v").alias("m"), F.count("v").alias("n"))
-    mean = F.sum(F.col("m") * F.col("n")) / F.sum("n")
-    spread = means.groupBy(*keys, "step", "kind").agg(
-        (F.sum(F.col("m") * F.col("m") * F.col("n")) / F.sum("n") - mean * mean).alias("between")
+        parts.append(F.struct(F.lit(step).alias("step"), F.lit("S1").alias("__kind"), digit.alias("__cell")))
+        parts.append(F.struct(F.lit(step).alias("step"), F.lit("ST").alias("__kind"), (F.col("grid_idx") - digit * stride).alias("__cell")))
+    rows = cells.select(*keys, F.col(value).alias("__v"), F.explode(F.array(*parts)).alias("__g")).select(*keys, "__v", "__g.*")
+    means = rows.groupBy(*keys, "step", "__kind", "__cell").agg(F.avg("__v").alias("__m"), F.count("__v").alias("__n"))
+    mean = F.sum(F.col("__m") * F.col("__n")) / F.sum("__n")
+    spread = means.groupBy(*keys, "step", "__kind").agg(
+        (F.sum(F.col("__m") * F.col("__m") * F.col("__n")) / F.sum("__n") - mean * mean).alias("__between")
     )
-    total = cells.groupBy(*keys).agg(F.var_pop(value).alias("total"))
-    ratio = F.col("between") / F.col("total")
-    pick = lambda k: F.max(F.when(F.col("kind") == k, ratio))
+    total = cells.groupBy(*keys).agg(F.var_pop(value).alias("__total"))
+    ratio = F.col("__between") / F.col("__total")
+    pick = lambda k: F.max(F.when(F.col("__kind") == k, ratio))
     return spread.join(broadcast_if_small(total), keys).groupBy(*keys, "step").agg(pick("S1").alias("s1"), (1 - pick("ST")).alias("st"))
 
 
@@ -58,19 +61,19 @@ def sampled_indices(cells: DataFrame, grid: Grid, keys: list[str], n: int = 400,
     index = lambda use: sum(F.col(f"{use(s)}_{s}") * k for s, k in strides.items())
     kinds = [("A", index(lambda s: "A")), ("B", index(lambda s: "B"))]
     kinds += [(x, index(lambda s, x=x: "B" if s == x else "A")) for x in grid.steps]
-    points = drawn.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), i.alias("grid_idx")) for k, i in kinds])).alias("p")).select("id", "p.*")
-    looked = broadcast_if_small(points).join(cells.select(*keys, "grid_idx", F.col(value).alias("y")), "grid_idx")
-    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("y")))
-    wide = looked.groupBy(*keys, "id").agg(pick("A").alias("ya"), pick("B").alias("yb"), *[pick(s).alias(f"y_{s}") for s in grid.steps])
-    parts = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"y_{s}").alias("yi")) for s in grid.steps])
-    rows = wide.select(*keys, "ya", "yb", F.explode(parts).alias("s")).select(*keys, "ya", "yb", "s.*")
+    points = drawn.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("__kind"), i.alias("grid_idx")) for k, i in kinds])).alias("__p")).select("id", "__p.*")
+    looked = broadcast_if_small(points).join(cells.select(*keys, "grid_idx", F.col(value).alias("__y")), "grid_idx")
+    pick = lambda k: F.max(F.when(F.col("__kind") == k, F.col("__y")))
+    wide = looked.groupBy(*keys, "id").agg(pick("A").alias("__ya"), pick("B").alias("__yb"), *[pick(s).alias(f"y_{s}") for s in grid.steps])
+    parts = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"y_{s}").alias("__yi")) for s in grid.steps])
+    rows = wide.select(*keys, "__ya", "__yb", F.explode(parts).alias("__s")).select(*keys, "__ya", "__yb", "__s.*")
     # Variance over both base samples from their sums.
-    n2 = 2.0 * F.count("ya")
-    mean = (F.sum("ya") + F.sum("yb")) / n2
-    var = (F.sum(F.col("ya") * F.col("ya")) + F.sum(F.col("yb") * F.col("yb"))) / n2 - mean * mean
-    diff = F.col("ya") - F.col("yi")
+    n2 = 2.0 * F.count("__ya")
+    mean = (F.sum("__ya") + F.sum("__yb")) / n2
+    var = (F.sum(F.col("__ya") * F.col("__ya")) + F.sum(F.col("__yb") * F.col("__yb"))) / n2 - mean * mean
+    diff = F.col("__ya") - F.col("__yi")
     return rows.groupBy(*keys, "step").agg(
-        (F.avg(F.col("yb") * (F.col("yi") - F.col("ya"))) / var).alias("s1"), (0.5 * F.avg(diff * diff) / var).alias("st")
+        (F.avg(F.col("__yb") * (F.col("__yi") - F.col("__ya"))) / var).alias("s1"), (0.5 * F.avg(diff * diff) / var).alias("st")
     )
 
 
@@ -78,21 +81,14 @@ def fast_indices(df: DataFrame, keys: list[str], params: list[str], like: str, i
     """Fourier amplitude indices from the runs of a frequency-sampled design.
 
     The runs fall into one block of N per parameter (rows left over at the end
-    are ignored). S1 uses the first multiples of the base frequency, ST the low
-    half; the total power follows from the variance, so only those frequencies
-    are summed. Each row adds to floor((N-1)/(2 M))/2 + M frequencies.
+    are ignored). S1 uses the first multiples of the base frequency
+    floor((N-1)/(2 M)), ST the frequencies up to half of it; the total power
+    follows from the variance.
     """
     d = len(params)
     size = df.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / d)).alias("N"))
     rows = df.join(broadcast_if_small(size), keys).withColumn("block", F.floor((F.col(idx) - 1) / F.col("N")))
     rows = rows.filter(F.col("block") < d).withColumn("t", (F.col(idx) - 1) % F.col("N"))
-    base = F.floor((F.col("N") - 1) / (2 * harmonics)).cast("bigint")
-    low = F.when(base >= 2, F.sequence(F.lit(1).cast("bigint"), F.floor(base / 2).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    high = F.array(*[base * p for p in range(1, harmonics + 1)])
-    wanted = F.concat(
-        F.transform(low, lambda k: F.struct(F.lit("low").alias("part"), k.alias("k"))),
-        F.transform(high, lambda k: F.struct(F.lit("base").alias("part"), k.alias("k"))),
-    )
     by = [*keys, "block"]
     power = rows.groupBy(*by).agg(
         F.first("N").alias("N"), F.var_pop(like).alias("var"),
@@ -100,64 +96,149 @@ def fast_indices(df: DataFrame, keys: list[str], params: list[str], like: str, i
     )
     # Frequencies 1 .. ceil(N/2)-1 hold half the variance; for even N the top one is left out.
     total = F.col("var") - F.when(F.col("N") % 2 == 0, F.pow(F.col("alt") / F.col("N"), F.lit(2.0))).otherwise(0.0)
-    waves = rows.select(*by, "N", "t", F.col(like).alias("y"), F.explode(wanted).alias("w"))
-    angle = 2.0 * 3.141592653589793 * ((F.col("w.k") * F.col("t")) % F.col("N")) / F.col("N")
-    sums = waves.groupBy(*by, "N", "w.part", "w.k").agg(
-        F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im")
-    )
-    amp = 2 * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("N") * F.col("N"))
-    parts = sums.groupBy(*by).agg(
-        F.sum(F.when(F.col("part") == "base", amp)).alias("d1"), F.coalesce(F.sum(F.when(F.col("part") == "low", amp)), F.lit(0.0)).alias("dt")
-    )
+    longest = size.agg(F.max("N")).first()[0] or 0
+    series = rows.select(*by, "N", "t", F.col(like).cast("double").alias("y"))
+    parts = spectrum_sums(series, by, longest, harmonics)
     name = F.element_at(F.array(*[F.lit(p) for p in params]), (F.col("block") + 1).cast("int"))
+    scale = 2.0 / (F.col("N") * F.col("N"))
     return parts.join(broadcast_if_small(power), by).select(
-        *keys, name.alias("param"), (F.col("d1") / total).alias("s1"), (1 - F.col("dt") / total).alias("st")
+        *keys, name.alias("param"), (F.col("base") * scale / total).alias("s1"), (1 - F.col("low") * scale / total).alias("st")
+    )
+
+
+def spectrum_sums(series: DataFrame, by: list[str], longest: int, harmonics: int, block: int = 1 << 16) -> DataFrame:
+    """Power at the base frequency's multiples and below half of it, for every series (columns N, t, y).
+
+    The discrete transform of any length N is a convolution with a chirp, taken
+    by transforms of a power-of-two length P = P1 x P2 >= 2N. Each of those is
+    done in two steps, along the columns and along the rows of a P1 x P2 matrix,
+    so a series of any length is spread over the cluster in groups of about
+    ``block`` values (or sqrt(P), if that is more) with three shuffles.
+    """
+    bits = max(int(2 * longest - 1).bit_length(), 4)
+    p1, p2 = 1 << (bits // 2), 1 << (bits - bits // 2)
+    p = p1 * p2
+    wide, tall = min(max(block // p1, 1), p2), min(max(block // p2, 1), p1)  # columns, rows per group
+    lead = [series.schema[c] for c in by] + [series.schema["N"]]
+    names = [f.name for f in lead]
+    wave = [T.StructField(c, T.DoubleType()) for c in ("ar", "ai", "br", "bi")]
+
+    def chirp(t, n, sign):
+        return np.exp(sign * 1j * np.pi * ((t * t) % (2 * n)) / n)
+
+    def table(g: pa.Table, schema, *cols) -> pa.Table:
+        cols = [np.asarray(c).ravel() for c in cols]
+        row = pa.array(np.zeros(len(cols[0]), dtype=np.int64))
+        return pa.table([g.column(c).take(row) for c in names] + [pa.array(c) for c in cols], names=schema.names)
+
+    def grid(a, b):
+        return np.broadcast_arrays(np.asarray(a, np.int64)[:, None], np.asarray(b, np.int64)[None, :])
+
+    mid = T.StructType([*lead, T.StructField("g", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("n2", T.LongType()), *wave])
+
+    def columns(g: pa.Table) -> pa.Table:
+        # Values t = P2 n1 + n2 of some n2; the chirp is symmetric around 0 and padded with zeros.
+        n, lo = g.column("N")[0].as_py(), g.column("g")[0].as_py() * wide
+        n1, n2 = grid(np.arange(p1), np.arange(lo, lo + wide))
+        g_rows = g.filter(g.column("t").is_valid())
+        t, a = g_rows.column("t").to_numpy(), np.zeros((p1, wide), complex)
+        a[t // p2, t % p2 - lo] = g_rows.column("y").to_numpy() * chirp(t, n, -1)
+        near = np.minimum(n2 + p2 * n1, p - n2 - p2 * n1)
+        b = np.where(near < n, chirp(near, n, 1), 0)
+        turn = np.exp(-2j * np.pi * ((n2 * n1) % p) / p)
+        a, b = np.fft.fft(a, axis=0) * turn, np.fft.fft(b, axis=0) * turn
+        return table(g, mid, n1 // tall, n1, n2, a.real, a.imag, b.real, b.imag)
+
+    back = T.StructType([*lead, T.StructField("g", T.LongType()), T.StructField("m1", T.LongType()), T.StructField("k1", T.LongType()), *wave[:2]])
+
+    def rows(g: pa.Table) -> pa.Table:
+        # Finish both transforms at k = k1 + P1 k2, multiply, start the way back.
+        lo = g.column("g")[0].as_py() * tall
+        at = (g.column("k1").to_numpy() - lo, g.column("n2").to_numpy())
+        a, b = np.zeros((tall, p2), complex), np.zeros((tall, p2), complex)
+        a[at] = g.column("ar").to_numpy() + 1j * g.column("ai").to_numpy()
+        b[at] = g.column("br").to_numpy() + 1j * g.column("bi").to_numpy()
+        k1, m1 = grid(np.arange(lo, lo + tall), np.arange(p2))
+        c = np.fft.ifft(np.fft.fft(a) * np.fft.fft(b)) * np.exp(2j * np.pi * ((k1 * m1) % p) / p)
+        return table(g, back, m1 // wide, m1, k1, c.real, c.imag)
+
+    done = T.StructType([*lead, T.StructField("base", T.DoubleType()), T.StructField("low", T.DoubleType())])
+
+    def finish(g: pa.Table) -> pa.Table:
+        n, lo = g.column("N")[0].as_py(), g.column("g")[0].as_py() * wide
+        c = np.zeros((p1, wide), complex)
+        c[g.column("k1").to_numpy(), g.column("m1").to_numpy() - lo] = g.column("ar").to_numpy() + 1j * g.column("ai").to_numpy()
+        m2, m1 = grid(np.arange(p1), np.arange(lo, lo + wide))
+        k, pw = m1 + p2 * m2, np.abs(np.fft.ifft(c, axis=0)) ** 2
+        w = (n - 1) // (2 * harmonics)
+        base = pw[np.isin(k, [w * h for h in range(1, harmonics + 1)])].sum() if w else np.nan
+        return table(g, done, [base], [pw[(k >= 1) & (k <= w // 2)].sum()])
+
+    # Every group of columns takes part, also those a short series has no values in.
+    groups = F.sequence(F.lit(0).cast("bigint"), F.lit(p2 // wide - 1).cast("bigint"))
+    frame = series.select(*by, "N").distinct().withColumn("g", F.explode(groups)).withColumns(
+        {"t": F.lit(None).cast("bigint"), "y": F.lit(None).cast("double")}
     )
+    start = series.withColumn("g", F.floor(F.col("t") % p2 / wide)).unionByName(frame)
+    first = start.groupBy(*by, "g").applyInArrow(columns, mid)
+    second = first.groupBy(*by, "g").applyInArrow(rows, back)
+    third = second.groupBy(*by, "g").applyInArrow(finish, done)
+    return third.groupBy(*by).agg(F.sum("base").alias("base"), F.sum("low").alias("low"))
 
 
 def elementary_effects(starts: DataFrame, cells: DataFrame, grid: Grid, keys: list[str], value: str = "value") -> DataFrame:
     """Effects of moving one step at a time along trajectories over the grid.
 
-    ``starts`` has columns traj and grid_idx. Step by step each digit moves to
-    its next level (the last one back to the first); the effect is the change of
-    the value per level.
+    ``starts`` has one row per trajectory with its first scenario in grid_idx.
+    Step by step each digit moves to its next level (the last one back to the
+    first); the effect is the change of the value per level. Trajectories with
+    the same start take the same way, so they are counted first: the result has
+    one row per start and step, ``n`` trajectories each.
     """
-    strides = grid.strides()
+    counted = starts.groupBy("grid_idx").agg(F.count(F.lit(1)).alias("n"))
     moved, at = [], F.col("grid_idx")
-    for step, stride in strides.items():
-        n = len(grid.settings[step])
+    for step, stride in grid.strides().items():
+        levels = len(grid.settings[step])
         digit = grid.digit(step).cast("bigint")
-        nxt = at + ((digit + 1) % n - digit) * stride
-        delta = ((digit + 1) % n - digit).cast("double")
-        moved.append(F.struct(F.lit(step).alias("step"), at.alias("from"), nxt.alias("to"), delta.alias("delta")))
+        delta = (digit + 1) % levels - digit
+        nxt = at + delta * stride
+        moved.append(F.struct(F.lit(step).alias("step"), at.alias("__from"), nxt.alias("__to"), delta.cast("double").alias("__delta")))
         at = nxt
-    hops = starts.select("traj", F.explode(F.array(*moved)).alias("h")).select("traj", "h.*")
-    y = broadcast_if_small(cells.select(*keys, "grid_idx", F.col(value).alias("y")))
-    a = y.withColumnsRenamed({"grid_idx": "from", "y": "y0"})
-    b = y.withColumnsRenamed({"grid_idx": "to", "y": "y1"})
-    joined = hops.join(a, "from").join(b, [*keys, "to"])
-    return joined.select(*keys, "traj", "step", ((F.col("y1") - F.col("y0")) / F.col("delta")).alias("effect"))
+    hops = counted.select(F.col("grid_idx").alias("start"), "n", F.explode(F.array(*moved)).alias("__h")).select("start", "n", "__h.*")
+    y = broadcast_if_small(cells.select(*keys, "grid_idx", F.col(value).alias("__y")))
+    a = y.withColumnsRenamed({"grid_idx": "__from", "__y": "__y0"})
+    b = y.withColumnsRenamed({"grid_idx": "__to", "__y": "__y1"})
+    joined = hops.join(a, "__from").join(b, [*keys, "__to"])
+    return joined.select(*keys, "start", "step", "n", ((F.col("__y1") - F.col("__y0")) / F.col("__delta")).alias("effect"))
 
 
 def morris(effects: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, mean absolute value and spread of the effects of each step."""
+    n, e, total = F.col("n"), F.col("effect"), F.sum("n")
+    mean = F.sum(n * e) / total
+    var = (F.sum(n * e * e) - total * mean * mean) / (total - 1)
     return effects.groupBy(*keys, "step").agg(
-        F.avg("effect").alias("mu"), F.avg(F.abs("effect")).alias("mu_star"), F.stddev("effect").alias("sigma")
+        mean.alias("mu"), (F.sum(n * F.abs(e)) / total).alias("mu_star"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma")
     )
 
 
-def bootstrap(effects: DataFrame, keys: list[str], value: Column, unit: str, resamples: int = 100, level: float = 0.95, seed: int = 7818) -> DataFrame:
+def bootstrap(
+    units: DataFrame, unit: str, group: str, values: DataFrame, keys: list[str], value: str,
+    resamples: int = 100, level: float = 0.95, seed: int = 7818,
+) -> DataFrame:
     """Confidence interval of a mean by resampling units (Poisson weights).
 
-    Weights follow from a hash of unit and replicate, so a rerun gives the same
-    interval; replicates are combined before the shuffle.
+    Each unit belongs to a ``group`` that fixes its value. Weights follow from a
+    hash of unit and replicate, so a rerun gives the same interval. They are
+    added up per group and replicate before anything is shuffled or joined.
     """
-    u = F.pmod(F.xxhash64(F.col(unit), F.col("rep"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    rows = effects.withColumn("__x", value).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    w = poisson_weight(u)
-    reps = rows.withColumn("__w", w).groupBy(*keys, "rep").agg((F.sum(F.col("__x") * F.col("__w")) / F.sum("__w")).alias("m"))
-    q = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return reps.groupBy(*keys).agg(q.alias("q"), F.avg("m").alias("mean")).select(*keys, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    u = F.pmod(F.xxhash64(F.col(unit), F.col("__rep"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    spread = units.select(unit, group).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    weights = spread.groupBy(group, "__rep").agg(F.sum(poisson_weight(u)).alias("__w"))
+    rows = weights.join(values, group)
+    reps = rows.groupBy(*keys, "__rep").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("__m"))
+    q = F.percentile("__m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return reps.groupBy(*keys).agg(q.alias("__q"), F.avg("__m").alias("mean")).select(*keys, "mean", F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"))
 
 
 def delta_indices(df: DataFrame, grid: Grid, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -166,19 +247,19 @@ def delta_indices(df: DataFrame, grid: Grid, keys: list[str], value: str, low: f
     Rows are counted by scenario and bin first; everything after works on those
     counts.
     """
-    binned = df.groupBy(*keys, "grid_idx", F.expr(f"width_bucket({value}, {low}D, {high}D, {bins})").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    parts = F.array(*[F.struct(F.lit(s).alias("step"), grid.digit(s).alias("lvl")) for s in grid.steps])
-    rows = binned.select(*keys, "bin", "c", F.explode(parts).alias("s")).select(*keys, "bin", "c", "s.*")
-    given = rows.groupBy(*keys, "step", "lvl", "bin").agg(F.sum("c").alias("c"))
-    levels = given.groupBy(*keys, "step", "lvl").agg(F.sum("c").alias("n_level"))
-    overall = binned.groupBy(*keys, "bin").agg(F.sum("c").alias("c_all"))
-    total = binned.groupBy(*keys).agg(F.sum("c").alias("n_all"))
+    binned = df.groupBy(*keys, "grid_idx", F.expr(f"width_bucket({value}, {low}D, {high}D, {bins})").alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
+    parts = F.array(*[F.struct(F.lit(s).alias("step"), grid.digit(s).alias("__lvl")) for s in grid.steps])
+    rows = binned.select(*keys, "__bin", "__c", F.explode(parts).alias("__s")).select(*keys, "__bin", "__c", "__s.*")
+    given = rows.groupBy(*keys, "step", "__lvl", "__bin").agg(F.sum("__c").alias("__c"))
+    levels = given.groupBy(*keys, "step", "__lvl").agg(F.sum("__c").alias("__n_level"))
+    overall = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c_all"))
+    total = binned.groupBy(*keys).agg(F.sum("__c").alias("__n_all"))
     # Every level against every bin of the overall density, also where the level has none.
     frame = levels.join(broadcast_if_small(overall), keys).join(broadcast_if_small(total), keys)
-    cells = frame.join(given, [*keys, "step", "lvl", "bin"], "left")
-    gap = F.abs(F.col("c_all") / F.col("n_all") - F.coalesce("c", F.lit(0)) / F.col("n_level"))
-    per_level = cells.groupBy(*keys, "step", "lvl").agg((0.5 * F.sum(gap)).alias("shift"), F.first(F.col("n_level") / F.col("n_all")).alias("p"))
-    return per_level.groupBy(*keys, "step").agg(F.sum(F.col("shift") * F.col("p")).alias("delta"))
+    cells = frame.join(given, [*keys, "step", "__lvl", "__bin"], "left")
+    gap = F.abs(F.col("__c_all") / F.col("__n_all") - F.coalesce("__c", F.lit(0)) / F.col("__n_level"))
+    per_level = cells.groupBy(*keys, "step", "__lvl").agg((0.5 * F.sum(gap)).alias("__shift"), F.first(F.col("__n_level") / F.col("__n_all")).alias("__p"))
+    return per_level.groupBy(*keys, "step").agg(F.sum(F.col("__shift") * F.col("__p")).alias("delta"))
 
 
 def sensitivity_rank(df: DataFrame, keys: list[str], index: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.bands import list_matrix
 from ..functions.solvers import lasso, lasso_path, pls1
 from ..functions.target import forward, inverse_np
+from ..session import checkpointed
 from .gram import Stats, gram_stats, ml_lambda
 from .order import broadcast_if_small
 from .scores import best_candidate, best_per_feature_count
@@ -75,6 +76,11 @@ def prepare(train: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     return lambdas, gram_stats(full, keys, plan.width)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Few rows, much work each: one or two to a task, not merged by their small size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def alpha_path(stats: DataFrame, plan: Plan) -> DataFrame:
     """Weights along the penalty path of the raw response (keys, alpha, coef)."""
     keys = list(plan.keys)
@@ -93,7 +99,7 @@ def alpha_path(stats: DataFrame, plan: Plan) -> DataFrame:
                     out[k] = getattr(row, k)
                 yield out[schema.names]
 
-    return raw.repartition(*keys).mapInPandas(solve, schema)
+    return _spread(raw).mapInPandas(solve, schema)
 
 
 def distinct_sets(path: DataFrame, plan: Plan) -> DataFrame:
@@ -126,7 +132,7 @@ def fit_candidates(stats: DataFrame, lambdas: DataFrame, sets: DataFrame, plan:
     packed = sets.filter("feat_n > 0").groupBy(*keys).agg(F.collect_list(F.struct("alpha", "feats")).alias("sets"))
     folds = stats.filter((F.col("split") > 0) & (F.col("split") < plan.raw_split))
     rows = folds.join(broadcast_if_small(lambdas), keys).withColumn("lam", F.element_at("lambdas", (F.col("split") + 1).cast("int"))).drop("lambdas")
-    rows = rows.join(packed, keys).repartition(*keys, "split")
+    rows = _spread(rows.join(packed, keys))
     schema = _model_schema([rows.schema[k] for k in keys])
     width, alphas, comps = plan.width, plan.lasso_alphas, plan.components
 
@@ -248,21 +254,19 @@ def tune(train: DataFrame, plan: Plan) -> dict[str, DataFrame]:
 
     Returns the statistics, feature sets, candidate scores and ``tuning``: the
     best candidate per key, feature set and model with its parameters. Sets too
-    small for a model appear with empty scores.
+    small for a model appear with empty scores. The candidate scores (``cv``)
+    are not kept; reading them scores the candidates again.
     """
     keys = list(plan.keys)
     lambdas, stats = prepare(train, plan)
-    # Read by every later step; a few packed vectors per key.
-    stats = broadcast_if_small(stats, max_rows=2_000)
+    # Every later step starts from the stored statistics and sets, not from the rows.
+    stats = checkpointed(stats)
     path = alpha_path(stats, plan)
-    sets = broadcast_if_small(distinct_sets(path, plan))
+    sets = checkpointed(distinct_sets(path, plan))
     models = fit_candidates(stats, lambdas, sets, plan)
     cv = cv_scores(train, models, plan)
-    best = best_candidate(cv.filter("mae IS NOT NULL"), [*keys, "alpha", "model"])
-    train_stats = cv.groupBy(*keys, "alpha", "model", "cand").agg(
-        *[f(f"train_{c}").alias(f"{n}_train_{c}") for c in ("mae", "mse", "r2") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    )
-    best = best.join(train_stats, [*keys, "alpha", "model", "cand"])
+    metrics = ("mae", "mse", "r2", "train_mae", "train_mse", "train_r2")
+    best = best_candidate(cv.filter("mae IS NOT NULL"), [*keys, "alpha", "model"], metrics=metrics)
     las = F.array(*[F.lit(a) for a in plan.lasso_alphas])
     comp = F.array(*[F.lit(c) for c in plan.components])
     is_lasso = F.col("model") == "lasso"
@@ -274,7 +278,7 @@ def tune(train: DataFrame, plan: Plan) -> dict[str, DataFrame]:
         }
     )
     every = sets.withColumn("model", F.explode(F.array(F.lit("lasso"), F.lit("pls"))))
-    tuning = every.join(best, [*keys, "alpha", "model"], "left")
+    tuning = checkpointed(every.join(best, [*keys, "alpha", "model"], "left"))
     return {"lambdas": lambdas, "stats": stats, "path": path, "sets": sets, "models": models, "cv": cv, "tuning": tuning}
 
 
@@ -318,7 +322,7 @@ def final_models(stats: DataFrame, lambdas: DataFrame, best: DataFrame, plan: Pl
             out["intercept"], out["coef"], out["feats_used"] = icpts, coefs, used
             yield out[schema.names]
 
-    return rows.repartition(*keys, "model", "feat_n").mapInPandas(solve, schema)
+    return _spread(rows).mapInPandas(solve, schema)
 
 
 def predict(rows: DataFrame, models: DataFrame, plan: Plan, carry: list[str]) -> DataFrame:

@@ -101,10 +101,14 @@ def fast_sensitivity(s, d):
     return rounded(Z.fast_indices(V.chains(s, d), ["chain"], PARAMS, "like1"), "s1", "st")
 
 
+def starts(s, d):
+    """One trajectory per order."""
+    return V.table(s, d, "orders").select(F.col("o_orderkey").alias("traj"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 648).alias("grid_idx"))
+
+
 def effects(s, d):
-    starts = V.table(s, d, "orders").select(F.col("o_orderkey").alias("traj"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 648).alias("grid_idx"))
     cells = V.factorial(s, d).filter("metric = 'RMSE'")
-    return Z.elementary_effects(starts, cells, GRID, ["metric"])
+    return Z.elementary_effects(starts(s, d), cells, GRID, ["metric"])
 
 
 def _walk() -> str:
@@ -159,7 +163,9 @@ def delta_sensitivity(s, d):
 @query("bootstrap_ci")
 def bootstrap_ci(s, d):
     """Interval of mu_star per step from 100 resamples of the trajectories."""
-    return rounded(Z.bootstrap(effects(s, d), ["metric", "step"], F.abs("effect"), "traj"), "mean", "low", "high")
+    sizes = effects(s, d).select("metric", "step", "start", F.abs("effect").alias("size"))
+    out = Z.bootstrap(starts(s, d).withColumnRenamed("grid_idx", "start"), "traj", "start", sizes, ["metric", "step"], "size")
+    return rounded(out, "mean", "low", "high")
 
 
 @query(

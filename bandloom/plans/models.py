@@ -147,7 +147,11 @@ def pls_fit(s, d):
 
 
 def _cv(s, d):
-    return W.tune(training(s, d), PLAN)["cv"]
+    train = training(s, d)
+    lambdas, stats = W.prepare(train, PLAN)
+    stats = checkpointed(stats)
+    sets = W.distinct_sets(W.alpha_path(stats, PLAN), PLAN)
+    return W.cv_scores(train, W.fit_candidates(stats, lambdas, sets, PLAN), PLAN)
 
 
 @query("cv_grid_search")

@@ -81,7 +81,7 @@ def wide_to_array(df: DataFrame, out: str = "refl") -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
-    """Files under a folder with their size; contents are not read."""
+    """Files under a folder with their size; contents are not read. Empty files are unfinished and not listed."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(base)
     )
