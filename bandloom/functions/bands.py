@@ -150,6 +150,19 @@ def matrix_list(matrix: np.ndarray):
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
+def batch_groups(batch: pa.RecordBatch, keys: list[str]):
+    """Rows of each distinct key in a batch: (first row, row numbers)."""
+    number = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in keys:
+        codes = batch.column(batch.schema.names.index(k)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        number = number * (codes.max(initial=0) + 1) + codes
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    cuts = np.searchsorted(number[order], np.arange(len(first) + 1))
+    for g, row in enumerate(first):
+        yield int(row), order[cuts[g] : cuts[g + 1]]
+
+
 def apply_table(df: DataFrame, table: BandTable, column: str = "refl", max_terms: int = 128) -> DataFrame:
     """Replace ``column`` by the transformed spectrum.
 

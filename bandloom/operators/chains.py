@@ -57,7 +57,9 @@ def nse(sim: Column, obs: Column) -> Column:
 
 
 def log_nse(sim: Column, obs: Column) -> Column:
-    return nse(F.log(sim), F.log(obs))
+    """Efficiency of the logarithms; pairs with a value that has none are left out whole."""
+    both = (sim > 0) & (obs > 0)
+    return nse(F.when(both, F.log(sim)), F.when(both, F.log(obs)))
 
 
 def objectives(sims: DataFrame, obs: DataFrame, step: str, run: list[str], functions: dict, sim: str = "sim", value: str = "obs") -> DataFrame:

@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bands import list_matrix, matrix_list
+from ..functions.bands import batch_groups, list_matrix, matrix_list
 from ..functions.target import forward_np
 from .order import broadcast_if_small
 
-#: Keys held in a task before its partial sums are sent on.
-FLUSH_KEYS = 64
+#: Numbers a task holds before its partial sums are sent on.
+FLUSH_VALUES = 8_000_000
 
 
 @dataclass
@@ -94,14 +94,11 @@ def gram_stats(df: DataFrame, keys: list[str], width: int, x: str = "x", member:
             types[:] = [b.column(i).type for i in range(nk)]
             n_splits = len(b.column(nk + 1)[0])
             xs, ms, zs = list_matrix(b.column(nk), width), list_matrix(b.column(nk + 1), n_splits) > 0, list_matrix(b.column(nk + 2), n_splits)
-            labels = list(zip(*[b.column(i).to_pylist() for i in range(nk)])) if nk else [()] * b.num_rows
-            groups: dict[tuple, list[int]] = {}
-            for i, k in enumerate(labels):
-                groups.setdefault(k, []).append(i)
-            for k, at in groups.items():
+            for row, at in batch_groups(b, keys):
+                k = tuple(b.column(i)[row].as_py() for i in range(nk))
                 packed = _pack(xs[at], ms[at], zs[at])
                 sums[k] = sums[k] + packed if k in sums else packed
-            if len(sums) >= FLUSH_KEYS:
+            if len(sums) * packed.size >= FLUSH_VALUES:
                 yield emit(sums)
                 sums = {}
         if sums:
@@ -150,17 +147,15 @@ def _lambda_pass(df, keys, y, member, centre, points, step):
             yv, n_splits = b.column(len(keys)).to_numpy(), len(b.column(len(keys) + 1)[0])
             m = list_matrix(b.column(len(keys) + 1), n_splits)
             refs, lam = b.column(len(keys) + 2).to_numpy(), list_matrix(b.column(len(keys) + 3), n_splits)
-            labels = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))])) if keys else [()] * b.num_rows
-            groups: dict[tuple, list[int]] = {}
-            for i, k in enumerate(labels):
-                groups.setdefault(k, []).append(i)
             out = {c: [] for c in ("key", "split", "__n", "__slog", "__s1", "__s2")}
-            for k, at in groups.items():
-                first, ys = at[0], yv[at]
+            for first, at in batch_groups(b, keys):
+                k, ys, known = tuple(b.column(i)[first].as_py() for i in range(len(keys))), yv[at], {}
                 for s in range(n_splits):
                     grid = lam[first, s] + offsets
-                    # Taken relative to the mean response, so small spreads keep their digits.
-                    psi = forward_np(ys[:, None], grid[None, :]) - forward_np(refs[first], grid)[None, :]
+                    if lam[first, s] not in known:
+                        # Taken relative to the mean response, so small spreads keep their digits.
+                        known[lam[first, s]] = forward_np(ys[:, None], grid[None, :]) - forward_np(refs[first], grid)[None, :]
+                    psi = known[lam[first, s]]
                     w = m[at, s]
                     out["key"].append(k)
                     out["split"].append(s)

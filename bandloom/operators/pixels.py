@@ -210,16 +210,6 @@ class _MaskPlan:
         return keep
 
 
-def _batch_groups(batch: pa.RecordBatch, keys: list[str]):
-    """First row of each distinct key in a batch, and the group number of every row."""
-    number = np.zeros(batch.num_rows, dtype=np.int64)
-    for k in keys:
-        codes = batch.column(batch.schema.names.index(k)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        number = number * (codes.max(initial=0) + 1) + codes
-    _, first, number = np.unique(number, return_index=True, return_inverse=True)
-    return first, number
-
-
 def scenario_spectra(
     pixels: DataFrame, keys: list[str], grid: Grid, indices: list[int], wl, derivatives: tuple[int, ...] = (1, 2, 3)
 ) -> DataFrame:
@@ -267,11 +257,7 @@ def scenario_spectra(
                 keep = plan.kept(plan.values(refl), limits)
             else:
                 keep = np.ones((len(refl), len(plan.masks)), bool)
-            first, number = _batch_groups(b, keys)
-            order = np.argsort(number, kind="stable")
-            cuts = np.searchsorted(number[order], np.arange(len(first) + 1))
-            for g, row in enumerate(first):
-                at = order[cuts[g] : cuts[g + 1]]
+            for row, at in B.batch_groups(b, keys):
                 k = keep[at].astype(float)
                 counts = k.sum(axis=0).astype(np.int64)
                 used = np.flatnonzero(counts)

@@ -245,16 +245,17 @@ def welch_t_p_value(s, d):
     "objective_functions",
     V.sql(
         """SELECT run, round(sqrt(avg(pow(sim - obs, 2))), 6) AS rmse, round(1 - sum(pow(sim - obs, 2)) / (var_pop(obs) * count(*)), 6) AS nse,
-        round(1 - sum(pow(ln(sim) - ln(obs), 2)) / (var_pop(ln(obs)) * count(*)), 6) AS log_nse
+        round(1 - sum(pow(ls - lo, 2)) / (var_pop(lo) * count(lo)), 6) AS log_nse
+        FROM (SELECT *, CASE WHEN sim > 0 AND obs > 0 THEN ln(sim) END AS ls, CASE WHEN sim > 0 AND obs > 0 THEN ln(obs) END AS lo
         FROM (SELECT par_user AS run, par_hour AS step, avg(like1) AS sim FROM chains GROUP BY ALL)
-        JOIN (SELECT par_hour AS step, avg(like2) AS obs FROM chains GROUP BY par_hour) USING (step) GROUP BY run""",
+        JOIN (SELECT par_hour AS step, avg(like2) * (1 + par_hour) AS obs FROM chains GROUP BY par_hour) USING (step)) GROUP BY run""",
         "chains",
     ),
 )
 def objective_functions(s, d):
     ch = V.chains(s, d)
     sims = ch.groupBy(F.col("par_user").alias("run"), F.col("par_hour").alias("step")).agg(F.avg("like1").alias("sim"))
-    obs = ch.groupBy(F.col("par_hour").alias("step")).agg(F.avg("like2").alias("obs"))
+    obs = ch.groupBy(F.col("par_hour").alias("step")).agg((F.avg("like2") * (1 + F.first("par_hour"))).alias("obs"))
     out = C.objectives(sims, obs, "step", ["run"], {"rmse": C.rmse, "nse": C.nse, "log_nse": C.log_nse})
     return rounded(out, "rmse", "nse", "log_nse")
 
