@@ -40,27 +40,42 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
-def _cell_of(value: Column, splits: Column) -> Column:
-    """2i between two split values, 2i+1 exactly on one; ordered like the value."""
-    below = F.size(F.filter(splits, lambda s: s < value))
-    return F.coalesce(2 * below + F.array_contains(splits, value).cast("int"), F.lit(-1))
+_STEP = 16
+
+
+def _coarse(splits: Column) -> Column:
+    """Every 16th split value, to find a value's place in two short looks."""
+    at = F.sequence(F.lit(_STEP), F.size(splits), F.lit(_STEP))
+    return F.when(F.size(splits) >= _STEP, F.transform(at, lambda i: F.element_at(splits, i))).otherwise(F.slice(splits, 1, 0))
+
+
+def _place(df: DataFrame, value: str, splits: str, coarse: str, out: str) -> DataFrame:
+    """Add 2i between two split values, 2i+1 exactly on one; ordered like the value.
+
+    The steps are columns of their own, so each lookup runs once per row.
+    """
+    v = F.col(value)
+    df = df.withColumn("__passed", F.size(F.filter(coarse, lambda s: s < v)) * _STEP)
+    df = df.withColumn("__near", F.slice(splits, F.col("__passed") + 1, _STEP))
+    below = F.col("__passed") + F.size(F.filter("__near", lambda s: s < v))
+    cell = 2 * below + F.array_contains("__near", v).cast("int")
+    return df.withColumn(out, F.coalesce(cell, F.lit(-1))).drop("__passed", "__near", splits, coarse)
 
 
 def with_cells(df: DataFrame, keys: list[str], order: list[str], cells: int = 256) -> DataFrame:
     """Add the cell columns for an ascending order by one or two numeric or time columns."""
-    probs = [i / cells for i in range(1, cells)]
+    probs, by = [i / cells for i in range(1, cells)], order[:2]
     splits = df.groupBy(*keys).agg(
-        *[
-            F.array_distinct(F.percentile_approx(c, probs, 4 * cells)).alias(f"__split{i}")
-            for i, c in enumerate(order[:2])
-        ]
+        *[F.array_distinct(F.percentile_approx(c, probs, 4 * cells)).alias(f"__split{i}") for i, c in enumerate(by)]
     )
-    tagged = df.join(broadcast_if_small(splits), keys)
-    tagged = tagged.withColumn(_CELL, _cell_of(F.col(order[0]), F.col("__split0")))
-    if len(order) > 1:
-        sub = F.when(F.col(_CELL) % 2 != 0, _cell_of(F.col(order[1]), F.col("__split1")))
-        return tagged.withColumn(_SUB, F.coalesce(sub, F.lit(0))).drop("__split0", "__split1")
-    return tagged.withColumn(_SUB, F.lit(0)).drop("__split0")
+    splits = splits.withColumns({f"__coarse{i}": _coarse(F.col(f"__split{i}")) for i in range(len(by))})
+    tagged = _place(df.join(broadcast_if_small(splits), keys), by[0], "__split0", "__coarse0", _CELL)
+    if len(by) == 1:
+        return tagged.withColumn(_SUB, F.lit(0))
+    # Only rows on a split value are cut again; for the others the lists are null and so is the cell (-1).
+    on = F.col(_CELL) % 2 != 0
+    tagged = tagged.withColumn("__split1", F.when(on, F.col("__split1"))).withColumn("__coarse1", F.when(on, F.col("__coarse1")))
+    return _place(tagged, by[1], "__split1", "__coarse1", _SUB)
 
 
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -161,7 +176,8 @@ def _located_percentiles(df, keys, values, probs, epsilon):
         F.array_distinct(F.percentile_approx("__v", marks, int(1 / epsilon))).alias("__splits"),
         F.count(F.lit(1)).alias("__n"),
     )
-    cells = long.join(broadcast_if_small(splits), gk).withColumn(_CELL, _cell_of(F.col("__v"), F.col("__splits")))
+    splits = splits.withColumn("__coarse", _coarse(F.col("__splits")))
+    cells = _place(long.join(broadcast_if_small(splits), gk), "__v", "__splits", "__coarse", _CELL)
     before = Window.partitionBy(*gk).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     counts = cells.groupBy(*gk, _CELL).agg(F.count(F.lit(1)).alias("__in"), F.first("__n").alias("__n"))
     counts = counts.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
