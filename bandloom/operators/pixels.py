@@ -241,7 +241,10 @@ def scenario_spectra(
         )
         nan = F.array_repeat(F.lit(float("nan")), n_probs)
         limits = limits.select(*keys, F.flatten(F.array(*[F.coalesce(f"{n}_pctl", nan) for n in names])).alias("limits"))
-        joined = rows.join(broadcast_if_small(limits), keys)
+        # Images without any index value keep their place: unmasked scenarios still need them.
+        joined = rows.join(broadcast_if_small(limits), keys, "left")
+        unknown = F.array_repeat(F.lit(float("nan")), n_idx * n_probs)
+        joined = joined.withColumn("limits", F.coalesce("limits", unknown))
     schema = T.StructType(
         key_fields
         + [T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))]

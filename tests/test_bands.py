@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import bands as B
 from bandloom.functions import indices as I
+from bandloom.operators import order
 from bandloom.operators import pixels as P
 from bandloom.operators.grid import GRID
 
@@ -110,6 +111,20 @@ def test_many_scenarios_do_not_depend_on_partitioning(spark):
     assert all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in a)
 
 
+def test_large_images_give_the_same_spectra(spark, monkeypatch):
+    """Thresholds located by counting equal the built-in ones, also for an image without index values."""
+    _, _, df = _pixels(spark)
+    dark = spark.createDataFrame([(9, [0.0] * 64)], "image_id bigint, refl array<double>")
+    df = df.unionByName(dark)
+    scenarios = [0, 1, 2, 54 + 1, 54 + 8]
+    run = lambda: {(r.grid_idx, r.image_id): (r.n_pixels, r.refl) for r in P.scenario_spectra(df, ["image_id"], GRID, scenarios, WL, ()).collect()}
+    a = run()
+    monkeypatch.setattr(order, "SMALL_GROUP_ROWS", 0)
+    b = run()
+    assert a.keys() == b.keys() and (0, 9) in a and (1, 9) not in a
+    assert all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in a)
+
+
 def test_mask_sides_are_complements(spark):
     _, _, df = _pixels(spark)
     df = df.withColumn("mcari2", I.mcari2(RAW)).withColumn("id", F.monotonically_increasing_id())
