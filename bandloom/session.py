@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +25,38 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job with a reliable checkpoint.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: what the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared
-    storage). Only when the session names none, as in tests, one is set here.
+    A session on one machine (``local[n]``) that names none gets a temporary
+    folder for its lifetime. On a cluster that would be a folder nobody else
+    sees, so there it is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            named or tempfile.mkdtemp(prefix="run-", dir=os.environ.get("BANDLOOM_TMP", "/tmp"))
-        )
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for one table of one run."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder once and read it back: lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

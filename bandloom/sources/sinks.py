@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.session import scratch_path
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder of ``spark.checkpoint.dir``; local only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared folder of the cluster."""
+    return scratch_path(spark, name)
 
 
 def append(df: DataFrame, path: str, keys: list[str]) -> None:
