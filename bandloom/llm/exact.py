@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from bandloom.llm.common import WS, broadcast_within, text_of
 from bandloom.session import scratch_path, stored
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Keyed state on each executor's disk, its changes saved in the shared folder, without space reserved ahead.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ARRIVAL = "doc_id bigint, digest string, n_chars int, row_no bigint, file string"
 #: Arrival files taken by one micro-batch.
 FILES_PER_BATCH = 1000
@@ -62,8 +66,9 @@ def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_co
 
 def advance(spark: SparkSession, arrived: str, state: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Take all files of ``arrived`` not yet seen into the state; return the state as a table."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch).parquet(arrived)
         best = stream.groupBy("digest").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -81,10 +86,8 @@ def advance(spark: SparkSession, arrived: str, state: str, files_per_batch: int
             "exact-state",
         )
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _decide(rows: DataFrame, groups: DataFrame) -> DataFrame:
