@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bandloom.llm import exact
+from bandloom.llm import bpe, exact
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of what they decode to."""
+    ranks = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(tokens, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays, for every document."""
     found = exact.dedup(documents(spark, sf_dir))
@@ -36,7 +48,8 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    found = (op1_bpe, op7_exact_dedup)
+    return {fn.__name__: fn for fn in found}
 
 
 def oracle_sql() -> dict[str, str]:
