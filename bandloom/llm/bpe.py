@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from bandloom.llm.common import text_of
 
@@ -276,8 +277,8 @@ def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text")
         finally:
             gc.enable()
 
-    fields = docs.select(*[f"`{c}`" for c in kept]).schema.add("n_tokens", "bigint").add("ids", "binary")
-    return docs.mapInArrow(run, fields)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[: len(kept)], *added]))
 
 
 def decode(tokens: DataFrame, rank_rows: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -292,4 +293,4 @@ def decode(tokens: DataFrame, rank_rows: bytes, ids: str = "ids", out: str = "de
             texts = ["".join(decode_ids(x or b"", bytes_of)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return tokens.mapInArrow(run, tokens.schema.add(out, "string"))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.StringType())]))
