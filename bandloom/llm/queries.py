@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import bpe, exact
+from bandloom.llm import bpe, exact, lines, mixing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,10 +47,85 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
 """
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"),
+    )
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(concat_ws(':', 'mix-1', doc_id::VARCHAR)) AS at
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source
+), w AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s
+), o AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER p, 0))::BIGINT AS rest,
+         (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0))::BIGINT AS open_weight
+  FROM w WINDOW p AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT rest, open_weight FROM o WHERE rest * weight <= 3 * source_size * open_weight ORDER BY open_weight DESC LIMIT 1
+), g AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, level.rest::DOUBLE * weight / level.open_weight::DOUBLE) AS target FROM w, level
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM g
+), r AS (
+  SELECT t.doc_id, t.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS missing, t.source, t.at,
+         sum(t.size) OVER (PARTITION BY t.source ORDER BY t.at, t.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - t.size AS ahead
+  FROM t JOIN e ON t.source IS NOT DISTINCT FROM e.source
+), m AS (
+  SELECT *, max(CASE WHEN ahead + size / 2.0 < missing THEN ahead END) OVER (PARTITION BY source) AS last_ahead FROM r
+)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN ahead <= coalesce(last_ahead, -1) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that an earlier one has."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    kept = lines.apply_keep(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key
+), d AS (
+  SELECT k.*, coalesce(f.first_doc < k.doc_id, false) AS dropped FROM k LEFT JOIN f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, of the three base kinds and of the further rules."""
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x.kind.isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op7_exact_dedup)
+    found = (op1_bpe, op4_line_dedup, op7_exact_dedup, op9_mixing, op10_secrets)
     return {fn.__name__: fn for fn in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
