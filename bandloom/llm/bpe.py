@@ -2,9 +2,8 @@
 
 A token sequence is the greedy-merge encoding of its bytes exactly when every
 token and every two neighbours are the encoding of their own bytes. So encoding is
-the only path through an automaton whose hypotheses are (tokens so far, place in
-the trie of tokens). It is determinised on demand: a state is the set of live
-hypotheses without their common prefix, which is emitted. Hypotheses differ only
+the only path through an automaton whose hypotheses are open tokens. It is
+determinised on demand: a state is the set of live hypotheses. They differ only
 within the longest token, so that is how far a token has to wait.
 
 Documents are encoded one by one inside the scan's partitions: no shuffle, and a
@@ -29,7 +28,11 @@ from bandloom.llm.common import text_of
 
 ROOT = 0
 #: Determinised states and encoded pieces held by one worker.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 160_000, 400_000, 500_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 400_000, 400_000
+#: Bytes of a piece after which tokens are emitted that nothing can change any more.
+EMIT_EVERY = 1024
+#: Rows of a batch that are encoded together.
+SLICE_ROWS = 500
 #: Tokens per step of the streaming decoder.
 DECODE_STEP = 8192
 
@@ -51,17 +54,23 @@ def greedy_merge(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[b
 
 
 class Transducer:
-    """Lazily determinised encoder of one piece of text."""
+    """Lazily determinised encoder of one piece of text.
+
+    A hypothesis is an open token: the token before it and its place in the trie. A
+    state is the tuple of live hypotheses, oldest first, each packed as
+    ``(token before + 1) << 24 | node``. Every prefix has exactly one encoding, so a
+    step also names its last token; tokens are emitted once no live hypothesis
+    reaches back before them.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
-        self.accept: dict[int, int] = {}  # node -> token
+        self.accept, self.depth, self.inner = [-1], [0], [True]  # per node: token, length, whether it goes on
         # Fragments at a token's ends while it was merged, latest first: (bytes, rank at which it arose).
         self.left: dict[int, list[tuple[bytes, int]]] = {}
         self.right: dict[int, list[tuple[bytes, int]]] = {}
-        nodes = 1
         for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
             if len(token) == 1:
                 self.left[rank] = self.right[rank] = [(token, -1)]
@@ -78,18 +87,19 @@ class Transducer:
             for b in token:
                 at = node << 8 | b
                 if at not in self.child:
-                    self.child[at] = nodes
-                    nodes += 1
+                    self.inner[node] = True
+                    self.child[at] = len(self.accept)
+                    self.accept.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.inner.append(False)
                 node = self.child[at]
             self.accept[node] = rank
         self.fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: the token before, and the hypotheses (tokens not yet emitted, trie node).
-        start = (-1, (((), ROOT),))
-        self.states, self.number = [start], {start: 0}
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.states, self.number = [(ROOT,)], {(ROOT,): 0}
+        self.next: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> (state, last token)
         if len(self.fits) > MAX_PAIRS:
             self.fits.clear()
 
@@ -114,39 +124,31 @@ class Transducer:
             else:
                 until, j = arose_y, j + 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, hypotheses = self.states[state]
-        child, accept, fits, live = self.child, self.accept, self.fits, []
-        for waiting, node in hypotheses:
-            node = child.get(node << 8 | byte)
-            if node is None:
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        child, accept, inner, fits, last, live = self.child, self.accept, self.inner, self.fits, -1, []
+        for h in self.states[state]:
+            node = h & 0xFFFFFF
+            to = child.get(node << 8 | byte)
+            if to is None:
                 continue
-            live.append((waiting, node))
-            token = accept.get(node)
-            if token is not None:
-                last = waiting[-1] if waiting else before
-                pair = last << 32 | token
+            if inner[to]:
+                live.append(h - node + to)
+            token = accept[to]
+            if token >= 0 and last < 0:
+                before = h >> 24
+                pair = before << 32 | token
                 fit = fits.get(pair)
                 if fit is None:
-                    fit = fits[pair] = last < 0 or self._apart(last, token)
+                    fit = fits[pair] = before == 0 or self._apart(before - 1, token)
                 if fit:
-                    live.append(((*waiting, token), ROOT))
-        first, shared = live[0][0], 0
-        if first:
-            for waiting in zip(*[w for w, _ in live]):
-                if waiting.count(first[shared]) != len(waiting):
-                    break
-                shared += 1
-        if shared:
-            emitted = first[:shared]
-            key = (emitted[-1], tuple([(w[shared:], n) for w, n in live]))
-        else:
-            emitted, key = (), (before, tuple(live))
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
+                    last = token
+        live.append(last + 1 << 24)
+        key = tuple(live)
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
             self.states.append(key)
-        step = self.next[state << 8 | byte] = to, emitted
+        step = self.next[state << 8 | byte] = number, last
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -156,16 +158,24 @@ class Transducer:
         if len(self.states) > self.max_states:
             self._reset()
         out: list[int] = []
-        state, known = 0, self.next
+        state, known, waiting = 0, self.next, []  # waiting: per byte, the token that ends there
         for byte in piece:
             step = known.get(state << 8 | byte)
-            state, emitted = self._step(state, byte) if step is None else step
-            if emitted:
-                out += emitted
-        for waiting, node in self.states[state][1]:
-            if node == ROOT:
-                out += waiting
-        return out
+            state, last = self._step(state, byte) if step is None else step
+            waiting.append(last)
+            if len(waiting) >= EMIT_EVERY:
+                settled = len(waiting) - self.depth[self.states[state][0] & 0xFFFFFF]
+                out += self._tokens(waiting, settled)
+                del waiting[:settled]
+        return out + self._tokens(waiting, len(waiting))
+
+    def _tokens(self, ends: list[int], upto: int) -> list[int]:
+        """The tokens of the first ``upto`` bytes, followed back from the last."""
+        back = []
+        while upto:
+            back.append(ends[upto - 1])
+            upto -= len(self.bytes_of[back[-1]])
+        return back[::-1]
 
 
 class Pieces(dict):
@@ -246,6 +256,12 @@ def _built(rank_rows: bytes) -> tuple[Transducer, Pieces]:
     return _BUILT[key]
 
 
+def _slices(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def rank_file(path: str) -> bytes:
     """The vocabulary is read where the driver runs: tens of thousands of lines, sent with the tasks."""
     with open(path, "rb") as f:
@@ -268,11 +284,11 @@ def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text")
         find, pieces = regex.compile(pattern).findall, _built(shared.value)[1]
         gc.disable()  # states are many small tuples without cycles; walking them is a quarter of the time
         try:
-            for batch in batches:
+            for batch in _slices(batches):
                 ids = [b"".join(map(pieces.__getitem__, find(t))) for t in batch.column(len(kept)).to_pylist()]
-                out = [batch.column(i) for i in range(len(kept))]
+                counts = pa.array([len(x) >> 2 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*out, pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*kept, "n_tokens", "ids"]
+                    [*batch.columns[: len(kept)], counts, pa.array(ids, pa.binary())], names=[*kept, "n_tokens", "ids"]
                 )
         finally:
             gc.enable()
@@ -288,8 +304,8 @@ def decode(tokens: DataFrame, rank_rows: bytes, ids: str = "ids", out: str = "de
     at = tokens.columns.index(ids)
 
     def run(batches):
-        bytes_of = _built(shared.value)[0].bytes_of
-        for batch in batches:
+        bytes_of = {rank: token for token, rank in read_ranks(shared.value).items()}
+        for batch in _slices(batches):
             texts = ["".join(decode_ids(x or b"", bytes_of)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
