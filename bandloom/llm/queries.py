@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import bpe, exact, lines, mixing, secrets
+from bandloom.llm import bpe, exact, lines, mixing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict for every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays, for every document."""
     found = exact.dedup(documents(spark, sf_dir))
@@ -123,7 +130,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op4_line_dedup, op7_exact_dedup, op9_mixing, op10_secrets)
+    found = (op1_bpe, op3_quality, op4_line_dedup, op7_exact_dedup, op9_mixing, op10_secrets)
     return {fn.__name__: fn for fn in found}
 
 
