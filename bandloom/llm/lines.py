@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandloom.llm.common import WS, broadcast_within, text_of
+from bandloom.llm.common import WS, text_of
 from bandloom.session import stored
 
 MIN_CHARS = 10
@@ -132,7 +132,7 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     names = docs.columns
     mark = F.unhex(F.md5(F.concat(F.coalesce(docs[id_col].cast("bigint").cast("string"), F.lit("None")), F.lit("\n"), text_of(docs, text))))
-    marked = docs.withColumn("__doc_key", mark).join(broadcast_within(bitmaps), "__doc_key", "left")
+    marked = docs.withColumn("__doc_key", mark).join(bitmaps, "__doc_key", "left")
     wide = marked.select(*[f"`{c}`" for c in names], text_of(marked, text).alias("__text"), "__bitmap")
 
     def run(batches):
