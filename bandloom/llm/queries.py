@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import bpe, exact, lines, mixing, quality, secrets
+import corpus_pipeline
+from bandloom.llm import bpe, exact, jaccard, lines, mixing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 90% of their 3-word shingles."""
+    return jaccard.join(documents(spark, sf_dir).select("doc_id", "text"), jaccard.Join(words=3, least=90, of=100))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict for every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -130,8 +136,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op3_quality, op4_line_dedup, op7_exact_dedup, op9_mixing, op10_secrets)
-    return {fn.__name__: fn for fn in found}
+    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op7_exact_dedup, op9_mixing, op10_secrets)
+    return {fn.__name__: fn for fn in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
