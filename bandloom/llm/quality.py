@@ -86,7 +86,22 @@ def labelled_sample(labels: DataFrame, ratio: Ratio = Ratio()) -> DataFrame:
 
 def _mean_ratio(words: Column, weights: Column, buckets: int) -> Column:
     total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, x)) / F.greatest(F.size(b), F.lit(1))
-    return _let(ngram_buckets(words, buckets), total)
+    return _let(_let(words, lambda w: ngram_buckets(w, buckets)), total)
+
+
+def measured(words: Column, weights: Column, buckets: int) -> Column:
+    """What the verdict rests on, from words that are taken apart once."""
+    return _let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+            repeated_words(w).alias("n_repeat_words"), _mean_ratio(w, weights, buckets).alias("llr"),
+        ),
+    )
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
 def _constant(values: list[float]) -> Column:
@@ -134,24 +149,25 @@ def judge(
     weights, threshold = fitted or fit(docs, labels, ratio, id_col, text)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     docs = docs.drop(*made)
-    body, words = text_of(docs, text), F.col("__words")
+    body, m = text_of(docs, text), F.col("__measured")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    out = docs.withColumn("__words", words_of(body)).withColumns(
+    out = docs.withColumn("__measured", measured(words_of(body), _constant(weights), ratio.buckets)).withColumns(
         {
-            "n_words": F.size(words).cast("bigint"),
-            "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
+            "n_words": m["n_words"],
+            "word_chars": m["word_chars"],
             "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint"),
             "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-            "n_repeat_words": repeated_words(words),
-            "llr": _mean_ratio(words, _constant(weights), ratio.buckets),
+            "n_repeat_words": m["n_repeat_words"],
+            "base_failed": base_failed(m),
+            "llr": m["llr"],
+            "kept": ~base_failed(m) & (m["llr"] >= F.lit(threshold)),
         }
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.drop("__words").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    return out.drop("__measured")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, ratio: Ratio = Ratio()) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    names = [f"`{c}`" for c in docs.columns]
-    return judge(docs, labels, ratio).filter("kept").select(*names)
+    """The documents that pass, with their own columns. The condition is one expression, so it is worked out once per row."""
+    weights, threshold = fit(docs, labels, ratio)
+    found = measured(words_of(text_of(docs)), _constant(weights), ratio.buckets)
+    return docs.filter(_let(found, lambda m: ~base_failed(m) & (m["llr"] >= F.lit(threshold))))
