@@ -18,6 +18,7 @@ links between different components.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
@@ -42,14 +43,13 @@ class Join:
     words: int = 5
     least: int = 80
     of: int = 100
-    bits: int = 1024
     #: Documents and tokens of one block; a tree's leaf.
     block: int = 1024
     block_tokens: int = 2_000_000
     leaf: int = 48
     #: Documents looked at to find frequent tokens, and how many of them make a token frequent. Only speed depends on them.
-    sample: int = 20_000
-    frequent: int = 20
+    sample: int = 4_000
+    frequent: int = 6
 
     def prefix(self, n: int) -> int:
         return n - -(-self.least * n // self.of) + 1
@@ -84,10 +84,20 @@ def shingles(text: str, k: int, memo: dict | None = None) -> np.ndarray:
     return np.unique(acc ^ (acc >> np.uint64(33)))
 
 
-def bitmap(tokens: np.ndarray, bits: int) -> bytes:
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Two to four bits per token, a power of two of them, so that long sets prune as well as short ones."""
+    bits = max(256, 1 << (2 * len(tokens) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
-    out[(tokens % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of fewer bits: a token's place is its hash modulo the bits, so halves are OR-ed."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
 
 
 class SignatureTree:
@@ -161,6 +171,8 @@ def sketches(docs: DataFrame, how: Join, frequent: np.ndarray, id_col: str, text
     """Per document: set size, digest of the set, digest of the text, bitmap and prefix tokens."""
     narrow = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text).alias("text"))
 
+    frequent_and_end = np.append(frequent, np.uint64(0))
+
     def run(batches):
         memo = _Words()
         for batch in batches:
@@ -168,9 +180,10 @@ def sketches(docs: DataFrame, how: Join, frequent: np.ndarray, id_col: str, text
             for body in batch.column(1).to_pylist():
                 s = shingles(body, how.words, memo)
                 n = len(s)
-                hot = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
+                at = np.searchsorted(frequent, s)
+                hot = frequent_and_end[at] == s
                 prefix = np.concatenate([s[~hot], s[hot]])[: how.prefix(n) if n else 0]
-                out.append((n, md5(s.tobytes()).digest(), md5(body.encode()).digest(), bitmap(s, how.bits), prefix.view(np.int64)))
+                out.append((n, md5(s.tobytes()).digest(), md5(body.encode()).digest(), bitmap(s), prefix.view(np.int64)))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]],
@@ -183,7 +196,7 @@ def sketches(docs: DataFrame, how: Join, frequent: np.ndarray, id_col: str, text
 def frequent_tokens(docs: DataFrame, how: Join, text: str) -> np.ndarray:
     """Tokens that many documents of a bounded sample hold; at most ``sample * 1000 / frequent`` are sent."""
     share = min(1.0, how.sample / max(docs.count(), 1))
-    body = docs.select(text_of(docs, text).alias("text")).sample(fraction=share, seed=1).distinct()
+    body = docs.select(text_of(docs, text).alias("text")).sample(fraction=share, seed=1)
 
     def run(batches):
         for batch in batches:
@@ -196,10 +209,25 @@ def frequent_tokens(docs: DataFrame, how: Join, text: str) -> np.ndarray:
 
 
 def _groups(nodes: DataFrame, tokens, how: Join) -> DataFrame:
-    """``group, left, right``: nodes that share a token, each such set of nodes once; ``right`` is empty within a block."""
-    rows = nodes.select(tokens.alias("token"), "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
+    """``group, left, right``: nodes that share a token, each such set of nodes once; ``right`` is empty within a block.
+
+    Only runs of sizes in which neighbours could link, and that hold more than one component, come out.
+    """
+    rows = nodes.select(tokens.alias("token"), "n", "node", "comp").repartition("token").sortWithinPartitions("token", "n", "node")
 
-    def cut(run: list[tuple[int, int]]) -> Iterator[tuple[list[int], list[int]]]:
+    def near(run: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+        start = 0
+        for i in range(1, len(run) + 1):
+            if i == len(run) or how.of * run[i - 1][0] < how.least * run[i][0]:
+                if i - start > 1 and any(x[2] != run[start][2] for x in run[start + 1 : i]):
+                    yield run[start:i]
+                start = i
+
+    def cut(members: list[tuple[int, int, int]]) -> Iterator[tuple[list[int], list[int]]]:
+        for run in near(members):
+            yield from blocked(run)
+
+    def blocked(run: list[tuple[int, int, int]]) -> Iterator[tuple[list[int], list[int]]]:
         blocks, held = [[]], 0
         for row in run:
             if blocks[-1] and (len(blocks[-1]) == how.block or held + row[0] > how.block_tokens):
@@ -228,7 +256,7 @@ def _groups(nodes: DataFrame, tokens, how: Join) -> DataFrame:
             )
 
         for batch in batches:
-            ts, ns, ids = (batch.column(i).to_numpy() for i in range(3))
+            ts, ns, ids, cs = (batch.column(i).to_numpy() for i in range(4))
             edges = np.flatnonzero(np.diff(ts)) + 1
             found = []
             for a, b in zip([0, *edges], [*edges, len(ts)]):
@@ -239,7 +267,7 @@ def _groups(nodes: DataFrame, tokens, how: Join) -> DataFrame:
                         found += cut(members)
                     token, members = ts[a], []
                 if b - a > 1 or members or b == len(ts) or a == 0:
-                    members += zip(ns[a:b].tolist(), ids[a:b].tolist())
+                    members += zip(ns[a:b].tolist(), ids[a:b].tolist(), cs[a:b].tolist())
             if found:
                 yield packed(found)
         if len(members) > 1:
@@ -254,8 +282,8 @@ def _members(groups: DataFrame) -> DataFrame:
     return groups.select("group", F.explode(F.concat(side("left", False), side("right", True))).alias("m")).select("group", "m.node", "m.right")
 
 
-def _by_group(batches, names: list[str]):
-    """Sorted rows as one dict of columns per group; a group has two blocks at most."""
+def _by_group(batches):
+    """Sorted rows as one table per group; a group has two blocks at most."""
     key, parts = None, []
     for batch in batches:
         keys = batch.column(0).to_pylist()
@@ -273,30 +301,42 @@ def _by_group(batches, names: list[str]):
 
 
 def _trees(table: pa.Table, how: Join, comps: np.ndarray):
-    sizes = table.column("n").to_numpy()
-    maps = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sizes), -1)
+    """Candidate pairs of a group: one tree per side and bitmap length, lengths meeting at the shorter."""
+    sizes, bits = table.column("n").to_numpy(), table.column("bits").to_pylist()
     right = table.column("right").to_numpy(zero_copy_only=False).astype(bool)
-    sides = [np.flatnonzero(~right), np.flatnonzero(right)]
-    trees = [SignatureTree(sizes[s], maps[s], comps[s], how.leaf) if len(s) else None for s in sides]
-    if trees[0] is None:
-        return
-    other = 0 if trees[1] is None else 1
-    for i, j in candidates(trees[0], trees[other], how):
-        yield sides[0][i], sides[other][j]
+    length = np.array([len(x) for x in bits])
+    classes: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray]] = {}
+    for r, k in sorted(set(zip(right.tolist(), length.tolist()))):
+        rows = np.flatnonzero((right == r) & (length == k))
+        maps = np.frombuffer(b"".join([bits[i] for i in rows]), np.uint64).reshape(len(rows), -1)
+        classes[r, k] = rows, maps
+    tree = functools.cache(
+        lambda key, words: SignatureTree(sizes[classes[key][0]], folded(classes[key][1], words), comps[classes[key][0]], how.leaf)
+    )
+    two = right.any() and not right.all()
+    for x in classes:
+        for y in classes:
+            if (x[0] or not y[0]) if two else y < x:
+                continue
+            words = min(x[1], y[1]) // 8
+            for i, j in candidates(tree(x, words), tree(y, words), how):
+                yield classes[x][0][i], classes[y][0][j]
 
 
 def _with_partner(members: DataFrame, how: Join) -> DataFrame:
-    """Members (``group, right, node, n, bits, comp``) that have a possible partner of another component in their group."""
+    """Members that have a possible partner of another component in their group; equal sets of them are named alike."""
 
     def run(batches):
-        for key, table in _by_group(batches, []):
+        for _, table in _by_group(batches):
             comps = table.column("comp").to_numpy()
             hit = np.zeros(table.num_rows, bool)
-            if table.num_rows > 1 and (comps != comps[0]).any():
-                for i, j in _trees(table, how, comps):
-                    hit[i] = hit[j] = True
+            for i, j in _trees(table, how, comps):
+                hit[i] = hit[j] = True
             if hit.any():
-                yield from table.filter(pa.array(hit)).combine_chunks().to_batches()
+                left = table.filter(pa.array(hit)).sort_by([("right", "ascending"), ("node", "ascending")]).combine_chunks()
+                name = md5(left.column("node").to_numpy().tobytes() + left.column("right").to_numpy(zero_copy_only=False).tobytes()).digest()
+                named = left.drop_columns(["group"]).add_column(0, "group", pa.array([name] * left.num_rows, pa.binary()))
+                yield from named.to_batches()
 
     ordered = members.repartition("group").sortWithinPartitions("group")
     return ordered.mapInArrow(run, ordered.schema)
@@ -320,7 +360,7 @@ def _verified(members: DataFrame, how: Join) -> DataFrame:
     """Exact links that join different components, found group by group: ``a, b``."""
 
     def run(batches):
-        for key, table in _by_group(batches, []):
+        for _, table in _by_group(batches):
             nodes, comps = table.column("node").to_numpy(), table.column("comp").to_numpy()
             tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
             up = {c: c for c in comps.tolist()}
@@ -349,16 +389,13 @@ def _verified(members: DataFrame, how: Join) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def _round(docs: DataFrame, nodes: DataFrame, tokens, comps: DataFrame | None, how: Join, text: str) -> DataFrame:
-    members = _members(_groups(nodes, tokens, how)).join(nodes.select("node", "n", "bits", "text_key"), "node")
-    if comps is None:
-        members = members.withColumn("comp", F.col("node"))
-    else:
-        members = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    members = members.select("group", "node", "right", "n", "bits", "text_key", "comp")
-    left = stored(_with_partner(members, how), "jaccard-partners")
-    need = stored(left.select("text_key", "node").distinct(), "jaccard-need")
-    checked = left.drop("text_key").join(_sets(docs, need, how, text), "node").select("group", "node", "right", "n", "bits", "comp", "tokens")
+def _round(docs: DataFrame, nodes: DataFrame, tokens, how: Join, text: str) -> DataFrame:
+    """Links between different components of ``nodes`` among those that share one of ``tokens``."""
+    members = _members(_groups(nodes, tokens, how)).join(nodes.select("node", "n", "bits", "comp"), "node")
+    members = members.select("group", "node", "right", "n", "bits", "comp")
+    left = stored(_with_partner(members, how).dropDuplicates(["group", "node", "right"]), "jaccard-partners")
+    need = stored(left.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "jaccard-need")
+    checked = left.join(_sets(docs, need, how, text), "node").select("group", "node", "right", "n", "bits", "comp", "tokens")
     return stored(_verified(checked, how), "jaccard-links")
 
 
@@ -377,10 +414,9 @@ def join(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text: str
     some = ["n", "text_key", "bits", "prefix"]
     nodes = sketch.filter("n > 0").groupBy("digest").agg(F.any_value(F.struct(*some)).alias("s"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "s.*"), "jaccard-nodes")
-    first = _round(docs, nodes, F.get("prefix", F.lit(0)), None, how, text)
-    comps = components(first)
-    comps = stored(comps, "jaccard-components")
-    second = _round(docs, nodes, F.explode("prefix"), comps, how, text)
+    first = _round(docs, nodes.withColumn("comp", F.col("node")), F.get("prefix", F.lit(0)), how, text)
+    merged = nodes.join(components(first), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    second = _round(docs, merged, F.explode("prefix"), how, text)
     comps = components(first.unionAll(second))
     owner = nodes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     ids = stored(sketch.select("doc_id", "n", "digest").join(owner, "digest", "left").select("doc_id", "n", "component"), "jaccard-ids")
