@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bandloom.llm import bpe, exact, jaccard, lines, mixing, quality, secrets
+from bandloom.llm import bpe, exact, jaccard, lines, mixing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays, for every document."""
     found = exact.dedup(documents(spark, sf_dir))
@@ -136,7 +142,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op7_exact_dedup, op9_mixing, op10_secrets)
+    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op7_exact_dedup, op9_mixing, op10_secrets)
     return {fn.__name__: fn for fn in found} | {"pipeline": corpus_pipeline.run}
 
 
