@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bandloom.llm import bpe, exact, jaccard, lines, mixing, quality, secrets, toxicity
+from bandloom.llm import bpe, exact, jaccard, lines, mixing, quality, secrets, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,12 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 400-byte strings that are found twice."""
+    found = suffix.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
@@ -142,7 +148,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op7_exact_dedup, op9_mixing, op10_secrets)
+    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets)
     return {fn.__name__: fn for fn in found} | {"pipeline": corpus_pipeline.run}
 
 
