@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bandloom.llm import bpe, exact, jaccard, lines, mixing, quality, secrets, suffix, toxicity
+from bandloom.llm import bpe, chat, exact, jaccard, lines, mixing, quality, secrets, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels)
 
 
+def op6_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation without quotes, with the turn it answers and its thread."""
+    return chat.conversations_without_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays, for every document."""
     found = exact.dedup(documents(spark, sf_dir))
@@ -148,7 +153,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets)
+    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op6_chat_quotes, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets)
     return {fn.__name__: fn for fn in found} | {"pipeline": corpus_pipeline.run}
 
 
