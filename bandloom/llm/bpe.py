@@ -59,8 +59,8 @@ class Transducer:
     A hypothesis is an open token: the token before it and its place in the trie. A
     state is the tuple of live hypotheses, oldest first, each packed as
     ``(token before + 1) << 24 | node``. Every prefix has exactly one encoding, so a
-    step also names its last token; tokens are emitted once no live hypothesis
-    reaches back before them.
+    step also names its last token; tokens are emitted up to the last border that all
+    live hypotheses share.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
@@ -163,12 +163,21 @@ class Transducer:
             step = known.get(state << 8 | byte)
             state, last = self._step(state, byte) if step is None else step
             waiting.append(last)
-            if len(waiting) >= EMIT_EVERY:
-                settled = len(waiting) - self.depth[self.states[state][0] & 0xFFFFFF]
+            if not len(waiting) % EMIT_EVERY:
+                settled = self._settled(waiting, state)
                 out += self._tokens(waiting, settled)
                 del waiting[:settled]
         return out + self._tokens(waiting, len(waiting))
 
+    def _settled(self, ends: list[int], state: int) -> int:
+        """Bytes up to the last border that all live hypotheses have come through."""
+        borders = {len(ends) - self.depth[h & 0xFFFFFF] for h in self.states[state]}
+        while len(borders) > 1:
+            last = max(borders)
+            borders.remove(last)
+            borders.add(last - len(self.bytes_of[ends[last - 1]]))
+        return borders.pop()
+
     def _tokens(self, ends: list[int], upto: int) -> list[int]:
         """The tokens of the first ``upto`` bytes, followed back from the last."""
         back = []

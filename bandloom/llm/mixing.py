@@ -90,8 +90,8 @@ def plan(rows: DataFrame, targets: DataFrame, seed: str = SEED, step_rows: int =
     last = last.select(F.col("source").alias("l_source"), F.col("last.at").alias("cut"), F.col("last.size").alias("cut_size"))
     t = t.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
     return t.select(
-        F.col("source").alias("p_source"), "source_size", "target", "epochs", F.col("steps").alias("p_steps"),
-        F.coalesce("e_step", F.lit(-1)).alias("e_step"), F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("cut_size", F.lit(-1)).alias("cut_size"),
+        "source", "source_size", "target", "epochs", "steps",
+        F.coalesce("e_step", F.lit(-1)).alias("edge"), F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("cut_size", F.lit(-1)).alias("cut_size"),
     )
 
 
@@ -110,15 +110,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = stored(narrow, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     decided = stored(plan(rows, water_fill(weigh(sizes), max_epochs), seed), "mix-decided")
-    marked = docs.withColumns({"mix_size": size, "__mix_at": at})
-    out = marked.join(broadcast_within(decided), docs[source].cast("string").eqNullSafe(F.col("p_source")))
-    step = F.floor(F.conv(F.substring("__mix_at", 1, 13), 16, 10).cast("bigint") / F.lit(2.0**52) * F.col("p_steps"))
-    inside = (F.col("__mix_at") < F.col("cut")) | ((F.col("__mix_at") == F.col("cut")) & (F.col("mix_size") <= F.col("cut_size")))
-    once_more = (step < F.col("e_step")) | ((step == F.col("e_step")) & inside)
+    p = {c: F.col(f"__mix_{c}") for c in decided.columns}
+    decided = decided.select(*[F.col(c).alias(f"__mix_{c}") for c in decided.columns])
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_times")
+    out = docs.withColumns({"mix_size": size, "__mix_at": at}).join(broadcast_within(decided), docs[source].cast("string").eqNullSafe(p["source"]))
+    step = F.floor(F.conv(F.substring("__mix_at", 1, 13), 16, 10).cast("bigint") / F.lit(2.0**52) * p["steps"])
+    inside = (F.col("__mix_at") < p["cut"]) | ((F.col("__mix_at") == p["cut"]) & (F.col("mix_size") <= p["cut_size"]))
+    once_more = (step < p["edge"]) | ((step == p["edge"]) & inside)
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in {"mix_size", "mix_source_size", "mix_target", "mix_times"}],
-        "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
-        (F.col("epochs") + once_more.cast("bigint")).alias("mix_times"),
+        *[f"`{c}`" for c in docs.columns], "mix_size", p["source_size"].alias("mix_source_size"), p["target"].alias("mix_target"),
+        (p["epochs"] + once_more.cast("bigint")).alias("mix_times"),
     )
 
 
