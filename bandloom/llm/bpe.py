@@ -28,7 +28,7 @@ from bandloom.llm.common import text_of
 
 ROOT = 0
 #: Determinised states and encoded pieces held by one worker.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 400_000, 400_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 250_000, 250_000
 #: Bytes of a piece after which tokens are emitted that nothing can change any more.
 EMIT_EVERY = 1024
 #: Rows of a batch that are encoded together.
@@ -99,7 +99,7 @@ class Transducer:
 
     def _reset(self) -> None:
         self.states, self.number = [(ROOT,)], {(ROOT,): 0}
-        self.next: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> (state, last token)
+        self.next: dict[int, int] = {}  # state << 8 | byte -> state << 32 | last token
         if len(self.fits) > MAX_PAIRS:
             self.fits.clear()
 
@@ -124,7 +124,7 @@ class Transducer:
             else:
                 until, j = arose_y, j + 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
+    def _step(self, state: int, byte: int) -> int:
         child, accept, inner, fits, last, live = self.child, self.accept, self.inner, self.fits, -1, []
         for h in self.states[state]:
             node = h & 0xFFFFFF
@@ -148,7 +148,7 @@ class Transducer:
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        step = self.next[state << 8 | byte] = number, last
+        step = self.next[state << 8 | byte] = number << 32 | last
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -161,8 +161,10 @@ class Transducer:
         state, known, waiting = 0, self.next, []  # waiting: per byte, the token that ends there
         for byte in piece:
             step = known.get(state << 8 | byte)
-            state, last = self._step(state, byte) if step is None else step
-            waiting.append(last)
+            if step is None:
+                step = self._step(state, byte)
+            state = step >> 32
+            waiting.append(step & 0xFFFFFFFF)
             if not len(waiting) % EMIT_EVERY:
                 settled = self._settled(waiting, state)
                 out += self._tokens(waiting, settled)

@@ -389,12 +389,27 @@ def _verified(members: DataFrame, how: Join) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
+def _without_subsets(members: DataFrame) -> DataFrame:
+    """Leave out groups that lie inside another one: all their nodes have the same largest group.
+
+    That group is one block, so it compares all pairs of its nodes.
+    """
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.bool_or("right").alias("two"))
+    rows = members.select("group", "node").join(sizes, "group")
+    largest = rows.filter("not two").groupBy("node").agg(F.max(F.struct("size", "group"))["group"].alias("largest"))
+    seen = rows.join(largest, "node", "left").groupBy("group").agg(
+        F.min("largest").alias("a"), F.max("largest").alias("b"), (F.count("largest") == F.count(F.lit(1))).alias("all")
+    )
+    return members.join(seen.filter("all and a = b and a != group").select("group"), "group", "left_anti")
+
+
 def _round(docs: DataFrame, nodes: DataFrame, tokens, how: Join, text: str) -> DataFrame:
     """Links between different components of ``nodes`` among those that share one of ``tokens``."""
     members = _members(_groups(nodes, tokens, how)).join(nodes.select("node", "n", "bits", "comp"), "node")
     members = members.select("group", "node", "right", "n", "bits", "comp")
     left = stored(_with_partner(members, how).dropDuplicates(["group", "node", "right"]), "jaccard-partners")
     need = stored(left.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "jaccard-need")
+    left = stored(_without_subsets(left), "jaccard-groups")
     checked = left.join(_sets(docs, need, how, text), "node").select("group", "node", "right", "n", "bits", "comp", "tokens")
     return stored(_verified(checked, how), "jaccard-links")
 

@@ -153,9 +153,10 @@ def learn(docs: DataFrame, labels: DataFrame, how: Lexicon = Lexicon(), id_col:
             yield pa.RecordBatch.from_arrays([*[pa.array([v[i] for v in x], pa.float64()) for i in range(4)], batch.column(1)], names=["a", "b", "c", "d", "toxic"])
 
     table = rows.select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic int")
-    table = table.orderBy("a", "b", "c", "d", "toxic").toArrow()  # at most ``sample`` rows of five numbers
-    x = np.column_stack([table.column(i).to_numpy() for i in range(4)] + [np.ones(table.num_rows)])
-    return weights, exceptions, _logistic(x, table.column(4).to_numpy().astype(float)).tolist()
+    table = table.toArrow()  # at most ``sample`` rows of five numbers
+    rows = np.column_stack([table.column(i).to_numpy().astype(float) for i in range(5)] + [np.ones(table.num_rows)])
+    rows = rows[np.lexsort(rows.T)]  # sums do not depend on which task was first
+    return weights, exceptions, _logistic(rows[:, [0, 1, 2, 3, 5]], rows[:, 4]).tolist()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
