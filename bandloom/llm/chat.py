@@ -132,23 +132,22 @@ def parents(parsed: DataFrame) -> DataFrame:
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """Add ``root_turn`` and ``depth``: jump from parent to parent's parent until nothing moves."""
-    state = stored(
-        links.select("*", F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).alias("depth")), "chat-links"
-    )
+    """Add ``root_turn`` and ``depth``: jump from parent to parent's parent until all have arrived.
+
+    A round moves only the messages that have not; a chain of n takes about log n rounds.
+    """
+    is_root = F.col("parent_turn").isNull()
+    state = links.select("*", F.coalesce("parent_turn", "turn").alias("root_turn"), (~is_root).cast("int").alias("depth"), is_root.alias("done"))
     while True:
-        up = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("steps"))
-        moved = state.join(up, ["conv_id", "root_turn"], "left")
-        moved = stored(
-            moved.select(
-                *links.columns, F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"),
-                (F.col("above") != F.col("root_turn")).alias("moved"),
-            ),
-            "chat-threads",
-        )
-        state = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return state
+        state = stored(state, "chat-threads")
+        open_ = state.filter("not done")
+        if open_.isEmpty():
+            return state.drop("done")
+        up = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("steps"), F.col("done").alias("there"))
+        moved = open_.join(up, ["conv_id", "root_turn"]).select(
+            *links.columns, F.col("above").alias("root_turn"), (F.col("depth") + F.col("steps")).alias("depth"), F.col("there").alias("done")
+        )
+        state = state.filter("done").unionByName(moved)
 
 
 def conversations_without_quotes(conversations: DataFrame, least: int = MIN_CHARS) -> DataFrame:
