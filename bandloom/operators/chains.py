@@ -41,9 +41,9 @@ def welch_t(df: DataFrame, keys: list[str], a: str, b: str, p_value: bool = True
     s = df.groupBy(*keys).agg(
         *[f(c).alias(f"__{n}{i}") for i, c in enumerate((a, b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
     )
-    e0, e1 = F.col("__v0") / F.col("__n0"), F.col("__v1") / F.col("__n1")
-    df_ = F.pow(e0 + e1, F.lit(2.0)) / (e0 * e0 / (F.col("__n0") - 1) + e1 * e1 / (F.col("__n1") - 1))
-    out = s.select(*keys, ((F.col("__m0") - F.col("__m1")) / F.sqrt(e0 + e1)).alias("t"), df_.alias("df"))
+    e0, e1 = F.try_divide(F.col("__v0"), F.col("__n0")), F.try_divide(F.col("__v1"), F.col("__n1"))
+    df_ = F.try_divide(F.pow(e0 + e1, F.lit(2.0)), F.try_divide(e0 * e0, F.col("__n0") - 1) + F.try_divide(e1 * e1, F.col("__n1") - 1))
+    out = s.select(*keys, F.try_divide(F.col("__m0") - F.col("__m1"), F.sqrt(e0 + e1)).alias("t"), df_.alias("df"))
     return out.withColumn("p", t_p_value("t", "df")) if p_value else out
 
 
@@ -53,7 +53,7 @@ def rmse(sim: Column, obs: Column) -> Column:
 
 def nse(sim: Column, obs: Column) -> Column:
     """Nash-Sutcliffe efficiency."""
-    return 1 - F.sum((sim - obs) * (sim - obs)) / (F.var_pop(obs) * F.count(obs))
+    return 1 - F.try_divide(F.sum((sim - obs) * (sim - obs)), F.var_pop(obs) * F.count(obs))
 
 
 def log_nse(sim: Column, obs: Column) -> Column:
@@ -95,7 +95,7 @@ def gelman_rubin(df: DataFrame, chain: str, columns: list[str], idx: str = "idx"
     per = rows.groupBy("name", chain).agg(F.avg("value").alias("__m"), F.var_samp("value").alias("__v"), F.count("value").alias("__n"))
     s = per.groupBy("name").agg(F.var_samp("__m").alias("__b"), F.avg("__v").alias("__w"), F.count(F.lit(1)).alias("__k"), F.min("__n").alias("__n"))
     s2 = F.col("__w") * (F.col("__n") - 1) / F.col("__n") + F.col("__b")
-    return s.select("name", ((s2 + F.col("__b") / F.col("__k")) / F.col("__w")).alias("r_hat"))
+    return s.select("name", F.try_divide(s2 + F.col("__b") / F.col("__k"), F.col("__w")).alias("r_hat"))
 
 
 def geweke(df: DataFrame, keys: list[str], value: str, idx: str = "idx", intervals: int = 20) -> DataFrame:
@@ -110,7 +110,7 @@ def geweke(df: DataFrame, keys: list[str], value: str, idx: str = "idx", interva
     tagged = rows.select(*keys, F.col(value).alias("v"), F.explode(parts).alias("s")).select(*keys, "v", "s.*")
     tagged = tagged.filter((F.col("k") >= 0) & (F.col("k") < intervals))
     side = lambda f, s: f(F.when(F.col("late") == s, F.col("v")))
-    z = (side(F.avg, 0) - side(F.avg, 1)) / F.sqrt(side(F.var_pop, 0) + side(F.var_pop, 1))
+    z = F.try_divide(side(F.avg, 0) - side(F.avg, 1), F.sqrt(side(F.var_pop, 0) + side(F.var_pop, 1)))
     return tagged.groupBy(*keys, "k").agg(z.alias("z"))
 
 
@@ -121,7 +121,7 @@ def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: list[int],
     shifted = x.select(*keys, F.explode(F.array(*[F.lit(h) for h in lags])).alias("lag"), F.col(idx).alias("__i"), F.col("__x").alias("__x0"))
     shifted = shifted.withColumn(idx, F.col("__i") + F.col("lag")).drop("__i")
     pairs = x.join(shifted, [*keys, idx]).join(broadcast_if_small(s), keys)
-    r = F.sum((F.col("__x") - F.col("__m")) * (F.col("__x0") - F.col("__m"))) / F.first(F.col("__n") * F.col("__c0"))
+    r = F.try_divide(F.sum((F.col("__x") - F.col("__m")) * (F.col("__x0") - F.col("__m"))), F.first(F.col("__n") * F.col("__c0")))
     return pairs.groupBy(*keys, "lag").agg(r.alias("r"))
 
 

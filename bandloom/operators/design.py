@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import broadcast_if_small, hash_ranked
+from .order import broadcast_if_small, hash_ranked, null_safe_join
 
 KEYS = ["study", "date", "plot_id"]
 
@@ -32,10 +32,11 @@ def dataset_id(df: DataFrame, outer: str = "study", inner: str = "date", out: st
     shifts = sizes.select(outer, F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__shift"))
     ids = (
         sets.withColumn("__r", F.row_number().over(within))
-        .join(shifts, outer)
+        .withColumnRenamed(outer, "__o")
+        .join(shifts, F.col("__o").eqNullSafe(F.col(outer)))
         .select(outer, inner, (F.col("__shift") + F.col("__r") - 1).cast("bigint").alias(out))
     )
-    return df.join(broadcast_if_small(ids), [outer, inner])
+    return null_safe_join(df, broadcast_if_small(ids), [outer, inner])
 
 
 def digest(key: Column, seed: int | Column) -> Column:
@@ -48,7 +49,7 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.4,
     """Add ``is_test``: exactly round(share * n) rows of every stratum."""
     tagged = df.withColumn("__h", digest(F.col(key), seed))
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = hash_ranked(tagged, [stratum], "__h", key, "__rn").join(broadcast_if_small(sizes), stratum)
+    numbered = null_safe_join(hash_ranked(tagged, [stratum], "__h", key, "__rn"), broadcast_if_small(sizes), [stratum])
     return numbered.withColumn("is_test", F.col("__rn") <= F.round(F.lit(share) * F.col("__n"))).drop("__h", "__n", "__rn")
 
 
@@ -63,7 +64,7 @@ def fold_rows(
     repeats = F.sequence(F.lit(0).cast("bigint"), F.lit(n_repeats - 1).cast("bigint"))
     rows = df.withColumn("repeat", F.explode(repeats)).withColumn("__h", digest(F.col(key), F.col("repeat") + seed))
     numbered = hash_ranked(rows, [stratum, "repeat"], "__h", key, "__rn")
-    return numbered.withColumn("fold", ((F.col("__rn") - 1 + F.col(stratum)) % n_splits).cast("bigint")).drop("__h", "__rn")
+    return numbered.withColumn("fold", ((F.col("__rn") - 1 + F.coalesce(F.col(stratum), F.lit(0))) % n_splits).cast("bigint")).drop("__h", "__rn")
 
 
 def repeated_kfold(

@@ -34,6 +34,16 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(side.sparkSession.createDataFrame(head, side.schema))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join on ``keys`` in which null equals null; the keys come from the left side."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the largest group (only the key columns are read)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +79,7 @@ def with_cells(df: DataFrame, keys: list[str], order: list[str], cells: int = 25
         *[F.array_distinct(F.percentile_approx(c, probs, 4 * cells)).alias(f"__split{i}") for i, c in enumerate(by)]
     )
     splits = splits.withColumns({f"__coarse{i}": _coarse(F.col(f"__split{i}")) for i in range(len(by))})
-    tagged = _place(df.join(broadcast_if_small(splits), keys), by[0], "__split0", "__coarse0", _CELL)
+    tagged = _place(null_safe_join(df, broadcast_if_small(splits), keys), by[0], "__split0", "__coarse0", _CELL)
     if len(by) == 1:
         return tagged.withColumn(_SUB, F.lit(0))
     # Only rows on a split value are cut again; for the others the lists are null and so is the cell (-1).
@@ -89,7 +99,7 @@ def _carry(tagged: DataFrame, keys: list[str], order: list[str], outs: dict) ->
     carried = totals.select(
         *cell_cols, *[_FOLDS[how](f"__t_{out}").over(before).alias(f"__c_{out}") for out, (how, _) in outs.items()]
     )
-    rows = tagged.join(broadcast_if_small(carried), cell_cols)
+    rows = null_safe_join(tagged, broadcast_if_small(carried), cell_cols)
     for out, (how, expr) in outs.items():
         local, carry = _FOLDS[how](expr).over(inside), F.col(f"__c_{out}")
         if how == "sum":
@@ -116,7 +126,7 @@ def running(
 
     ``outs`` maps an output name to ``(how, column)`` with ``how`` one of sum,
     min, max. ``order`` must make rows unique within a group; its first two
-    columns must be numbers or times. Keys must not be null.
+    columns must be numbers or times. Rows with null keys form groups like any other.
     """
     limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
     if largest_group(df, keys) <= limit:
@@ -177,7 +187,7 @@ def _located_percentiles(df, keys, values, probs, epsilon):
         F.count(F.lit(1)).alias("__n"),
     )
     splits = splits.withColumn("__coarse", _coarse(F.col("__splits")))
-    cells = _place(long.join(broadcast_if_small(splits), gk), "__v", "__splits", "__coarse", _CELL)
+    cells = _place(null_safe_join(long, broadcast_if_small(splits), gk), "__v", "__splits", "__coarse", _CELL)
     before = Window.partitionBy(*gk).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     counts = cells.groupBy(*gk, _CELL).agg(F.count(F.lit(1)).alias("__in"), F.first("__n").alias("__n"))
     counts = counts.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
@@ -209,16 +219,18 @@ def _located_percentiles(df, keys, values, probs, epsilon):
     )
     needed = broadcast_if_small(wanted.select(*gk, _CELL).distinct())
     # Equal values collapse before the shuffle; what is left of a cell is ordered.
-    kept = cells.join(needed, [*gk, _CELL], "left_semi").groupBy(*gk, _CELL, "__v").agg(F.count(F.lit(1)).alias("__w"))
+    kept = null_safe_join(cells, needed, [*gk, _CELL]).groupBy(*gk, _CELL, "__v").agg(F.count(F.lit(1)).alias("__w"))
     inside = Window.partitionBy(*gk, _CELL).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("__upto", F.sum("__w").over(inside))
-    hits = kept.join(broadcast_if_small(wanted), [*gk, _CELL]).filter("__k < __upto AND __k >= __upto - __w")
+    hits = null_safe_join(kept, broadcast_if_small(wanted), [*gk, _CELL]).filter("__k < __upto AND __k >= __upto - __w")
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("__v")))
     points = hits.groupBy(*gk, "i").agg(side("lo").alias("lo"), side("hi").alias("hi"), F.first("at").alias("at"))
     value = F.when(F.ceil("at") == F.floor("at"), F.col("lo")).otherwise(
         (F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi")
     )
     at = lambda v, i: F.max(F.when((F.col("__name") == v) & (F.col("i") == i), value))
-    return points.groupBy(*keys).agg(
-        *[F.array(*[at(v, i) for i in range(len(probs))]).alias(f"{v}_pctl") for v in values]
+    # A group without any value keeps its row; a column without any has no percentiles, as in the built-in.
+    found = points.groupBy(*keys).agg(
+        *[F.when(F.max((F.col("__name") == v).cast("int")) == 1, F.array(*[at(v, i) for i in range(len(probs))])).alias(f"{v}_pctl") for v in values]
     )
+    return null_safe_join(df.select(*keys).distinct(), found, keys, "left")

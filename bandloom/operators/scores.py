@@ -12,28 +12,38 @@ LARGER_IS_BETTER = ["R2"]
 
 
 def error_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "y_pred") -> DataFrame:
-    """MAE, RMSE and R2 per group in one aggregate."""
+    """MAE, RMSE and R2 per group in one aggregate.
+
+    A group with a row that has no prediction gets no scores: ``n_bad`` counts such
+    rows, so that failing on the hard rows is never an advantage.
+    """
     err = F.col(y) - F.col(pred)
-    out = df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+    known = df.filter(F.col(y).isNotNull())
+    if dict(df.dtypes)[pred] in ("double", "float"):
+        known = known.withColumn(pred, F.when(~F.isnan(pred), F.col(pred)))
+    out = known.groupBy(*keys).agg(
+        F.count(pred).alias("n"),
+        F.count_if(F.col(pred).isNull()).alias("n_bad"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sum(err * err).alias("__sse"),
         F.var_pop(y).alias("__var"),
     )
-    return out.withColumn("r2", F.when(F.col("__var") > 0, 1 - F.col("__sse") / (F.col("__var") * F.col("n")))).drop("__sse", "__var")
+    out = out.withColumn("r2", F.when((F.col("__var") > 0) & (F.col("n") > 0), 1 - F.try_divide(F.col("__sse"), F.col("__var") * F.col("n"))))
+    whole = F.col("n_bad") == 0
+    return out.withColumns({c: F.when(whole, F.col(c)) for c in ("mae", "rmse", "r2")}).drop("__sse", "__var")
 
 
 def best_fit_line(df: DataFrame, keys: list[str], measured: str = "y", predicted: str = "y_pred") -> DataFrame:
     """Least-squares line of measured on predicted values in one aggregate."""
     y, x = F.col(measured), F.col(predicted)
-    sse = F.regr_syy(y, x) - F.pow(F.regr_sxy(y, x), F.lit(2.0)) / F.regr_sxx(y, x)
+    sse = F.regr_syy(y, x) - F.try_divide(F.pow(F.regr_sxy(y, x), F.lit(2.0)), F.regr_sxx(y, x))
     return df.groupBy(*keys).agg(
         F.regr_count(y, x).alias("n"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r2"),
-        F.sqrt(F.greatest(sse, F.lit(0.0)) / F.regr_count(y, x)).alias("rmse"),
+        F.when(sse.isNotNull(), F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), F.regr_count(y, x)))).alias("rmse"),
     )
 
 
@@ -135,7 +145,7 @@ def relative_rmse(df: DataFrame, response: DataFrame, keys: list[str], value: st
     """Mean value per scenario in percent of the mean response (a scalar subquery)."""
     scale = response.agg(F.avg(y)).scalar()
     means = df.groupBy(*keys).agg(F.avg(value).alias("__m"))
-    return means.select(*keys, (F.col("__m") / scale * 100).alias("rrmse"))
+    return means.select(*keys, (F.try_divide(F.col("__m"), scale) * 100).alias("rrmse"))
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -223,11 +233,11 @@ def density(df: DataFrame, keys: list[str], value: str, points: list[float], wid
     spread = df.groupBy(*keys).agg(F.stddev(value).alias("__sd"), F.count(value).alias("__n"))
     spread = spread.select(*keys, "__n", (F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("__h"))
     rows = merged.join(broadcast_if_small(spread), keys)
-    z = (F.col("point") - F.col("__v")) / F.col("__h")
+    z = F.try_divide(F.col("point") - F.col("__v"), F.col("__h"))
     kernel = F.col("__w") * F.exp(-0.5 * z * z)
     grid = rows.withColumn("point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
     scale = F.first("__n") * F.first("__h") * F.lit((2 * 3.141592653589793) ** 0.5)
-    return grid.groupBy(*keys, "point").agg((F.sum(kernel) / scale).alias("density"))
+    return grid.groupBy(*keys, "point").agg(F.try_divide(F.sum(kernel), scale).alias("density"))
 
 
 # --- tuning and score bookkeeping -------------------------------------------
@@ -237,12 +247,14 @@ def best_candidate(cv: DataFrame, keys: list[str], cand: str = "cand", metrics:
     """Candidate with the lowest mean validation MAE, its mean and spread over the splits.
 
     ``cv`` has one row per candidate and split with columns mae, mse, r2 (and any
-    other ``metrics``); the smaller candidate number wins ties.
+    other ``metrics``); the smaller candidate number wins ties. A candidate without a
+    score in any one split has no mean there and comes after all others.
     """
-    stats = cv.groupBy(*keys, cand).agg(*[f(c).alias(f"{n}_{c}") for c in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    whole = lambda c, v: F.when(F.count(c) == F.count(F.lit(1)), v)
+    stats = cv.groupBy(*keys, cand).agg(*[whole(c, f(c)).alias(f"{n}_{c}") for c in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     rest = [c for c in stats.columns if c not in (*keys, "mean_mae", cand)]
-    best = stats.groupBy(*keys).agg(F.min(F.struct("mean_mae", cand, *rest)).alias("__b"))
-    return best.select(*keys, "__b.*")
+    best = stats.groupBy(*keys).agg(F.min(F.struct(F.col("mean_mae").isNull().alias("__none"), "mean_mae", cand, *rest)).alias("__b"))
+    return best.select(*keys, "__b.*").drop("__none")
 
 
 def trim_components(sets: DataFrame, components: list[int], n_feats: str = "feat_n") -> DataFrame:
@@ -253,15 +265,15 @@ def trim_components(sets: DataFrame, components: list[int], n_feats: str = "feat
 
 
 def best_per_feature_count(tuning: DataFrame, keys: list[str], score: str, rest: list[str]) -> DataFrame:
-    """Row with the highest (negated) score for each feature count.
+    """Row with the highest (negated) score for each feature count; the largest ``rest`` (penalty) wins ties.
 
     A feature count without any score is dropped, except the smallest one.
     """
     by = [*keys, "feat_n"]
-    best = tuning.groupBy(*by).agg(F.max(F.struct(F.col(score), *[(-F.col(c)).alias(c) for c in rest])).alias("__b"))
+    best = tuning.groupBy(*by).agg(F.max(F.struct(score, *rest)).alias("__b"))
     small = tuning.groupBy(*keys).agg(F.min("feat_n").alias("__least"))
     out = best.join(broadcast_if_small(small), keys).filter(F.col(f"__b.{score}").isNotNull() | (F.col("feat_n") == F.col("__least")))
-    return out.select(*by, f"__b.{score}", *[(-F.col(f"__b.{c}")).alias(c) for c in rest])
+    return out.select(*by, f"__b.{score}", *[f"__b.{c}" for c in rest])
 
 
 def each_feature_count(df: DataFrame, keys: DataFrame, n: int) -> DataFrame:

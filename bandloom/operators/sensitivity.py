@@ -38,7 +38,7 @@ def variance_indices(cells: DataFrame, grid: Grid, keys: list[str], value: str =
         (F.sum(F.col("__m") * F.col("__m") * F.col("__n")) / F.sum("__n") - mean * mean).alias("__between")
     )
     total = cells.groupBy(*keys).agg(F.var_pop(value).alias("__total"))
-    ratio = F.col("__between") / F.col("__total")
+    ratio = F.try_divide(F.col("__between"), F.col("__total"))  # null where nothing varies
     pick = lambda k: F.max(F.when(F.col("__kind") == k, ratio))
     return spread.join(broadcast_if_small(total), keys).groupBy(*keys, "step").agg(pick("S1").alias("s1"), (1 - pick("ST")).alias("st"))
 
@@ -73,7 +73,7 @@ def sampled_indices(cells: DataFrame, grid: Grid, keys: list[str], n: int = 400,
     var = (F.sum(F.col("__ya") * F.col("__ya")) + F.sum(F.col("__yb") * F.col("__yb"))) / n2 - mean * mean
     diff = F.col("__ya") - F.col("__yi")
     return rows.groupBy(*keys, "step").agg(
-        (F.avg(F.col("__yb") * (F.col("__yi") - F.col("__ya"))) / var).alias("s1"), (0.5 * F.avg(diff * diff) / var).alias("st")
+        F.try_divide(F.avg(F.col("__yb") * (F.col("__yi") - F.col("__ya"))), var).alias("s1"), F.try_divide(0.5 * F.avg(diff * diff), var).alias("st")
     )
 
 
@@ -102,7 +102,7 @@ def fast_indices(df: DataFrame, keys: list[str], params: list[str], like: str, i
     name = F.element_at(F.array(*[F.lit(p) for p in params]), (F.col("block") + 1).cast("int"))
     scale = 2.0 / (F.col("N") * F.col("N"))
     return parts.join(broadcast_if_small(power), by).select(
-        *keys, name.alias("param"), (F.col("base") * scale / total).alias("s1"), (1 - F.col("low") * scale / total).alias("st")
+        *keys, name.alias("param"), F.try_divide(F.col("base") * scale, total).alias("s1"), (1 - F.try_divide(F.col("low") * scale, total)).alias("st")
     )
 
 
@@ -216,9 +216,9 @@ def morris(effects: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, mean absolute value and spread of the effects of each step."""
     n, e, total = F.col("n"), F.col("effect"), F.sum("n")
     mean = F.sum(n * e) / total
-    var = (F.sum(n * e * e) - total * mean * mean) / (total - 1)
+    var = F.try_divide(F.sum(n * e * e) - total * mean * mean, total - 1)
     return effects.groupBy(*keys, "step").agg(
-        mean.alias("mu"), (F.sum(n * F.abs(e)) / total).alias("mu_star"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma")
+        mean.alias("mu"), (F.sum(n * F.abs(e)) / total).alias("mu_star"), F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sigma")
     )
 
 

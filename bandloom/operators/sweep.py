@@ -186,8 +186,8 @@ def _salted(rows: DataFrame, side: DataFrame, plan: Plan):
 def score_candidates(train: DataFrame, models: DataFrame, plan: Plan, block: int = 256) -> DataFrame:
     """Errors of every candidate on the training and validation rows of its split.
 
-    Predictions are taken back through the split's transform; rows whose
-    prediction has no inverse are counted in ``n_bad`` and left out.
+    Predictions are taken back through the split's transform. Rows whose prediction
+    has no inverse are counted in ``n_bad``; a candidate with any has no score there.
     """
     keys, width = list(plan.keys), plan.width
     rows = members(train, plan).select(*keys, plan.row_id, "x", "y", F.transform("member", lambda m: m.cast("double")).alias("member"))
@@ -232,10 +232,12 @@ def score_candidates(train: DataFrame, models: DataFrame, plan: Plan, block: int
     partial = left.cogroup(right).applyInArrow(score, schema)
     total = partial.groupBy(*keys, *rest, "role").agg(*[F.sum(c).alias(c) for c in sums])
     n = F.col("n")
-    spread = F.col("syy") - F.col("sy") * F.col("sy") / n
+    spread = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    whole = (n > 0) & (F.col("n_bad") == 0)
     return total.select(
         *keys, *rest, "role", n.cast("bigint").alias("n"), F.col("n_bad").cast("bigint").alias("n_bad"),
-        F.when(n > 0, F.col("sae") / n).alias("mae"), F.when(n > 0, F.col("sse") / n).alias("mse"), F.when(spread > 0, 1 - F.col("sse") / spread).alias("r2"),
+        F.when(whole, F.col("sae") / n).alias("mae"), F.when(whole, F.col("sse") / n).alias("mse"),
+        F.when(whole & (spread > 0), 1 - F.col("sse") / spread).alias("r2"),
     )
 
 
@@ -265,8 +267,8 @@ def tune(train: DataFrame, plan: Plan) -> dict[str, DataFrame]:
     sets = checkpointed(distinct_sets(path, plan))
     models = fit_candidates(stats, lambdas, sets, plan)
     cv = cv_scores(train, models, plan)
-    metrics = ("mae", "mse", "r2", "train_mae", "train_mse", "train_r2")
-    best = best_candidate(cv.filter("mae IS NOT NULL"), [*keys, "alpha", "model"], metrics=metrics)
+    metrics = ("mae", "mse", "r2", "train_mae", "train_mse", "train_r2", "n_bad")
+    best = best_candidate(cv, [*keys, "alpha", "model"], metrics=metrics)
     las = F.array(*[F.lit(a) for a in plan.lasso_alphas])
     comp = F.array(*[F.lit(c) for c in plan.components])
     is_lasso = F.col("model") == "lasso"

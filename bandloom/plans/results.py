@@ -126,7 +126,7 @@ def tuning(s, d):
     "best_per_feature_count",
     V.sql(
         """SELECT grid_idx, feat_n, round(score, 6) AS score, cand FROM (SELECT *, min(feat_n) OVER (PARTITION BY grid_idx) AS least,
-          row_number() OVER (PARTITION BY grid_idx, feat_n ORDER BY score DESC NULLS LAST, cand) AS rn FROM
+          row_number() OVER (PARTITION BY grid_idx, feat_n ORDER BY score DESC NULLS LAST, cand DESC) AS rn FROM
           (SELECT grid_idx, feat_n, line AS cand, CASE WHEN feat_n % 7 <> 0 AND feat_n > 1 THEN -avg(value) END AS score
            FROM runs GROUP BY grid_idx, feat_n, line)) WHERE rn = 1 AND (score IS NOT NULL OR feat_n = least)""",
         "runs",
@@ -243,7 +243,7 @@ _PRED = """SELECT l_returnflag AS model, CAST(l_linenumber AS BIGINT) AS feat_n,
 @query(
     "error_metrics",
     V.sql(
-        """SELECT model, feat_n, count(*) AS n, round(avg(abs(y - y_pred)), 6) AS mae, round(sqrt(avg((y - y_pred) * (y - y_pred))), 6) AS rmse,
+        """SELECT model, feat_n, count(*) AS n, count(*) FILTER (y_pred IS NULL) AS n_bad, round(avg(abs(y - y_pred)), 6) AS mae, round(sqrt(avg((y - y_pred) * (y - y_pred))), 6) AS rmse,
         round(1 - sum((y - y_pred) * (y - y_pred)) / (var_pop(y) * count(*)), 6) AS r2 FROM p GROUP BY model, feat_n""",
         p=_PRED,
     ),

@@ -16,11 +16,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 def append(df: DataFrame, path: str, keys: list[str]) -> None:
     """Add rows under their key partitions; running a key again replaces its rows.
 
-    Rows are spread by key before writing, and further by a hash of the row, so
-    a large key is written by several tasks.
+    Rows are dealt out by key, and keys larger than the session's advisory
+    partition size by as many tasks as their size asks for.
     """
     (
-        df.repartition(*keys, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(8)))
+        df.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)

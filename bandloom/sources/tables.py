@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +15,24 @@ GROUND_META = "study string, date_image string, plot_id bigint, trt string, rate
 
 
 def read_csv(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
-    """CSV with a header and a fixed schema; columns are matched by name and never inferred."""
-    header = spark.read.option("header", True).csv(paths)
-    fields = T.StructType.fromDDL(schema).fields
-    return header.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+    """CSV with a header and a fixed schema; columns are matched by each file's own header and never inferred.
+
+    Empty cells and ``NA`` are null. Any other cell that its type cannot read is an
+    error: it would otherwise pass for a missing value.
+    """
+    fields, out = T.StructType.fromDDL(schema).fields, None
+    for path in [paths] if isinstance(paths, str) else paths:
+        header = spark.read.option("header", True).csv(path)
+        cell = lambda f: F.when(~F.trim(f"`{f.name}`").isin("", "NA"), F.trim(f"`{f.name}`"))
+        part = header.select(*[_strict(cell(f), f.dataType).alias(f.name) for f in fields])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _strict(text: Column, kind: T.DataType) -> Column:
+    value = text.try_cast(kind)
+    unreadable = F.raise_error(F.concat(F.lit("unreadable cell: "), text)).cast(kind)
+    return F.when(text.isNotNull() & value.isNull(), unreadable).otherwise(value)
 
 
 def stack_ground(frames: list[DataFrame], response: str, meta: list[str]) -> DataFrame:
@@ -81,11 +100,27 @@ def wide_to_array(df: DataFrame, out: str = "refl") -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
-    """Files under a folder with their size; contents are not read. Empty files are unfinished and not listed."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(base)
-    )
-    return files.select("path", "length").distinct()
+    """Files under a folder with their size, empty ones too; contents are not read.
+
+    The driver lists the first level only; each folder on it is listed by a task.
+    """
+    uri = base if ":" in base.split("/")[0] else f"file://{os.path.abspath(base)}"
+    system, root = fs.FileSystem.from_uri(uri)
+    top = system.get_file_info(fs.FileSelector(root))
+    folders = [(x.path,) for x in top if x.type == fs.FileType.Directory]
+    files = [(x.path, x.size) for x in top if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, pattern)]
+
+    def walk(batches):
+        store, _ = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            found = [x for folder in batch.column(0).to_pylist() for x in store.get_file_info(fs.FileSelector(folder, recursive=True))]
+            found = [x for x in found if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, pattern)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.path for x in found], pa.string()), pa.array([x.size for x in found], pa.int64())], names=["path", "length"]
+            )
+
+    below = spark.createDataFrame(folders, "folder string").repartition(max(len(folders), 1)).mapInArrow(walk, "path string, length bigint")
+    return spark.createDataFrame(files, "path string, length bigint").unionByName(below)
 
 
 # Unit names of printed sizes.

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_STATE_ON_DISK = (
+    "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 
 def stream_records(spark: SparkSession, source: str, schema, glob: str = "*.parquet", max_files: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream; files seen before are skipped by the checkpoint."""
@@ -14,15 +18,17 @@ def stream_records(spark: SparkSession, source: str, schema, glob: str = "*.parq
 
 
 def ingest(
-    stream: DataFrame, keys: list[str], ts: str, sink: str, checkpoint: str, late: str = "1 hour", partition: str | None = None
+    stream: DataFrame, keys: list[str], ts: str, sink: str, checkpoint: str, partition: str | None = None
 ):
-    """Drop repeated records within the watermark and append the rest; stops when the source is drained.
+    """Drop repeated records and append the rest; stops when the source is drained.
 
-    State is kept per key only for the watermark span. A batch rewrites its own
-    ``batch_id`` partition, so a batch repeated after a failure adds nothing.
+    Nothing is too late: which files a batch happens to hold never decides whether a
+    record is stored. The keys seen are kept without expiry in state on the
+    executors' disks. A batch rewrites its own ``batch_id`` partition, so a batch
+    repeated after a failure adds nothing.
     """
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    unique = timed.dropDuplicatesWithinWatermark(keys)
+    stream.sparkSession.conf.set(*_STATE_ON_DISK)
+    unique = stream.withColumn(ts, F.col(ts).cast("timestamp")).dropDuplicates(keys)
     parts = ["batch_id"] + ([partition] if partition else [])
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -38,7 +38,7 @@ def test_inventory(spark, tmp_path):
     (tmp_path / "empty.bip").write_bytes(b"")
     (tmp_path / "c.txt").write_bytes(b"x")
     rows = T.file_inventory(spark, str(tmp_path), "*.bip").withColumn("s", T.readable_size(F.col("length"))).collect()
-    assert sorted((r.length, r.s) for r in rows) == [(10, "10.0 B"), (1536, "1.5 KB")]
+    assert sorted((r.length, r.s) for r in rows) == [(0, "0B"), (10, "10.0 B"), (1536, "1.5 KB")]
 
 
 def test_rerun_replaces_its_partition(spark, tmp_path):
