@@ -17,6 +17,7 @@ import base64
 import gc
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,16 @@ from pyspark.sql import types as T
 from bandloom.llm.common import text_of
 
 ROOT = 0
-#: Determinised states and encoded pieces held by one worker.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 250_000, 250_000
+
+
+class Limits(NamedTuple):
+    """Determinised states, pairs of tokens and encoded pieces held by one worker: speed against memory, about 0.4 GB as given."""
+
+    states: int = 150_000
+    pairs: int = 250_000
+    pieces: int = 250_000
+
+
 #: Bytes of a piece after which tokens are emitted that nothing can change any more.
 EMIT_EVERY = 1024
 #: Rows of a batch that are encoded together.
@@ -63,8 +72,8 @@ class Transducer:
     live hypotheses share.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], limits: Limits = Limits()):
+        self.ranks, self.limits = ranks, limits
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.accept, self.depth, self.inner = [-1], [0], [True]  # per node: token, length, whether it goes on
@@ -100,7 +109,7 @@ class Transducer:
     def _reset(self) -> None:
         self.states, self.number = [(ROOT,)], {(ROOT,): 0}
         self.next: dict[int, int] = {}  # state << 8 | byte -> state << 32 | last token
-        if len(self.fits) > MAX_PAIRS:
+        if len(self.fits) > self.limits.pairs:
             self.fits.clear()
 
     def _apart(self, a: int, b: int) -> bool:
@@ -155,7 +164,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.limits.states:
             self._reset()
         out: list[int] = []
         state, known, waiting = 0, self.next, []  # waiting: per byte, the token that ends there
@@ -192,9 +201,9 @@ class Transducer:
 class Pieces(dict):
     """Packed ids of a piece of text (little-endian unsigned 32-bit), encoded when first asked for."""
 
-    def __init__(self, transducer: Transducer, limit: int = MAX_PIECES):
+    def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer, self.limit = transducer, limit
+        self.transducer, self.limit = transducer, transducer.limits.pieces
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
@@ -254,15 +263,15 @@ def decode_ids(packed: bytes, bytes_of: dict[int, bytes], step: int = DECODE_STE
     yield stream.finish()
 
 
-_BUILT: dict[int, tuple[Transducer, Pieces]] = {}
+_BUILT: dict[tuple[int, Limits], tuple[Transducer, Pieces]] = {}
 
 
-def _built(rank_rows: bytes) -> tuple[Transducer, Pieces]:
+def _built(rank_rows: bytes, limits: Limits = Limits()) -> tuple[Transducer, Pieces]:
     """One transducer per worker process and vocabulary."""
-    key = hash(rank_rows)
+    key = hash(rank_rows), limits
     if key not in _BUILT:
         _BUILT.clear()
-        transducer = Transducer(read_ranks(rank_rows))
+        transducer = Transducer(read_ranks(rank_rows), limits)
         _BUILT[key] = transducer, Pieces(transducer)
     return _BUILT[key]
 
@@ -279,32 +288,37 @@ def rank_file(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text", decoded: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """Add ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit) to every row.
 
+    With ``decoded``, a column of that name has the text that the streaming decoder
+    makes of the ids, in the same pass.
+
     Each match of ``pattern`` is encoded by itself; there are no special tokens. A
     null or empty text has no tokens. Rows, repeated ones too, are independent of
-    each other and keep their other columns; columns of those two names are
+    each other and keep their other columns; columns of those names are
     replaced. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rank_rows)
-    docs = docs.drop("n_tokens", "ids").withColumn("__bpe_text", text_of(docs, text))
+    docs = docs.withColumn("__bpe_text", text_of(docs, text)).drop("n_tokens", "ids", *([decoded] if decoded else []))
     kept = [c for c in docs.columns if c != "__bpe_text"]
 
     def run(batches):
-        find, pieces = regex.compile(pattern).findall, _built(shared.value)[1]
+        find, (transducer, pieces) = regex.compile(pattern).findall, _built(shared.value, limits)
         gc.disable()  # states are many small tuples without cycles; walking them is a quarter of the time
         try:
             for batch in _slices(batches):
                 ids = [b"".join(map(pieces.__getitem__, find(t))) for t in batch.column(len(kept)).to_pylist()]
-                counts = pa.array([len(x) >> 2 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(kept)], counts, pa.array(ids, pa.binary())], names=[*kept, "n_tokens", "ids"]
-                )
+                made = [pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    made.append(pa.array(["".join(decode_ids(x, transducer.bytes_of)) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=names)
         finally:
             gc.enable()
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    added += [T.StructField(decoded, T.StringType())] if decoded else []
+    names = [*kept, *[f.name for f in added]]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[: len(kept)], *added]))
 
 

@@ -22,8 +22,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of what they decode to."""
     ranks = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(tokens, ranks).select(
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -9,6 +9,10 @@ from bandloom.llm import bpe, exact, jaccard, mixing, quality
 from bandloom.session import stored
 
 
+#: Smaller than the operator's own: executors also hold what the stages before left in memory.
+LIMITS = bpe.Limits(states=100_000, pairs=150_000, pieces=150_000)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base counts and the likelihood ratio against the labelled target."""
     return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,7 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` (packed little-endian unsigned 32-bit) and whether the ids decode to the text."""
     ranks = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded", limits=LIMITS)
     return tokens.selectExpr("doc_id", "lang", "source", "n_tokens", "ids", "decoded = coalesce(text, '') AS round_trip")
 
 

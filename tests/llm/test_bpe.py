@@ -25,18 +25,19 @@ def test_against_tiktoken(spark, reference):
     long = ["".join(rnd.choices("abcdefgh", k=5_000)), "a" * 3_000, "日" * 2_000]
     table = [*ODD, *[(100 + i, t) for i, t in enumerate(odd + made + long)]]
     df = docs(spark, table, clash=True).repartition(3)
-    got = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    tokens = bpe.encode(df, RANKS, public_tokenizers.PATTERN, decoded="again")
+    got = bpe.decode(tokens, RANKS).collect()
     assert len(got) == len(table)
     for r in got:
         ids = reference.encode_ordinary(r.text or "")
         assert (r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (len(ids), ids)
-        assert r.decoded == (r.text or "")
+        assert r.decoded == r.again == (r.text or "")
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_bounded_states_change_nothing():
     ranks = bpe.read_ranks(RANKS)
-    small, large = bpe.Transducer(ranks, max_states=20), bpe.Transducer(ranks)
+    small, large = bpe.Transducer(ranks, bpe.Limits(states=20, pairs=10)), bpe.Transducer(ranks)
     rnd = random.Random(4)
     for _ in range(300):
         piece = "".join(rnd.choices("thaneriou", k=rnd.randrange(1, 30))).encode()
