@@ -170,7 +170,7 @@ def step_timing_summary(s, d):
     return out.select("step", "n", *[F.round(c, 3).alias(c) for c in ("total", "mean", "longest")])
 
 
-@query("append_sink")
+@query("append_sink", V.sql("SELECT response, metric, count(*) AS n FROM scores GROUP BY response, metric", "scores"))
 def append_sink(s, d):
     """Scores appended twice under the same keys: the second run replaces the first."""
     path = sinks.scratch(s, "scores")
@@ -180,7 +180,7 @@ def append_sink(s, d):
     return sinks.load(s, path).groupBy("response", "metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("result_store")
+@query("result_store", V.sql("SELECT CAST(date AS INTEGER) AS date, count(*) AS n, round(avg(y), 6) AS mean_y FROM ground WHERE study = 's1' AND y IS NOT NULL GROUP BY date", "ground"))
 def result_store(s, d):
     """Joined observations stored per study and date, one study read back."""
     path = sinks.scratch(s, "joined")
@@ -188,7 +188,10 @@ def result_store(s, d):
     return sinks.load(s, path, study="s1").groupBy("date").agg(F.count(F.lit(1)).alias("n"), V.r6(F.avg("y")).alias("mean_y"))
 
 
-@query("incremental_ingest")
+@query(
+    "incremental_ingest",
+    "SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS n_distinct FROM events GROUP BY event_type",
+)
 def incremental_ingest(s, d):
     """Events streamed in twice with repeated records; each is stored once."""
     base, schema = sinks.scratch(s, "ingest"), V.table(s, d, "events").schema
