@@ -33,6 +33,8 @@ GRAM = 64
 #: Windows of a block, level by level, and the blocks of one core that one collection may hold.
 WIDTHS = (32, 4, 1)
 MOST_BLOCKS = 4_096
+#: Document keys (16 bytes each) that may be broadcast to leave out the other documents before a shuffle.
+NAMED_KEYS = 200_000
 #: Bytes of a document that are looked at together; windows do not depend on the cut.
 CHUNK = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -129,8 +131,9 @@ def _fetch(docs: DataFrame, ranges: DataFrame, run, schema: str) -> DataFrame:
     """Run ``run(data, ranges of the document)`` on the bytes of each document that ``ranges`` (``doc_key, ...``) names."""
     fields = [c for c in ranges.columns if c != "doc_key"]
     lists = stored(ranges.groupBy("doc_key").agg(F.collect_list(F.struct(*fields)).alias("ranges")), "suffix-wanted")
-    # Repeated rows have one key: one of them is enough.
-    texts = _keyed(docs).join(broadcast_within(lists, 200_000), "doc_key")
+    # Only documents that are named are shuffled; what is broadcast is a counted number of keys.
+    named = _keyed(docs).join(broadcast_within(lists.select("doc_key"), NAMED_KEYS), "doc_key", "left_semi")
+    texts = named.join(lists, "doc_key")
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def each(batches):
