@@ -34,6 +34,8 @@ from bandloom.llm.components import components
 from bandloom.session import stored
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: End of the first quarter of the hashes.
+_LOW = np.uint64(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ class Join:
     block_tokens: int = 2_000_000
     leaf: int = 48
     #: Documents looked at to find frequent tokens, and how many of them make a token frequent. Only speed depends on them.
-    sample: int = 4_000
+    sample: int = 16_000
     frequent: int = 6
 
     def prefix(self, n: int) -> int:
@@ -194,13 +196,17 @@ def sketches(docs: DataFrame, how: Join, frequent: np.ndarray, id_col: str, text
 
 
 def frequent_tokens(docs: DataFrame, how: Join, text: str) -> np.ndarray:
-    """Tokens that many documents of a bounded sample hold; at most ``sample * 1000 / frequent`` are sent."""
+    """Tokens that many documents of a bounded sample hold, the 200,000 most frequent at most.
+
+    Only the quarter of all tokens that comes first by hash is counted: the first few
+    of a document are hardly ever others.
+    """
     share = min(1.0, how.sample / max(docs.count(), 1))
     body = docs.select(text_of(docs, text).alias("text")).sample(fraction=share, seed=1)
 
     def run(batches):
         for batch in batches:
-            found = [shingles(t, how.words) for t in batch.column(0).to_pylist()]
+            found = [s[: np.searchsorted(s, _LOW)] for t in batch.column(0).to_pylist() for s in (shingles(t, how.words),)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
 
     counted = body.mapInArrow(run, "token bigint").groupBy("token").count().filter(F.col("count") >= how.frequent)
@@ -403,13 +409,14 @@ def _without_subsets(members: DataFrame) -> DataFrame:
     return members.join(seen.filter("all and a = b and a != group").select("group"), "group", "left_anti")
 
 
-def _round(docs: DataFrame, nodes: DataFrame, tokens, how: Join, text: str) -> DataFrame:
-    """Links between different components of ``nodes`` among those that share one of ``tokens``."""
+def _round(docs: DataFrame, nodes: DataFrame, tokens, how: Join, text: str, overlapping: bool) -> DataFrame:
+    """Links between different components of ``nodes`` among those that share one of ``tokens``; overlapping: a node can have several."""
     members = _members(_groups(nodes, tokens, how)).join(nodes.select("node", "n", "bits", "comp"), "node")
     members = members.select("group", "node", "right", "n", "bits", "comp")
     left = stored(_with_partner(members, how).dropDuplicates(["group", "node", "right"]), "jaccard-partners")
     need = stored(left.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "jaccard-need")
-    left = stored(_without_subsets(left), "jaccard-groups")
+    if overlapping:
+        left = stored(_without_subsets(left), "jaccard-groups")
     checked = left.join(_sets(docs, need, how, text), "node").select("group", "node", "right", "n", "bits", "comp", "tokens")
     return stored(_verified(checked, how), "jaccard-links")
 
@@ -429,9 +436,9 @@ def join(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text: str
     some = ["n", "text_key", "bits", "prefix"]
     nodes = sketch.filter("n > 0").groupBy("digest").agg(F.any_value(F.struct(*some)).alias("s"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "s.*"), "jaccard-nodes")
-    first = _round(docs, nodes.withColumn("comp", F.col("node")), F.get("prefix", F.lit(0)), how, text)
+    first = _round(docs, nodes.withColumn("comp", F.col("node")), F.get("prefix", F.lit(0)), how, text, False)
     merged = nodes.join(components(first), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    second = _round(docs, merged, F.explode("prefix"), how, text)
+    second = _round(docs, merged, F.explode("prefix"), how, text, True)
     comps = components(first.unionAll(second))
     owner = nodes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     ids = stored(sketch.select("doc_id", "n", "digest").join(owner, "digest", "left").select("doc_id", "n", "component"), "jaccard-ids")
