@@ -112,6 +112,11 @@ class Transducer:
         if len(self.fits) > self.limits.pairs:
             self.fits.clear()
 
+    def forget(self) -> None:
+        """Drop what was found while encoding."""
+        self.fits.clear()
+        self._reset()
+
     def _apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both gives these two tokens again.
 
@@ -288,12 +293,15 @@ def rank_file(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text", decoded: str | None = None, limits: Limits = Limits()) -> DataFrame:
+def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text", decoded: str | None = None, limits: Limits = Limits(), keep: bool = True) -> DataFrame:
     """Add ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit) to every row.
 
     With ``decoded``, a column of that name has the text that the streaming decoder
     makes of the ids, in the same pass.
 
+    With ``keep`` false a worker drops its states after each task, which costs time
+    and leaves its memory to whatever runs there next.
+
     Each match of ``pattern`` is encoded by itself; there are no special tokens. A
     null or empty text has no tokens. Rows, repeated ones too, are independent of
     each other and keep their other columns; columns of those names are
@@ -314,6 +322,9 @@ def encode(docs: DataFrame, rank_rows: bytes, pattern: str, text: str = "text",
                     made.append(pa.array(["".join(decode_ids(x, transducer.bytes_of)) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=names)
         finally:
+            if not keep:
+                transducer.forget()
+                pieces.clear()
             gc.enable()
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]

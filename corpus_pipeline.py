@@ -36,7 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` (packed little-endian unsigned 32-bit) and whether the ids decode to the text."""
     ranks = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded", limits=LIMITS)
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded", limits=LIMITS, keep=False)
     return tokens.selectExpr("doc_id", "lang", "source", "n_tokens", "ids", "decoded = coalesce(text, '') AS round_trip")
 
 
