@@ -1,9 +1,9 @@
 """Quality rules: a few exact counts and a hashed n-gram log-likelihood ratio.
 
 Uni- and bigrams are hashed into a fixed number of buckets. The trusted target is
-a bounded sample of documents labelled good; the raw corpus is all documents. A
-document's verdict is the mean log ratio of its n-grams against a threshold taken
-from the labelled sample, so every document is decided by itself and reruns agree.
+all documents labelled good; the raw corpus is all documents. A document's verdict
+is the mean log ratio of its n-grams against a threshold taken from the labelled
+documents, so every document is decided by itself and reruns agree.
 Two narrow scans; only bucket counts are shuffled. All in built-in functions.
 """
 
@@ -15,12 +15,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import WORD, text_of, words_of
+from bandloom.llm.common import WORD, broadcast_within, text_of, words_of
 from bandloom.session import stored
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Labels of 16 bytes that may be sent to every executor; more are joined by a shuffle.
+BROADCAST_LABELS = 200_000
+#: The threshold is found among log ratios cut down to this step, so that its aggregate stays small.
+STEP = 1e-4
 
 
 @dataclass(frozen=True)
@@ -28,10 +32,12 @@ class Ratio:
     """Parameters of the likelihood ratio."""
 
     buckets: int = 10_000
-    #: Labelled documents that the target and the threshold are fitted on, by hash of their identifier.
-    sample: int = 20_000
+    #: Labelled documents that the target and the threshold are fitted on: all, or so many by hash of their identifier.
+    sample: int | None = None
     #: Share of the labelled good documents that the threshold may lose.
     loss: float = 0.001
+    #: Parts of the labelled documents; each part is scored for the threshold with the target of the others.
+    folds: int = 8
     seed: int = 7
 
 
@@ -78,10 +84,12 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def labelled_sample(labels: DataFrame, ratio: Ratio = Ratio()) -> DataFrame:
-    """At most ``ratio.sample`` labelled identifiers, spread by a hash; the bound makes it safe to broadcast."""
+def labelled(labels: DataFrame, ratio: Ratio = Ratio()) -> DataFrame:
+    """One row per labelled identifier: all of them, or ``ratio.sample`` spread by a hash."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return F.broadcast(stored(known.orderBy(F.xxhash64(F.lit(ratio.seed), "doc_id"), "doc_id").limit(ratio.sample), "quality-sample"))
+    if ratio.sample is not None:
+        known = known.orderBy(F.xxhash64(F.lit(ratio.seed), "doc_id"), "doc_id").limit(ratio.sample)
+    return broadcast_within(stored(known, "quality-labels"), BROADCAST_LABELS)
 
 
 def _mean_ratio(words: Column, weights: Column, buckets: int) -> Column:
@@ -112,28 +120,36 @@ def _constant(values: list[float]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, ratio: Ratio = Ratio(), id_col: str = "doc_id", text: str = "text") -> tuple[list[float], float]:
     """Log ratios per bucket (as many numbers as ``ratio.buckets``, whatever the input) and the threshold.
 
-    Both multinomials have one added count per bucket. The threshold is halfway
-    between the low end of the good labelled documents (all but ``loss`` of them)
-    and the middle of the bad ones, and never above the low end. Without good
+    Both multinomials have one added count per bucket. The threshold is the low end
+    of the good labelled documents (all but ``loss`` of them), cut down to a
+    multiple of ``STEP``. For it they are scored in ``folds`` parts by a target
+    without their own part, as a document that nobody labelled is. Without good
     labels every document passes.
     """
-    sample = labelled_sample(labels, ratio)
+    fold = F.when(F.col("quality") == 1, F.pmod(F.xxhash64(F.lit(ratio.seed), "doc_id"), F.lit(ratio.folds)).cast("int"))
+    known = labelled(labels, ratio).select("doc_id", fold.alias("fold"))
     words = docs.select(docs[id_col].alias("doc_id"), words_of(text_of(docs, text)).alias("words"))
-    marked = words.join(sample, "doc_id", "left").select("quality", F.explode(ngram_buckets(F.col("words"), ratio.buckets)).alias("bucket"))
-    counts = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("quality") == 1).alias("good"))
-    counts = stored(counts, "quality-counts")
-    raw, good = [0] * ratio.buckets, [0] * ratio.buckets
+    marked = words.join(known, "doc_id", "left").select("fold", F.explode(ngram_buckets(F.col("words"), ratio.buckets)).alias("bucket"))
+    parts = F.array(*[F.count_if(F.col("fold") == k) for k in range(ratio.folds)])
+    counts = stored(marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), parts.alias("good")), "quality-counts")
+    raw, good = [0] * ratio.buckets, [[0] * ratio.buckets for _ in range(ratio.folds)]
     for row in counts.collect():  # at most one row per bucket
-        raw[row.bucket], good[row.bucket] = row.raw, row.good
-    n_raw, n_good = sum(raw) + ratio.buckets, sum(good) + ratio.buckets
-    weights = [math.log((g + 1) / n_good) - math.log((r + 1) / n_raw) for r, g in zip(raw, good)]
-    scored = words.join(sample, "doc_id").filter(F.size("words") > 0)
-    scored = scored.select("quality", _mean_ratio(F.col("words"), _constant(weights), ratio.buckets).alias("llr"))
-    good, bad = F.when(F.col("quality") == 1, F.col("llr")), F.when(F.col("quality") == 0, F.col("llr"))
-    low, middle = scored.agg(F.percentile(good, F.lit(ratio.loss)), F.percentile(bad, F.lit(0.5))).first()
-    if low is None:
-        return weights, float("-inf")
-    return weights, low if middle is None else min(low, (low + middle) / 2)
+        raw[row.bucket] = row.raw
+        for part, n in zip(good, row.good):
+            part[row.bucket] = n
+    total = [sum(x) for x in zip(*good)]
+    weights = _log_ratios(total, raw)
+    others = [_log_ratios([g - own for g, own in zip(total, part)], raw) for part in good]
+    scored = words.join(known.filter("fold is not null"), "doc_id").filter(F.size("words") > 0)
+    per_fold = F.array(*[_constant(w) for w in others])
+    llr = _let(F.get(per_fold, F.col("fold")), lambda w: _mean_ratio(F.col("words"), w, ratio.buckets))
+    low = scored.select(F.floor(llr / STEP).alias("llr")).agg(F.percentile("llr", F.lit(ratio.loss))).first()[0]
+    return weights, float("-inf") if low is None else math.floor(low) * STEP
+
+
+def _log_ratios(good: list[int], raw: list[int]) -> list[float]:
+    n_good, n_raw = sum(good) + len(good), sum(raw) + len(raw)
+    return [math.log((g + 1) / n_good) - math.log((r + 1) / n_raw) for g, r in zip(good, raw)]
 
 
 def judge(
