@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bandloom.llm import bpe, chat, exact, jaccard, lines, mixing, quality, secrets, suffix, toxicity
+from bandloom.llm import bpe, centroids, chat, exact, jaccard, lines, mixing, pivots, quality, secrets, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,10 +152,76 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector after five rounds of 40 centroids."""
+    found, final = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    names = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(final)]
+    names = spark.createDataFrame(names, "cluster int, centroid_sha256 string")
+    per_cluster = centroids.inertia(found).join(F.broadcast(names), "cluster")  # a row per centroid
+    return found.join(F.broadcast(per_cluster), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op11_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """A pair of common tables per round; the rounds are unrolled."""
+    ctes = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+)""",
+        """part AS MATERIALIZED (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS dim, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM kept
+)""",
+        f"""first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS cluster FROM kept
+  QUALIFY cluster < {k}
+)""",
+        "c0 AS MATERIALIZED (SELECT cluster, dim, x FROM first JOIN part USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT vec_id, cluster, sum((part.x - c.x) * (part.x - c.x))::BIGINT AS distance FROM part JOIN c{r} c USING (dim) GROUP BY vec_id, cluster
+  ) GROUP BY vec_id
+)"""
+        )
+        if r < rounds:
+            ctes.append(
+                f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.dim, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT cluster, dim, floor(sum(x) / count(*))::BIGINT AS x FROM a{r} JOIN part USING (vec_id) GROUP BY cluster, dim
+  ) m USING (cluster, dim)
+)"""
+            )
+    return f"""
+WITH {", ".join(ctes)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster) USING (cluster)
+"""
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return pivots.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op6_chat_quotes, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets)
+    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op6_chat_quotes, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets, op11_centroids, op12_topk)
     return {fn.__name__: fn for fn in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op11_centroids": _op11_sql(), "op12_topk": OP12_SQL}
