@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bandloom.llm import bpe, centroids, chat, exact, jaccard, lines, mixing, pivots, quality, secrets, suffix, toxicity
+from bandloom.llm import bpe, centroids, chat, divergence, exact, jaccard, lines, mixing, pivots, quality, secrets, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,10 +218,52 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 """
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between the sources of each language, and the terms that set a source apart."""
+    return divergence.audit_sources(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+OP13_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), w AS MATERIALIZED (
+  SELECT row, lang, source, term, count(*) AS n FROM (
+    SELECT row, lang, source, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+  ) GROUP BY ALL
+), k AS MATERIALIZED (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(*) >= 3
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS terms, sum(n)::HUGEINT AS words FROM k GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT w.lang, w.source, w.term, sum(w.n)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY w.lang, w.source, w.term
+), s AS (
+  SELECT lang, source, sum(n)::HUGEINT AS words FROM c GROUP BY lang, source
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.words, 0) + v.terms) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 1) // (v.words + v.terms) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op6_chat_quotes, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets, op11_centroids, op12_topk)
+    found = (op1_bpe, op2_jaccard_join, op3_quality, op4_line_dedup, op5_toxicity, op6_chat_quotes, op7_exact_dedup, op8_suffix_dedup, op9_mixing, op10_secrets, op11_centroids, op12_topk, op13_divergence)
     return {fn.__name__: fn for fn in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op11_centroids": _op11_sql(), "op12_topk": OP12_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op11_centroids": _op11_sql(), "op12_topk": OP12_SQL, "op13_divergence": OP13_SQL}
