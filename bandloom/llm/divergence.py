@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +31,21 @@ ONE = 1_000_000_000
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 #: A-Z lower-cased; every other ASCII character separates; bytes of other characters stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b in _LETTERS else 32 for b in range(256))
-_RUN = "shard int, lang string, first binary, terms array<binary>, sources array<string>, counts array<bigint>, docs array<bigint>"
+#: A block: its distinct terms in order, how many postings each has, and per posting source, count and documents.
+_RUN = "shard int, lang string, first binary, terms array<binary>, names array<string>, sizes binary, source binary, counts binary, docs binary"
 _FREQ = "lang string, term binary, total bigint, sources array<string>, counts array<bigint>"
 _PART = "lang string, source string, part string, item binary, value decimal(38,0)"
 
 
 @dataclass(frozen=True)
 class Audit:
-    """``entries`` postings fill a task's memory; ``tile`` sources meet ``tile`` others in one task; ``salts`` tasks share a language."""
+    """``entries`` postings fill a task's memory and ``window`` of them are merged at a time; ``tile`` sources meet ``tile`` others in one task; ``salts`` tasks share a language."""
 
     min_docs: int = 3
     top: int = 200
-    entries: int = 250_000
+    entries: int = 400_000
     block: int = 4_096
+    window: int = 200_000
     tile: int = 256
     salts: int = 32
 
@@ -57,27 +60,60 @@ def slices(body: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
         at = end
 
 
+def _sorted_run(lang: str, sources: list[tuple[str, Counter, Counter]], audit: Audit, shards: int) -> Iterator[tuple]:
+    """Blocks of the postings of one language, in the order of shard and term."""
+    names = [name for name, _, _ in sources]
+    terms = pa.array([t for _, counts, _ in sources for t in counts], pa.binary()).dictionary_encode()
+    distinct, term = terms.dictionary, terms.indices.to_numpy()
+    source = np.repeat(np.arange(len(names), dtype=np.int32), [len(counts) for _, counts, _ in sources])
+    counts = np.fromiter((n for _, c, _ in sources for n in c.values()), np.int64, len(term))
+    docs = np.fromiter((d[t] for _, c, d in sources for t in c), np.int64, len(term))
+    shard = np.fromiter((crc32(t) % shards for t in distinct.to_pylist()), np.int64, len(distinct))
+    rank = np.empty(len(distinct), np.int64)
+    rank[pc.sort_indices(distinct).to_numpy()] = np.arange(len(distinct))
+    place = np.empty(len(distinct), np.int64)  # of a term in the order of shard and term
+    place[np.lexsort((rank, shard))] = np.arange(len(distinct))
+    order = np.argsort(place[term], kind="stable")
+    at = term[order]
+    cuts = np.flatnonzero(np.diff(place[at], prepend=-1))  # where a term starts
+    owner = shard[at[cuts]]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    for lo, hi in zip(starts, [*starts[1:], len(cuts)]):
+        for i in range(lo, hi, audit.block):
+            k = min(i + audit.block, hi)
+            first, last = cuts[i], cuts[k] if k < len(cuts) else len(at)
+            own = distinct.take(pa.array(at[cuts[i:k]]))
+            some = order[first:last]
+            sizes = np.diff(np.append(cuts[i:k], last)).astype("<i4")
+            used, code = np.unique(source[some], return_inverse=True)
+            yield int(owner[i]), lang, own[0].as_py(), own, [names[u] for u in used], sizes.tobytes(), code.astype("<i4").tobytes(), counts[some].tobytes(), docs[some].tobytes()
+
+
 def runs(docs: DataFrame, audit: Audit, shards: int) -> DataFrame:
     """Sorted blocks of postings; ``docs`` has ``lang, source, body`` (binary)."""
-    names = ["shard", "lang", "first", "terms", "sources", "counts", "docs"]
-    kinds = (pa.int32(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["shard", "lang", "first", "terms", "names", "sizes", "source", "counts", "docs"]
+    kinds = (pa.int32(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+    def batch_of(rows):
+        shard, lang, first, terms, *rest = zip(*rows)
+        ends = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.concat_arrays(terms))
+        cols = [pa.array(v, t) for v, t in zip((shard, lang, first), kinds)] + [lists] + [pa.array(v, t) for v, t in zip(rest, kinds[4:])]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def spill(index):
         langs: dict[str, list] = {}
         for (lang, source), (counts, in_docs) in index.items():
-            langs.setdefault(lang, []).extend((term, source, n, in_docs[term]) for term, n in counts.items())
+            langs.setdefault(lang, []).append((source, counts, in_docs))
         rows = []
-        for lang, postings in langs.items():
-            postings.sort()
-            dealt: dict[int, list] = {}
-            for p in postings:
-                dealt.setdefault(crc32(p[0]) % shards, []).append(p)
-            for shard, own in dealt.items():
-                for i in range(0, len(own), audit.block):
-                    some = own[i : i + audit.block]
-                    rows.append((shard, lang, some[0][0], *map(list, zip(*some))))
-        for i in range(0, len(rows), 1_000):
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[i : i + 1_000]), kinds)], names=names)
+        for lang, sources in langs.items():
+            for block in _sorted_run(lang, sources, audit, shards):
+                rows.append(block)
+                if len(rows) >= 512:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
     def run(batches):
         index, held = {}, 0
@@ -99,36 +135,87 @@ def runs(docs: DataFrame, audit: Audit, shards: int) -> DataFrame:
     return docs.mapInArrow(run, _RUN)
 
 
-def _postings(block) -> Iterator[tuple]:
-    """A block's postings with their language first, for the heap."""
-    lang, terms, sources, counts, docs = block
-    return iter(zip([lang] * len(terms), terms, sources, counts, docs))
+class Block:
+    """An open block of a run: what of it has not been merged yet."""
+
+    def __init__(self, terms: pa.Array, sizes: np.ndarray, source: np.ndarray, counts: np.ndarray, docs: np.ndarray):
+        self.terms, self.source, self.counts, self.docs = terms, source, counts, docs
+        self.starts, self.at = np.concatenate([[0], np.cumsum(sizes)]), 0
+
+    def before(self, term: bytes | None) -> int:
+        """How many of its terms come before ``term``."""
+        lo, hi = self.at, len(self.terms)
+        if term is None:
+            return hi
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.terms[mid].as_py() < term else (lo, mid)
+        return lo
+
+    def take(self, upto: int) -> tuple:
+        """The postings of the terms up to there: terms, postings of each, source, count and documents of each posting."""
+        part, own = slice(self.at, upto), slice(self.starts[self.at], self.starts[upto])
+        sizes = np.diff(self.starts[self.at : upto + 1])
+        out = self.terms[part], sizes, self.source[own], self.counts[own], self.docs[own]
+        self.at = upto
+        return out
 
 
-def merged(blocks: Iterator[tuple]) -> Iterator[tuple]:
-    """Postings in order from ``(shard, lang, first, ...)`` blocks in order; a block is opened when its first term is due."""
+def merged(blocks: Iterator[tuple], window: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """``(key, parts)`` for windows of terms, in order, from ``(key, first, Block)`` in order.
+
+    The heap holds the open blocks by the first term not merged yet, one block per
+    run or two. Once they hold ``window`` postings, everything before the term at which
+    the next block starts is complete and leaves together; a term is never in two windows.
+    """
     heap: list = []
-    shard, number = None, 0
-
-    def drain(until=None):
-        while heap and (until is None or heap[0][0][:2] < until):
-            posting, n, rest = heap[0]
-            yield posting
-            if (after := next(rest, None)) is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (after, n, rest))
-
-    for block in blocks:
-        if block[0] != shard:
-            yield from drain()
-            shard = block[0]
-        else:
-            yield from drain((block[1], block[2]))
-        rest = _postings((block[1], *block[3:]))
+    key, number, held = None, 0, 0
+
+    def drain(until):
+        parts = []
+        while heap and (until is None or heap[0][0] < until):
+            _, n, block = heapq.heappop(heap)
+            parts.append(block.take(block.before(until)))
+            if block.at < len(block.terms):
+                heapq.heappush(heap, (block.terms[block.at].as_py(), n, block))
+        return parts
+
+    for own, first, block in blocks:
+        if own != key:
+            if heap:
+                yield key, drain(None)
+            key, held = own, 0
+        elif held >= window and (parts := drain(first)):
+            held -= sum(len(p[2]) for p in parts)
+            yield key, parts
         number += 1
-        heapq.heappush(heap, (next(rest), number, rest))
-    yield from drain()
+        held += len(block.source)
+        heapq.heappush(heap, (first, number, block))
+    if heap:
+        yield key, drain(None)
+
+
+def _counted(lang: str, parts: list[tuple], names: list[str], min_docs: int) -> pa.RecordBatch | None:
+    """Frequencies of the terms of a window that are in enough documents."""
+    coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+    term = np.repeat(coded.indices.to_numpy(), np.concatenate([p[1] for p in parts]))
+    source, counts, docs = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+    # Postings of one term and source of different runs become one.
+    order = np.lexsort((source, term))
+    new = np.flatnonzero(np.diff(term[order].astype(np.int64) * len(names) + source[order], prepend=-1))
+    term, source, counts, docs = term[order][new], source[order][new], np.add.reduceat(counts[order], new), np.add.reduceat(docs[order], new)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    kept = np.flatnonzero(np.add.reduceat(docs, starts) >= min_docs)
+    if not len(kept):
+        return None
+    sizes = np.diff(np.append(starts, len(term)))
+    mask = np.repeat(np.isin(np.arange(len(starts)), kept), sizes)
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes[kept])]), pa.int32())
+    sources = pa.array(names, pa.string()).take(pa.array(source[mask]))
+    total = np.add.reduceat(counts, starts)[kept]
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (sources, pa.array(counts[mask]))]
+    columns = [pa.array([lang] * len(kept), pa.string()), coded.dictionary.take(pa.array(term[starts[kept]])), pa.array(total), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "total", "sources", "counts"])
 
 
 def frequencies(docs: DataFrame, audit: Audit) -> DataFrame:
@@ -137,30 +224,20 @@ def frequencies(docs: DataFrame, audit: Audit) -> DataFrame:
     blocks = runs(docs, audit, shards).repartition("shard").sortWithinPartitions("shard", "lang", "first")
 
     def run(batches):
+        codes: dict[str, int] = {}
+
         def opened():
             for batch in batches:
                 for i in range(len(batch)):
-                    yield tuple(batch.column(c)[i].as_py() for c in range(7))
-
-        def batch_of(rows):
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["lang", "term", "total", "sources", "counts"])
-
-        rows, key, sums, in_docs = [], None, {}, 0
-        for lang, term, source, n, seen in merged(opened()):
-            if (lang, term) != key:
-                if in_docs >= audit.min_docs:
-                    rows.append((*key, sum(sums.values()), list(sums), list(sums.values())))
-                    if len(rows) >= 5_000:
-                        yield batch_of(rows)
-                        rows = []
-                key, sums, in_docs = (lang, term), {}, 0
-            sums[source] = sums.get(source, 0) + n
-            in_docs += seen
-        if in_docs >= audit.min_docs:
-            rows.append((*key, sum(sums.values()), list(sums), list(sums.values())))
-        if rows:
-            yield batch_of(rows)
+                    shard, lang, first, names, sizes, source, counts, seen = (batch.column(c)[i].as_py() for c in (0, 1, 2, 4, 5, 6, 7, 8))
+                    own = np.array([codes.setdefault(n, len(codes)) for n in names], np.int64)
+                    packed = (np.frombuffer(sizes, "<i4"), own[np.frombuffer(source, "<i4")], np.frombuffer(counts, np.int64), np.frombuffer(seen, np.int64))
+                    yield (shard, lang), first, Block(batch.column(3)[i].values, *packed)
+
+        for (_, lang), parts in merged(opened(), audit.window):
+            found = _counted(lang, parts, list(codes), audit.min_docs)
+            if found is not None:
+                yield found
 
     return blocks.mapInArrow(run, _FREQ)
 
@@ -190,15 +267,23 @@ class Tile:
         self.base = distance(self.p0[:, None], self.q0[None, :])  # of a term that neither has
         self.sums = np.zeros((len(a), len(b)), np.int64)
 
-    def _held(self, at: dict, sources: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        term, place, n = [], [], []
-        for t, (own, c) in enumerate(zip(sources, counts)):
-            for s, x in zip(own, c):
-                if s in at:
-                    term.append(t), place.append(at[s]), n.append(x)
-        return np.array(term, np.int64), np.array(place, np.int64), np.array(n, np.int64)
-
-    def correct(self, sources: list, counts: list) -> None:
+    @staticmethod
+    def _held(at: dict, sources: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term, place in the tile and count of every posting of the tile's sources."""
+        term = np.repeat(np.arange(len(sources)), np.diff(sources.offsets.to_numpy()))
+        coded = sources.flatten().dictionary_encode()
+        place = np.array([at.get(s, -1) for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        mine = np.flatnonzero(place >= 0)
+        return term[mine], place[mine], counts.flatten().to_numpy()[mine]
+
+    def _add(self, sums: np.ndarray, place: np.ndarray, change: np.ndarray) -> None:
+        """Add rows of ``change`` to the rows of ``sums`` that ``place`` names."""
+        order = np.argsort(place, kind="stable")
+        starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+        if len(starts):
+            sums[place[order][starts]] += np.add.reduceat(change[order], starts, axis=0)
+
+    def correct(self, sources: pa.ListArray, counts: pa.ListArray) -> None:
         """Add what these terms change against the closed form."""
         ta, a, na = self._held(self.a_at, sources, counts)
         tb, b, nb = self._held(self.b_at, sources, counts)
@@ -208,16 +293,16 @@ class Tile:
         all_q[tb, b] = q
         for i in range(0, len(ta), 4_096):
             some = slice(i, i + 4_096)
-            np.add.at(self.sums, a[some], distance(p[some, None], all_q[ta[some]]) - self.base[a[some]])
+            self._add(self.sums, a[some], distance(p[some, None], all_q[ta[some]]) - self.base[a[some]])
         # Those that do not have it, against the sources of the second that do.
         without = np.ones((len(sources), len(self.a)), bool)
         without[ta, a] = False
         for i in range(0, len(tb), 4_096):
             some = slice(i, i + 4_096)
             change = distance(self.p0[None, :], q[some, None]) - self.base[:, b[some]].T
-            np.add.at(self.sums.T, b[some], np.where(without[tb[some]], change, 0))
+            self._add(self.sums.T, b[some], np.where(without[tb[some]], change, 0))
 
-    def above(self, totals: np.ndarray, sources: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def above(self, totals: np.ndarray, sources: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Term, source and value where a source of the first tile has more of a term than its language."""
         term, a, n = self._held(self.a_at, sources, counts)
         p, q = share(n + 1, self.a_total[a]), share(totals[term] + 1, np.array([self.words + self.terms], np.int64))
@@ -248,7 +333,7 @@ def _parts(batches, top: int):
         for i in range(0, len(rows), 10_000):
             yield out(rows[i : i + 10_000])
 
-    tile, key, best = None, None, {}
+    tile, key, best, least = None, None, {}, None
     for batch in batches:
         cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         lang, t1, t2, salt = (cols[n].to_pylist() for n in ("lang", "t1", "t2", "salt"))
@@ -264,17 +349,20 @@ def _parts(batches, top: int):
                 key, best = here, {}
                 one = {n: cols[n][start].as_py() for n in ("a", "a_words", "b", "b_words", "n_terms", "n_words")}
                 tile = Tile(here[0], one["a"], one["a_words"], one["b"], one["b_words"], one["n_terms"], one["n_words"])
+                least = np.zeros(len(tile.a), np.int64)
                 start += 1
             for i in range(start, end, 2_000):
                 some = slice(i, min(i + 2_000, end))
-                sources, counts, items = (cols[n][some].to_pylist() for n in ("sources", "counts", "term"))
+                sources, counts, items = (cols[n][some] for n in ("sources", "counts", "term"))
                 tile.correct(sources, counts)
                 if here[2] == 0:
-                    for t, s, v in zip(*(x.tolist() for x in tile.above(cols["total"][some].to_numpy(), sources, counts))):
-                        best.setdefault(s, []).append((-v, items[t]))
+                    term, source, value = tile.above(cols["total"][some].to_numpy(), sources, counts)
+                    for k in np.flatnonzero(value >= least[source]).tolist():
+                        best.setdefault(int(source[k]), []).append((-int(value[k]), items[int(term[k])].as_py()))
                     for s, found in best.items():
                         if len(found) > 8 * top:
                             best[s] = heapq.nsmallest(top, found)
+                            least[s] = -best[s][-1][0]
             start = end
     if tile is not None:
         yield from closed(tile, key[3], best)

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from bandloom.llm import divergence
@@ -45,7 +47,7 @@ def table(n, seed, sources=7):
     return rows + [rows[0]] * 5 + [(n + 4, "long " * 200_000 + "tail", "en", "s1", None)]
 
 
-@pytest.mark.parametrize("audit", [divergence.Audit(), divergence.Audit(entries=50, block=3, tile=2, salts=3, top=4), divergence.Audit(min_docs=2, tile=3)])
+@pytest.mark.parametrize("audit", [divergence.Audit(), divergence.Audit(entries=50, block=3, window=10, tile=2, salts=3, top=4), divergence.Audit(min_docs=2, tile=3)])
 def test_audit(spark, audit):
     rows = table(250, 1)
     found = divergence.audit_sources(spark.createDataFrame(rows, SCHEMA).repartition(5), audit=audit)
@@ -59,18 +61,25 @@ def test_empty_table_one_source_and_clashing_columns(spark):
     assert sorted(map(tuple, divergence.audit_sources(df).collect())) == brute(rows, divergence.Audit())
 
 
-def test_blocks_are_opened_when_due():
-    """No more blocks than runs are open at a time, and postings come out in order."""
+@pytest.mark.parametrize("window", [1, 40, 10**6])
+def test_runs_merge_in_windows_of_whole_terms(window):
+    """A term is in one window only, windows come in order, and nothing is lost."""
     rnd = random.Random(3)
-    runs = [sorted((f"t{rnd.randint(0, 400):03}".encode(), f"s{k}", 1, 1) for _ in range(90)) for k in range(6)]
-    blocks = sorted([(0, "en", run[i][0], *map(list, zip(*run[i : i + 10]))) for run in runs for i in range(0, 90, 10)], key=lambda b: b[:3])
-    merged = list(divergence.merged(iter(blocks)))
-    assert [m[1] for m in merged] == sorted(t for run in runs for t, *_ in run)
+    runs = [sorted(rnd.sample(range(400), 90)) for _ in range(6)]
+    blocks = [(run[i : i + 10], k) for k, run in enumerate(runs) for i in range(0, 90, 10)]
+    made = []
+    for terms, k in blocks:
+        block = divergence.Block(pa.array([b"t%03d" % t for t in terms]), np.ones(10, int), np.full(10, k), np.ones(10, int), np.ones(10, int))
+        made.append(((0, "en"), b"t%03d" % terms[0], block))
+    made.sort(key=lambda b: b[1])
+    found = []
+    for _, parts in divergence.merged(iter(made), window):
+        found.append(sorted((t.as_py(), int(s)) for p in parts for t, s in zip(p[0], p[2])))
+    assert [x for part in found for x in part] == sorted((b"t%03d" % t, k) for k, run in enumerate(runs) for t in run)
+    assert all(a[-1][0] < b[0][0] for a, b in zip(found, found[1:]))
 
 
 def test_share_is_exact_for_large_counts():
-    import numpy as np
-
     rnd = random.Random(4)
     for _ in range(2_000):
         total = rnd.randint(1, 9 * 10**15)
