@@ -279,22 +279,29 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str =
     members = members.select("block", "m.query", "m.query_id").join(rows.select(F.col("row").alias("query"), "norm2"), "query")
     members = stored(members, "members")
     # A block's distances to each pivot meet the annuli around it; seen is what an earlier round has visited.
-    bounds = query_reach(blocks, pivots).join(index.select("cell", "pivot", "dmin", "dmax"), "pivot")
+    bounds = query_reach(blocks, pivots).join(index.select("cell", "pivot", "dmin", "dmax", "n"), "pivot")
     gap = F.greatest(F.lit(0.0), F.col("dmin") - F.col("qmax"), F.col("qmin") - F.col("dmax"))
-    bounds = stored(bounds.select("block", "cell", gap.alias("gap"), (F.col("home") & (gap == 0)).alias("seen")), "bounds")
+    bounds = bounds.withColumn("gap", gap)
+    # First the annuli nearest to the block, of its own pivot before others, until they hold k rows besides its own.
+    nearest = Window.partitionBy("block").orderBy(F.desc("home"), "gap", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(nearest), F.lit(0)) <= search.k
+    bounds = stored(bounds.select("block", "cell", "gap", (first | (F.col("home") & (F.col("gap") == 0))).alias("seen")), "bounds")
     none = members.limit(0).select("block", "query", F.lit(None).cast("decimal(38,0)").alias("least"))
     best = stored(top(visit(bounds.filter("seen"), blocks, index, none, pivots, search.k), search.k), "best")
     reached = None
     for step in search.steps:
         kth = best.filter(F.col("rank") == search.k).select("query", F.col("score").alias("least"))
         limits = stored(members.join(kth, "query", "left"), "limits")
-        open_ = F.sqrt(F.greatest(F.lit(0.0), F.col("norm2") + pivots.top - 2 * F.col("least").cast("double")))
-        furthest = limits.groupBy("block").agg(F.max(F.coalesce(open_, F.lit(float("inf")))).alias("reach"))
+        far = F.sqrt(F.greatest(F.lit(0.0), F.col("norm2") + pivots.top - 2 * F.col("least").cast("double")))
         # Without k hits everything is open, whatever the step.
+        open_ = F.when(F.col("least").isNull(), F.lit(float("inf"))).otherwise(far)
+        furthest = limits.groupBy("block").agg(F.max(open_).alias("reach"))
         now = furthest.select("block", F.when(F.col("reach") == float("inf"), F.col("reach")).otherwise(F.col("reach") * step + pivots.slack).alias("reach"))
         pairs = bounds.filter("NOT seen").join(now, "block").filter(F.col("gap") <= F.col("reach"))
         if reached is not None:
-            pairs = pairs.join(reached.withColumnRenamed("reach", "before"), "block").filter(F.col("gap") > F.col("before"))
+            before = reached.withColumnRenamed("reach", "before")
+            pairs = pairs.join(before, "block").filter(F.col("gap") > F.col("before"))
+            now = now.join(before, "block").select("block", F.greatest("reach", "before").alias("reach"))
         more = visit(pairs, blocks, index, limits.filter("least IS NOT NULL"), pivots, search.k)
         best = stored(top(best.drop("rank").unionByName(more), search.k), "best")
         reached = stored(now, "reached")
