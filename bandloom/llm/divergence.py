@@ -409,7 +409,10 @@ def audit_sources(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     columns = [*key, "a", "a_words", "b", "b_words", "n_terms", "n_words", "term", "total", "sources", "counts"]
     top = audit.top
     parts = ordered.select(*columns).mapInArrow(lambda batches: _parts(batches, top), _PART)
-    found = stored(parts, "parts").groupBy("lang", "source", "part", "item").agg(F.sum("value").cast("bigint").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    parts = stored(parts, "parts")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    pairs = parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # A term comes out of one task only; with the limit alone, tasks leave out what cannot be among the best before the shuffle.
+    terms = parts.filter("part = 'term'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms).withColumn("value", F.col("value").cast("bigint"))
     return ranked.select("lang", "source", "part", F.col("item").cast("string").alias("item"), "value", F.col("rank").cast("int").alias("rank"))
