@@ -137,9 +137,13 @@ def table_column(table: BandTable, column: str) -> Column:
 
 
 def list_matrix(column, width: int) -> np.ndarray:
-    """An Arrow list column of equal-length lists as a matrix (null elements become NaN)."""
+    """An Arrow list column of equal-length lists as a matrix (null lists and elements become NaN)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.null_count:
+        out = np.full((len(column), width), np.nan)
+        out[column.is_valid().to_numpy(zero_copy_only=False)] = list_matrix(column.drop_null(), width)
+        return out
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
@@ -154,7 +158,7 @@ def batch_groups(batch: pa.RecordBatch, keys: list[str]):
     """Rows of each distinct key in a batch: (first row, row numbers)."""
     number = np.zeros(batch.num_rows, dtype=np.int64)
     for k in keys:
-        codes = batch.column(batch.schema.names.index(k)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        codes = batch.column(batch.schema.names.index(k)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         number = number * (codes.max(initial=0) + 1) + codes
     _, first, number = np.unique(number, return_index=True, return_inverse=True)
     order = np.argsort(number, kind="stable")

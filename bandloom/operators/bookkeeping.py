@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import append
+
 
 def completeness(done: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Processed items per scenario against the expected number (column ``expected``)."""
@@ -39,6 +41,11 @@ def observation_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("obs_n"))
 
 
+def append_log(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Add rows to a stored log under their keys; keys that are logged again are replaced, the others stay."""
+    append(rows, path, keys)
+
+
 def step_durations(log: DataFrame, keys: list[str], duration: str = "duration") -> DataFrame:
     """Timings per step."""
     return log.groupBy(*keys).agg(

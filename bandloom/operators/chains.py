@@ -6,11 +6,14 @@ columns by role (like*, par*, sim*).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import t_factor, t_p_value
-from .order import broadcast_if_small, exact_percentiles, ranked, running
+from .order import broadcast_if_small, exact_percentiles, null_safe_join, ranked, running
 
 
 def posterior(df: DataFrame, keys: list[str], like: str, percent: float = 10, maximize: bool = True) -> DataFrame:
@@ -114,15 +117,43 @@ def geweke(df: DataFrame, keys: list[str], value: str, idx: str = "idx", interva
     return tagged.groupBy(*keys, "k").agg(z.alias("z"))
 
 
-def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: list[int], idx: str = "idx") -> DataFrame:
-    """Correlation of a trace with itself at given lags, by an equality join on the run number."""
+def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: list[int], idx: str = "idx", block: int = 1 << 16) -> DataFrame:
+    """Correlation of a trace with itself at given lags.
+
+    Run numbers are cut into blocks; a block also gets the first max(lag) runs after
+    it. All lags of a block are added up in one task, so a row is sent at most twice
+    (with blocks at least as long as the largest lag) however many lags there are.
+    Runs that are missing or null take no part in a lag's sum; run numbers are unique
+    in a trace. A lag without any pair has no row.
+    """
+    reach = max(lags, default=0)
+    size = max(block, reach, 1)
     s = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.var_pop(value).alias("__c0"), F.count(value).alias("__n"))
-    x = df.select(*keys, idx, F.col(value).alias("__x"))
-    shifted = x.select(*keys, F.explode(F.array(*[F.lit(h) for h in lags])).alias("lag"), F.col(idx).alias("__i"), F.col("__x").alias("__x0"))
-    shifted = shifted.withColumn(idx, F.col("__i") + F.col("lag")).drop("__i")
-    pairs = x.join(shifted, [*keys, idx]).join(broadcast_if_small(s), keys)
-    r = F.try_divide(F.sum((F.col("__x") - F.col("__m")) * (F.col("__x0") - F.col("__m"))), F.first(F.col("__n") * F.col("__c0")))
-    return pairs.groupBy(*keys, "lag").agg(r.alias("r"))
+    x = null_safe_join(df.select(*keys, F.col(idx).alias("__i"), F.col(value).cast("double").alias("__x")).dropna(subset=["__x"]), broadcast_if_small(s.select(*keys, "__m")), keys)
+    own = F.floor(F.col("__i") / size)
+    # The block before needs the rows at the start of this one.
+    both = F.array_distinct(F.array(own, F.floor((F.col("__i") - reach) / size)))
+    placed = x.select(*keys, "__i", (F.col("__x") - F.col("__m")).alias("__d"), F.explode(both).alias("__block"))
+    schema = T.StructType([placed.schema[k] for k in keys] + [T.StructField("lag", T.LongType()), T.StructField("__s", T.DoubleType()), T.StructField("__p", T.LongType())])
+
+    def sums(g: pa.Table) -> pa.Table:
+        at, d = g.column("__i").to_numpy(), g.column("__d").to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, d = at[order], d[order]
+        mine = np.searchsorted(at, (g.column("__block")[0].as_py() + 1) * size)
+        first, total, n = at[:mine], [], []
+        for h in lags:
+            to = np.searchsorted(at, first + h)
+            hit = (to < len(at)) & (at[np.minimum(to, len(at) - 1)] == first + h)
+            total.append(float(d[:mine][hit] @ d[to[hit]]))
+            n.append(int(hit.sum()))
+        lead = [g.column(k).take(pa.array([0] * len(lags), pa.int64())) for k in keys]
+        return pa.table([*lead, pa.array(lags, pa.int64()), pa.array(total, pa.float64()), pa.array(n, pa.int64())], names=schema.names)
+
+    parts = placed.groupBy(*keys, "__block").applyInArrow(sums, schema)
+    total = parts.groupBy(*keys, "lag").agg(F.sum("__s").alias("__s"), F.sum("__p").alias("__p")).filter("__p > 0")
+    out = null_safe_join(total, broadcast_if_small(s), keys)
+    return out.select(*keys, F.col("lag").cast("int").alias("lag"), F.try_divide(F.col("__s"), F.col("__n") * F.col("__c0")).alias("r"))
 
 
 def correlations(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

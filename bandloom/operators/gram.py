@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.bands import batch_groups, list_matrix, matrix_list
 from ..functions.target import forward_np
-from .order import broadcast_if_small
+from .order import broadcast_if_small, null_safe_join
 
-#: Numbers a task holds before its partial sums are sent on.
+#: Numbers that the statistics of all keys may have while rows need not move.
 FLUSH_VALUES = 8_000_000
 
 
@@ -51,68 +51,112 @@ class Stats:
         return self.xx - np.outer(self.sx, mx), self.xz - self.sx * mz, mx, mz
 
 
-def _pack(x: np.ndarray, member: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Splits x packed statistics of one block of rows."""
-    n, width = x.shape
-    tri = np.triu_indices(width)
-    total = x.T @ x
-    rows = []
-    z = np.where(member, target, 0.0)
-    for s in range(member.shape[1]):
-        out = ~member[:, s]
-        # Most rows train in most splits: subtract the few that do not.
-        xx = total if not out.any() else total - x[out].T @ x[out]
-        rows.append(np.concatenate([[np.sum(~out)], x[~out].sum(axis=0), xx[tri], x.T @ z[:, s], [z[:, s].sum(), (z[:, s] ** 2).sum()]]))
-    return np.array(rows)
+class Sums:
+    """Running sums of one key: X'X of all rows once, and of the rows each split holds out."""
+
+    def __init__(self, width: int, splits: int):
+        self.n, self.sx = np.zeros(splits), np.zeros((splits, width))
+        self.all, self.out = np.zeros((width, width)), [None] * splits
+        self.xz, self.sz, self.szz = np.zeros((splits, width)), np.zeros(splits), np.zeros(splits)
+
+    def add(self, x: np.ndarray, member: np.ndarray, target: np.ndarray) -> None:
+        flags = member.astype(float)
+        z = np.where(member, target, 0.0)
+        self.all += x.T @ x
+        for s in np.flatnonzero(~member.all(axis=0)):
+            # Most rows train in most splits: only the few that do not are added up again.
+            held = x[~member[:, s]]
+            self.out[s] = held.T @ held if self.out[s] is None else self.out[s] + held.T @ held
+        self.n += flags.sum(axis=0)
+        self.sx += flags.T @ x
+        self.xz += z.T @ x
+        self.sz += z.sum(axis=0)
+        self.szz += (z * z).sum(axis=0)
+
+    def packed(self) -> np.ndarray:
+        """Splits x packed statistics, totals minus what a split holds out."""
+        tri = np.triu_indices(self.all.shape[0])
+        xx = np.array([(self.all if o is None else self.all - o)[tri] for o in self.out])
+        return np.column_stack([self.n, self.sx, xx, self.xz, self.sz, self.szz])
+
+
+def packed_values(width: int) -> int:
+    return 3 + 2 * width + width * (width + 1) // 2
+
+
+def _sorted_rows(rows: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, bool]:
+    """Rows ordered by key in every task, so that a task adds up one key at a time, and whether a key is in one task only.
+
+    While the statistics of all keys fit into ``FLUSH_VALUES`` numbers, rows stay where
+    they are. Otherwise every key's rows move to as few tasks as its size needs, at
+    least four times as many bytes of rows as of statistics to a task, so that the
+    statistics sent on are a fraction of the rows however many keys are mixed.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(F.size("member")).alias("__k"))
+    found = counts.agg(F.count(F.lit(1)).alias("n_keys"), F.max("__k").alias("splits"), F.max("__n").alias("most")).first()
+    splits = max(found.splits or 0, 1)
+    if (found.n_keys or 0) * splits * packed_values(width) <= FLUSH_VALUES:
+        return rows.sortWithinPartitions(*keys), False
+    per_task = max(10_000, 4 * splits * packed_values(width) // (width + 2 * splits))
+    if found.most <= per_task:
+        return rows.repartition(*keys).sortWithinPartitions(*keys), True
+    parts = broadcast_if_small(counts.filter(F.col("__n") > per_task).select(*keys, F.ceil(F.col("__n") / per_task).cast("bigint").alias("__parts")))
+    salted = null_safe_join(rows, parts, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("x", "target"), F.col("__parts")), F.lit(0)))
+    return salted.repartition(*keys, "__salt").sortWithinPartitions(*keys, "__salt").drop("__parts", "__salt"), False
 
 
 def gram_stats(df: DataFrame, keys: list[str], width: int, x: str = "x", member: str = "member", target: str = "target") -> DataFrame:
     """Packed statistics per key and split (columns split, stats).
 
-    Each task adds up its own rows first, so a key of any size sends one packed
-    vector per task and split through the shuffle.
+    Rows come to a task ordered by key. It holds the sums of one key, whatever the
+    number of keys and rows, and sends them on as one packed vector per split when
+    the key changes. Rows with a null in ``x`` or ``target`` are an error; null keys
+    form a key like any other.
     """
-    rows = df.select(*keys, x, F.transform(member, lambda m: m.cast("double")).alias(member), target)
+    rows = df.select(*keys, F.col(x).alias("x"), F.transform(member, lambda m: m.cast("double")).alias("member"), F.col(target).alias("target"))
     fields = [rows.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("split", T.LongType()), T.StructField("part", T.ArrayType(T.DoubleType()))])
     nk = len(keys)
 
-    def emit(sums):
-        ks = list(sums)
-        n_splits = len(next(iter(sums.values())))
-        lead = [pa.array([k[i] for k in ks for _ in range(n_splits)], type=types[i]) for i in range(nk)]
-        split = pa.array(np.tile(np.arange(n_splits), len(ks)))
-        return pa.RecordBatch.from_arrays([*lead, split, matrix_list(np.concatenate([sums[k] for k in ks]))], names=schema.names)
-
-    types: list = []
+    def emit(key, sums):
+        packed = sums.packed()
+        lead = [pa.array([v.as_py()] * len(packed), type=v.type) for v in key]
+        return pa.RecordBatch.from_arrays([*lead, pa.array(np.arange(len(packed))), matrix_list(packed)], names=schema.names)
 
     def partial(batches):
-        sums: dict[tuple, np.ndarray] = {}
+        key, sums = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            types[:] = [b.column(i).type for i in range(nk)]
-            n_splits = len(b.column(nk + 1)[0])
-            xs, ms, zs = list_matrix(b.column(nk), width), list_matrix(b.column(nk + 1), n_splits) > 0, list_matrix(b.column(nk + 2), n_splits)
-            for row, at in batch_groups(b, keys):
-                k = tuple(b.column(i)[row].as_py() for i in range(nk))
-                packed = _pack(xs[at], ms[at], zs[at])
-                sums[k] = sums[k] + packed if k in sums else packed
-            if len(sums) * packed.size >= FLUSH_VALUES:
-                yield emit(sums)
-                sums = {}
-        if sums:
-            yield emit(sums)
-
-    summed = rows.mapInArrow(partial, schema).groupBy(*keys, "split").agg(Summarizer.metrics("sum").summary(array_to_vector("part")).alias("s"))
+            splits = len(b.column(nk + 1)[0])
+            xs, zs = list_matrix(b.column(nk), width), list_matrix(b.column(nk + 2), splits)
+            ms = list_matrix(b.column(nk + 1), splits) > 0
+            runs = sorted(batch_groups(b, keys), key=lambda g: g[1][0])
+            for row, at in runs:
+                k = [b.column(i)[row] for i in range(nk)]
+                if key is None or [v.as_py() for v in k] != [v.as_py() for v in key]:
+                    if sums is not None:
+                        yield emit(key, sums)
+                    key, sums = k, Sums(width, splits)
+                sums.add(xs[at], ms[at], zs[at])
+        if sums is not None:
+            yield emit(key, sums)
+
+    ordered, whole = _sorted_rows(rows, keys, width)
+    parts = ordered.mapInArrow(partial, schema)
+    if whole:
+        return parts.withColumnRenamed("part", "stats")
+    summed = parts.groupBy(*keys, "split").agg(Summarizer.metrics("sum").summary(array_to_vector("part")).alias("s"))
     return summed.select(*keys, "split", vector_to_array("s.sum").alias("stats"))
 
 
 def unpack_rows(stats: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Packed statistics as rows: (i, j) of X'X, (i, -1) of X'z, (-1, -1) for n."""
     pairs = [(-1, -1), *[(-2, i) for i in range(width)], *[(i, j) for i in range(width) for j in range(i, width)], *[(i, -1) for i in range(width)]]
-    at = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), F.lit(p).alias("p")) for p, (i, j) in enumerate(pairs)])
-    return stats.select(*keys, "split", "stats", F.explode(at).alias("a")).select(*keys, "split", "a.i", "a.j", F.col("stats")[F.col("a.p")].alias("value"))
+    # As many rows as a packed vector has numbers, whatever the data.
+    names = stats.sparkSession.createDataFrame([(p, i, j) for p, (i, j) in enumerate(pairs)], "p int, i bigint, j bigint")
+    long = stats.select(*keys, "split", F.posexplode("stats").alias("p", "value"))
+    return long.join(F.broadcast(names), "p").select(*keys, "split", "i", "j", "value")
 
 
 def ml_lambda(df: DataFrame, keys: list[str], y: str = "y", member: str = "member", low: float = -5.0, high: float = 5.0, refine: int = 2) -> DataFrame:

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import broadcast_if_small
+
 # The processing settings in grid order (first step varies slowest).
 _NDI = {"method": "ndi", "wl1": [770, 800], "wl2": [650, 680]}
 _MCARI2 = {"method": "mcari2", "wl1": [800], "wl2": [670], "wl3": [550]}
@@ -105,6 +107,18 @@ def decode(df: DataFrame, grid: Grid = GRID, names: dict[str, list[str]] | None
     return df.withColumns(cols)
 
 
+def settings_of(idx: Column, grid: Grid = GRID, names: dict[str, list[str]] | None = None) -> Column:
+    """Level names of a scenario's steps, in grid order, as one text."""
+    names = SHORT_NAMES if names is None else names
+    digits = [F.floor(idx / k).cast("int") % len(grid.settings[s]) for s, k in grid.strides().items()]
+    return F.concat_ws("/", *[F.element_at(F.array(*[F.lit(n) for n in names[s]]), d + 1) for s, d in zip(grid.steps, digits)])
+
+
+def join_grid(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with the settings of a stored grid of any run (one row per ``grid_idx``); scenarios that the grid lacks are left out."""
+    return df.join(broadcast_if_small(table), "grid_idx")
+
+
 def literal_text(setting: Any) -> str | None:
     """A setting in the text form kept in exported grids."""
     return setting if setting is None or isinstance(setting, str) else str(setting)

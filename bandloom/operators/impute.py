@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +62,10 @@ def impute_iterative(df: DataFrame, width: int, x: str = "x", rounds: int = 10,
     return filled(list(updates))
 
 
-#: Blocks of rows in the neighbour search; their summaries are broadcast.
-MAX_BLOCKS = 10_000
+#: Boxes that are sent to every task of the neighbour search; more are looked through level by level.
+TOP_BOXES = 4_096
+#: Boxes that make one box of the next level.
+FAN = 64
 
 
 def _distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -94,6 +96,60 @@ def _nearest(q, q_ids, d, d_ids, k, chunk=512):
     return out
 
 
+def _reached(row: np.ndarray, reach: float, lo: np.ndarray, hi: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Boxes that may hold a donor of ``row`` within ``reach``."""
+    here = ~np.isnan(row)
+    gap = np.maximum(np.maximum(lo[:, here] - row[here], row[here] - hi[:, here]), 0.0)
+    gap = np.sort(np.where(np.isfinite(gap), gap, 0.0) ** 2, axis=1)
+    # A donor may miss up to ``gaps`` features: the largest gaps may not count.
+    cum = np.concatenate([np.zeros((len(gap), 1)), np.cumsum(gap, axis=1)], axis=1)
+    low = cum[np.arange(len(gap)), np.maximum(gap.shape[1] - gaps, 0)]
+    return np.flatnonzero(low <= reach * (1 + 1e-9))
+
+
+_GUEST = "node bigint, id bigint, x array<double>, reach double, home bigint"
+_NODE = "node bigint, lo array<double>, hi array<double>, gaps bigint, kids array<bigint>, klo array<double>, khi array<double>, kgaps array<bigint>"
+
+
+def _coarser(boxes: DataFrame, width: int) -> DataFrame:
+    """Up to ``FAN`` neighbouring boxes as one around them, with the boxes inside it."""
+
+    def around(t: pa.Table) -> pa.Table:
+        lo, hi, gaps = list_matrix(t.column("lo"), width), list_matrix(t.column("hi"), width), t.column("gaps").to_numpy()
+        one = [t.column("node")[0].as_py() // FAN, lo.min(axis=0), hi.max(axis=0), int(gaps.max()), t.column("node").to_numpy(), lo.ravel(), hi.ravel(), gaps]
+        many, number = pa.list_(pa.float64()), pa.list_(pa.int64())
+        kinds = (pa.int64(), many, many, pa.int64(), number, many, many, number)
+        return pa.table([pa.array([v], k) for v, k in zip(one, kinds)], names=[f.strip().split()[0] for f in _NODE.split(",")])
+
+    return boxes.select("node", "lo", "hi", "gaps").groupBy(F.floor(F.col("node") / FAN)).applyInArrow(around, _NODE)
+
+
+def _dealt(guests: DataFrame, rows: DataFrame, visit_rows: int) -> tuple:
+    """Guests and rows grouped by node, the guests of popular nodes in several parts."""
+    parts = broadcast_if_small(guests.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / visit_rows).cast("bigint").alias("parts")))
+    left = guests.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    right = rows.join(parts, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    return left.groupBy("node", "part"), right.groupBy("node", "part")
+
+
+def _inside(guests: DataFrame, level: DataFrame, width: int, visit_rows: int) -> DataFrame:
+    """Guests of a level's boxes moved on to the boxes inside that they may need."""
+    names = [f.strip().split()[0] for f in _GUEST.split(",")]
+
+    def move(q: pa.Table, d: pa.Table) -> pa.Table:
+        if not q.num_rows or not d.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64())], names=names)
+        m, reach = list_matrix(q.column("x"), width), q.column("reach").to_numpy()
+        kids, gaps = (np.asarray(d.column(c)[0].as_py()) for c in ("kids", "kgaps"))
+        lo, hi = (np.asarray(d.column(c)[0].as_py(), float).reshape(-1, width) for c in ("klo", "khi"))
+        go = [_reached(m[i], reach[i], lo, hi, gaps) for i in range(len(m))]
+        take = pa.array(np.repeat(np.arange(len(m)), [len(g) for g in go]))
+        return pa.table([pa.array(kids[np.concatenate(go)].astype(np.int64)), *(q.column(c).take(take) for c in names[1:])], names=names)
+
+    left, right = _dealt(guests, level, visit_rows)
+    return left.cogroup(right).applyInArrow(move, _GUEST)
+
+
 _FOUND = "id bigint, feature bigint, dist double, donor bigint, value double"
 
 
@@ -106,18 +162,17 @@ def _found_table(rows) -> pa.Table:
 def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2, block_rows: int = 2000, visit_rows: int = 20_000) -> DataFrame:
     """Missing values as the mean of the k nearest rows that have the value. Exact.
 
-    Rows are cut into equal blocks along their mean value. Each block first
-    searches itself, which bounds every distance; a row then visits only blocks
-    whose bounding box is not farther than that bound. Popular blocks are
-    visited in several parts. Only k donors per value and block are kept.
+    Rows are cut into equal blocks along their mean value, of ``block_rows`` rows
+    however many rows there are. Each block first searches itself, which bounds every
+    distance; a row then visits only blocks whose bounding box is not farther than that
+    bound. It finds them from large boxes to the smaller ones inside. Popular boxes and
+    blocks are visited in several parts. Only k donors per value and block are kept.
     """
     if not has_missing(df, x):
         return df
     mean = F.expr(f"aggregate(filter({x}, v -> v IS NOT NULL), 0D, (s, v) -> s + v) / greatest(size(filter({x}, v -> v IS NOT NULL)), 1)")
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(x).alias("x"), mean.alias("u"), F.lit(0).alias("g"))
-    n = base.count()
-    size = max(block_rows, -(-n // MAX_BLOCKS))
-    rows = ranked(base, ["g"], ["u", "id"], "rn").select(F.floor((F.col("rn") - 1) / size).alias("block"), "id", "x")
+    rows = ranked(base, ["g"], ["u", "id"], "rn").select(F.floor((F.col("rn") - 1) / block_rows).alias("block"), "id", "x")
     rows = checkpointed(rows)
 
     hit = "array<struct<id:bigint,feature:bigint,dist:double,donor:bigint,value:double>>"
@@ -153,37 +208,32 @@ def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2,
         )
 
     searched = checkpointed(rows.groupBy("block").applyInArrow(own, own_schema))
-    boxes = searched.filter("lo IS NOT NULL").select("block", "lo", "hi", "gaps").toArrow()  # at most MAX_BLOCKS rows
-    ids_b = boxes.column("block").to_numpy()
-    lo_b, hi_b = list_matrix(boxes.column("lo"), width), list_matrix(boxes.column("hi"), width)
-    gaps_b = boxes.column("gaps").to_numpy()
-
-    visit_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    levels = [searched.filter("lo IS NOT NULL").select(F.col("block").alias("node"), "lo", "hi", "gaps")]
+    n_top = n_blocks = levels[0].count()
+    while n_top > TOP_BOXES:
+        levels.append(checkpointed(_coarser(levels[-1], width)))
+        n_top = levels[-1].count()
+    top = levels[-1].select("node", "lo", "hi", "gaps").toArrow()  # at most TOP_BOXES rows
+    ids_t, gaps_t = top.column("node").to_numpy(), top.column("gaps").to_numpy()
+    lo_t, hi_t = list_matrix(top.column("lo"), width), list_matrix(top.column("hi"), width)
+    names = ["node", "id", "x", "reach", "home"]
 
     def visits(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            m, home = list_matrix(b.column(2), width), b.column(0).to_numpy()
-            reach = b.column(3).to_numpy()
+            m, reach = list_matrix(b.column(2), width), b.column(3).to_numpy()
             for i in np.flatnonzero(reach >= 0):
-                here = ~np.isnan(m[i])
-                gap = np.maximum(np.maximum(lo_b[:, here] - m[i, here], m[i, here] - hi_b[:, here]), 0.0)
-                gap = np.sort(np.where(np.isfinite(gap), gap, 0.0) ** 2, axis=1)
-                # A donor may miss up to ``gaps`` features: the largest gaps may not count.
-                cum = np.concatenate([np.zeros((len(gap), 1)), np.cumsum(gap, axis=1)], axis=1)
-                low = cum[np.arange(len(gap)), np.maximum(gap.shape[1] - gaps_b, 0)]
-                go = ids_b[(low <= reach[i] * (1 + 1e-9)) & (ids_b != home[i])]
+                go = ids_t[_reached(m[i], reach[i], lo_t, hi_t, gaps_t)]
                 if len(go):
                     take = pa.array(np.full(len(go), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(go), b.column(1).take(take), b.column(2).take(take)], names=visit_schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(go), *(b.column(c).take(take) for c in (1, 2, 3, 0))], names=names)
 
-    guests = searched.select("block", "id", "x", "reach").mapInArrow(visits, visit_schema)
     found = searched.select(F.explode("found").alias("f")).select("f.*")
-    if len(ids_b) > 1:
-        parts = broadcast_if_small(guests.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / visit_rows).cast("bigint").alias("parts")))
-        left = guests.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-        right = rows.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    if n_blocks > 1:
+        guests = searched.select("block", "id", "x", "reach").mapInArrow(visits, _GUEST)
+        for level in reversed(levels[1:]):
+            guests = checkpointed(_inside(guests, level, width, visit_rows))
 
         def meet(q: pa.Table, d: pa.Table) -> pa.Table:
             if not q.num_rows or not d.num_rows:
@@ -193,12 +243,12 @@ def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2,
             )
             return _found_table(hits)
 
-        found = found.unionByName(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, _FOUND))
-    # At most k donors per visited block are merged for one value.
-    best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "donor", "value"))), 1, k)
-    values = found.groupBy("id", "feature").agg(best.alias("b"))
-    total = F.aggregate("b", F.lit(0.0), lambda s, v: s + v["value"])
-    values = values.select("id", F.struct(F.col("feature").cast("int"), (total / F.size("b")).alias("value")).alias("e"))
+        left, right = _dealt(guests.filter("node <> home"), rows.withColumnRenamed("block", "node"), visit_rows)
+        found = found.unionByName(left.cogroup(right).applyInArrow(meet, _FOUND))
+    nearest = F.row_number().over(Window.partitionBy("id", "feature").orderBy("dist", "donor"))
+    values = found.withColumn("rn", nearest).filter(F.col("rn") <= k).groupBy("id", "feature").agg(F.avg("value").alias("value"))
+    values = values.select("id", F.struct(F.col("feature").cast("int"), "value").alias("e"))
+    # A row's missing values, at most its width.
     fills = values.groupBy(F.col("id").alias("__id")).agg(F.map_from_entries(F.collect_list("e")).alias("__fill"))
     joined = df.join(fills, F.col(id_col) == F.col("__id"), "left")
     full = F.transform(x, lambda v, i: F.coalesce(v, F.try_element_at("__fill", i)))

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a per-group summary that may be shipped to every executor.
 BROADCAST_ROWS = 50_000
-#: A group up to this many rows may be aggregated in one buffer.
+#: A group up to this many rows may be ordered by one task.
 SMALL_GROUP_ROWS = 2_000_000
+#: Values of a group, over all columns, that exact aggregates may hold in one buffer (some 16 MB).
+SMALL_BUFFER_VALUES = 250_000
 
 _CELL, _SUB = "__cell", "__sub"
 
@@ -141,6 +143,28 @@ def ranked(
     return running(df, keys, order, {out: ("sum", F.lit(1))}, cells, small_group_rows)
 
 
+def following(
+    df: DataFrame, keys: list[str], order: list[str], column: str, out: str, cells: int = 256, small_group_rows: int | None = None
+) -> DataFrame:
+    """The next row's ``column`` in each group, null in the last row (``lead`` for groups of any size).
+
+    Inside a cell it is the next row's; the last row of a cell gets the first value of
+    the next cell, carried backwards over the per-cell firsts. No row meets another by a join.
+    """
+    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    if largest_group(df, keys) <= limit:
+        return df.withColumn(out, F.lead(column).over(Window.partitionBy(*keys).orderBy(*order)))
+    tagged = with_cells(df, keys, order, cells)
+    cell_cols = [*keys, _CELL, _SUB]
+    inside = Window.partitionBy(*cell_cols).orderBy(*order)
+    firsts = tagged.groupBy(*cell_cols).agg(F.min(F.struct(*order, F.struct(column).alias("__v")))["__v"].alias("__first"))
+    ahead = F.lead("__first").over(Window.partitionBy(*keys).orderBy(_CELL, _SUB))
+    carried = firsts.select(*cell_cols, ahead.alias("__ahead"))
+    rows = tagged.withColumn("__next", F.lead(F.struct(column)).over(inside))
+    rows = null_safe_join(rows, broadcast_if_small(carried), cell_cols)
+    return rows.withColumn(out, F.coalesce("__next", "__ahead")[column]).drop("__next", "__ahead", _CELL, _SUB)
+
+
 def hash_ranked(
     df: DataFrame, keys: list[str], hash_col: str, tie: str, out: str = "rn", prefix: int = 3, small_group_rows: int | None = None
 ) -> DataFrame:
@@ -161,19 +185,29 @@ def exact_percentiles(
     small_group_rows: int | None = None,
     epsilon: float = 1e-4,
     largest: int | None = None,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, one array column ``<value>_pctl`` per value.
 
+    ``extra`` names further aggregates of the group; with small groups they come from the same pass.
+
     Groups seen to be small use the exact built-in aggregate. Otherwise the
     wanted ranks are located by counting rows around approximate quantiles, and
     only the rows of the narrow cells that hold a wanted rank are ordered. Pass
     ``largest`` when the size of the largest group is known already.
     """
-    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    limit = SMALL_BUFFER_VALUES // max(len(values), 1) if small_group_rows is None else small_group_rows
     if (largest_group(df, keys) if largest is None else largest) <= limit:
         p = F.array(*[F.lit(float(x)) for x in probs])
-        return df.groupBy(*keys).agg(*[F.percentile(v, p).alias(f"{v}_pctl") for v in values])
-    return _located_percentiles(df, keys, values, probs, epsilon)
+        return df.groupBy(*keys).agg(*[F.percentile(v, p).alias(f"{v}_pctl") for v in values], *more)
+    found = _located_percentiles(df, keys, values, probs, epsilon)
+    return null_safe_join(found, broadcast_if_small(df.groupBy(*keys).agg(*more)), keys) if more else found
+
+
+def summary(value: str) -> dict[str, Column]:
+    """Count, moments and extremes of a column, as aggregates."""
+    return {"n": F.count(value), "mean": F.avg(value), "std": F.stddev(value), "min": F.min(value), "max": F.max(value)}
 
 
 def _located_percentiles(df, keys, values, probs, epsilon):

@@ -14,30 +14,54 @@ from pyspark.sql import types as T
 
 from ..functions import bands as B
 from .grid import Grid
-from .order import broadcast_if_small, exact_percentiles, largest_group
+from .order import broadcast_if_small, exact_percentiles, largest_group, null_safe_join, summary
 
 
-def crop_to_plots(pixels: DataFrame, plots: DataFrame, tile: float = 8.0, buffer: float = 0.0) -> DataFrame:
-    """Pixels inside plot polygons (columns plot, xs, ys of the ring).
+_INSIDE = """
+    aggregate(sequence(0, size(xs) - 1), 0, (n, i) -> n + CASE
+      WHEN (ys[i] > y) <> (ys[(i + 1) % size(ys)] > y)
+       AND x < (xs[(i + 1) % size(xs)] - xs[i]) * (y - ys[i]) / (ys[(i + 1) % size(ys)] - ys[i]) + xs[i]
+      THEN 1 ELSE 0 END) % 2 = 1"""
+# Squared distance to the nearest point of each edge.
+_EDGE = """
+    array_min(transform(transform(sequence(0, size(xs) - 1), i -> named_struct(
+        'ax', x - xs[i], 'ay', y - ys[i], 'bx', xs[(i + 1) % size(xs)] - xs[i], 'by', ys[(i + 1) % size(ys)] - ys[i])),
+      e -> pow(e.ax - e.bx * least(greatest(coalesce(try_divide(e.ax * e.bx + e.ay * e.by, e.bx * e.bx + e.by * e.by), 0D), 0D), 1D), 2D)
+         + pow(e.ay - e.by * least(greatest(coalesce(try_divide(e.ax * e.bx + e.ay * e.by, e.bx * e.bx + e.by * e.by), 0D), 0D), 1D), 2D)))"""
+#: Pixels of one tile that one task matches with plots when plots are not sent to every task.
+TILE_ROWS = 1_000_000
+
+
+def crop_to_plots(pixels: DataFrame, plots: DataFrame, keys: list[str] | None = None, tile: float = 8.0, buffer: float = 0.0) -> DataFrame:
+    """Pixels inside plot polygons (columns plot, xs, ys of the ring, and ``keys`` of the image).
 
     Each plot is listed under the square tiles its box touches, so the match is
-    an equality join on the tile. The even-odd ring test runs on the matches. A
-    buffer also keeps pixels that far inside the plot's box.
+    an equality join on image and tile: an image meets its own plots only. The even-odd
+    ring test runs on the matches. With a ``buffer`` a pixel must also be that far from
+    every edge of the ring. Where plots are too many to be sent to every task, tiles
+    with more than ``TILE_ROWS`` pixels are dealt to several.
     """
+    keys = keys or []
     lo, hi = (lambda c: F.array_min(c) + buffer), (lambda c: F.array_max(c) - buffer)
     span = lambda c: F.sequence(F.floor(lo(c) / tile), F.floor(hi(c) / tile))
     boxed = plots.filter((lo("xs") <= hi("xs")) & (lo("ys") <= hi("ys"))).withColumns(
         {"x0": lo("xs"), "x1": hi("xs"), "y0": lo("ys"), "y1": hi("ys")}
     )
+    by = [*keys, "tx", "ty"]
     tiles = boxed.withColumn("tx", F.explode(span("xs"))).withColumn("ty", F.explode(span("ys")))
     tagged = pixels.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    near = tagged.join(broadcast_if_small(tiles), ["tx", "ty"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-    inside = F.expr("""
-        aggregate(sequence(0, size(xs) - 1), 0, (n, i) -> n + CASE
-          WHEN (ys[i] > y) <> (ys[(i + 1) % size(ys)] > y)
-           AND x < (xs[(i + 1) % size(xs)] - xs[i]) * (y - ys[i]) / (ys[(i + 1) % size(ys)] - ys[i]) + xs[i]
-          THEN 1 ELSE 0 END) % 2 = 1""")
-    return near.filter(inside).drop("tx", "ty", "x0", "x1", "y0", "y1", "xs", "ys")
+    small = broadcast_if_small(tiles)
+    if small is tiles:
+        hot = tagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE_ROWS)
+        hot = broadcast_if_small(hot.select(*by, F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("__parts")))
+        part = F.coalesce(F.col("__parts"), F.lit(1))
+        tagged = tagged.join(hot, by, "left").withColumn("__part", F.pmod(F.xxhash64("x", "y"), part).cast("int")).drop("__parts")
+        small = tiles.join(hot, by, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), part - 1))).drop("__parts")
+        by = [*by, "__part"]
+    near = tagged.join(small, by).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").filter(F.expr(_INSIDE))
+    if buffer > 0:
+        near = near.filter(F.expr(_EDGE) >= buffer * buffer)
+    return near.drop("tx", "ty", "__part", "x0", "x1", "y0", "y1", "xs", "ys")
 
 
 def crop_subsets(df: DataFrame, dropped: list[tuple[str, str]]) -> DataFrame:
@@ -48,6 +72,31 @@ def crop_subsets(df: DataFrame, dropped: list[tuple[str, str]]) -> DataFrame:
     return df.filter(keep)
 
 
+@dataclass(frozen=True)
+class Route:
+    """Which plots the images of a study, and of a year if one is named, are cut with."""
+
+    study: str
+    plots: str
+    method: str
+    year: int | None = None
+
+
+def crop_routes(sheet: DataFrame, routes: list[Route], dropped: list[tuple[str, str]]) -> DataFrame:
+    """Crop instructions with their plot set (``plots``) and cutting ``method``.
+
+    The (study, date) sets in ``dropped`` have no image of the chosen panel; they go, as
+    do rows that no route takes. The first route that fits counts.
+    """
+    plots, method = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for r in reversed(routes):
+        fits = F.col("study") == r.study
+        if r.year is not None:
+            fits = fits & (F.year(F.to_date("date", "yyyyMMdd")) == r.year)
+        plots, method = F.when(fits, r.plots).otherwise(plots), F.when(fits, r.method).otherwise(method)
+    return crop_subsets(sheet, dropped).withColumns({"plots": plots, "method": method}).filter("plots IS NOT NULL")
+
+
 @dataclass(frozen=True)
 class Mask:
     """One masking rule on an index column; ``side`` names what is masked."""
@@ -99,13 +148,9 @@ BM_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 
 def bandmath_stats(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distribution of an index per image before masking."""
-    basic = pixels.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-    )
-    pct = exact_percentiles(pixels, keys, [value], BM_PROBS)
+    pct = exact_percentiles(pixels, keys, [value], BM_PROBS, extra=summary(value))
     cols = [F.col(f"{value}_pctl")[i].alias(f"pctl_{int(100 * p)}th") for i, p in enumerate(BM_PROBS)]
-    return basic.join(pct.select(*keys, *cols), keys)
+    return pct.select(*keys, "n", "mean", "std", "min", "max", *cols)
 
 
 def prefix_table(level: dict, wl) -> B.BandTable:
@@ -242,7 +287,7 @@ def scenario_spectra(
         nan = F.array_repeat(F.lit(float("nan")), n_probs)
         limits = limits.select(*keys, F.flatten(F.array(*[F.coalesce(f"{n}_pctl", nan) for n in names])).alias("limits"))
         # Images without any index value keep their place: unmasked scenarios still need them.
-        joined = rows.join(broadcast_if_small(limits), keys, "left")
+        joined = null_safe_join(rows, broadcast_if_small(limits), keys, "left")
         unknown = F.array_repeat(F.lit(float("nan")), n_idx * n_probs)
         joined = joined.withColumn("limits", F.coalesce("limits", unknown))
     schema = T.StructType(
@@ -313,3 +358,30 @@ def scenario_spectra(
                         )
 
     return means.mapInArrow(finish, out)
+
+
+def all_scenarios(
+    pixels: DataFrame, keys: list[str], grid: Grid, wl, panels: list[Column], crops: list[Column],
+    derivatives: tuple[int, ...] = (1, 2, 3), done: DataFrame | None = None, within: list[int] | None = None,
+) -> DataFrame:
+    """Spectra of every scenario of the grid from the pixels of all panel and crop settings.
+
+    ``panels`` and ``crops`` have a condition per level: which pixels the setting has.
+    The first two steps are branches; a pixel goes once to each branch it belongs to,
+    and within a branch all scenarios share their prefixes, indices and masks as in
+    ``scenario_spectra``. ``done`` are results that are stored already: an image whose
+    scenarios of a branch are all there is left out before its pixels are read further,
+    and no scenario of an image comes out twice. ``within`` names the scenarios of a
+    branch that are wanted, all by default.
+    """
+    per = grid.size // (len(panels) * len(crops))
+    wanted = list(range(per)) if within is None else within
+    branches = [F.when(p & c, F.lit(i * len(crops) + j).cast("bigint")) for i, p in enumerate(panels) for j, c in enumerate(crops)]
+    rows = pixels.select(*keys, "refl", F.explode(F.array_compact(F.array(*branches))).alias("branch"))
+    if done is not None:
+        have = done.select(*keys, "grid_idx").filter((F.col("grid_idx") % per).isin(wanted)).distinct()
+        whole = have.groupBy(*keys, F.floor(F.col("grid_idx") / per).alias("branch")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= len(wanted))
+        rows = rows.join(broadcast_if_small(whole.select(*keys, "branch")), [*keys, "branch"], "left_anti")
+    found = scenario_spectra(rows, [*keys, "branch"], grid, wanted, wl, derivatives)
+    found = found.withColumn("grid_idx", F.col("branch") * per + F.col("grid_idx")).drop("branch")
+    return found if done is None else found.join(have, [*keys, "grid_idx"], "left_anti")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .order import broadcast_if_small, exact_percentiles, running
+from ..functions.bands import batch_groups, matrix_list
+from .order import broadcast_if_small, exact_percentiles, null_safe_join, running, summary
 
 #: Metrics where larger is better.
 LARGER_IS_BETTER = ["R2"]
@@ -71,10 +79,24 @@ def stack_metrics(frames: dict[str, DataFrame], label: str = "metric") -> DataFr
     return out
 
 
-def objective_table(optima: DataFrame, keys: list[str], metrics: dict[str, str]) -> DataFrame:
-    """One row per key with the metrics side by side (``metrics``: metric -> column)."""
+def level_code(column: str, levels: list[str]) -> Column:
+    """Position of a level in alphabetical order, from 0."""
+    return F.array_position(F.array(*[F.lit(x) for x in sorted(levels)]), F.col(column)) - 1
+
+
+def objective_table(
+    optima: DataFrame, keys: list[str], metrics: dict[str, str], steps: dict[str, list[str]] | None = None, chain: tuple[str, list[str]] | None = None
+) -> DataFrame:
+    """One row per key with the metrics side by side (``metrics``: metric -> column).
+
+    ``steps`` (names of the levels per processing step) adds a code per step as
+    ``par<step>``; ``chain`` is the column, with its levels, that numbers the chains.
+    """
     picks = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c) for m, c in metrics.items()]
-    return optima.groupBy(*keys).agg(*picks)
+    codes = {f"par{s}": level_code(s, levels) for s, levels in (steps or {}).items()}
+    if chain:
+        codes["chain"] = level_code(*chain)
+    return optima.groupBy(*keys).agg(*picks).withColumns(codes) if codes else optima.groupBy(*keys).agg(*picks)
 
 
 def factorize(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
@@ -113,13 +135,9 @@ def by_step(df: DataFrame, steps: list[str], keep: list[str]) -> DataFrame:
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, std, extremes and quartiles per group."""
     keyed, gk = (df, keys) if keys else (df.withColumn("__all", F.lit(0)), ["__all"])
-    basic = keyed.groupBy(*gk).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
-    q = exact_percentiles(keyed, gk, [value], [0.25, 0.5, 0.75])
+    q = exact_percentiles(keyed, gk, [value], [0.25, 0.5, 0.75], extra=summary(value)).withColumnRenamed("n", "count")
     quart = [F.col(f"{value}_pctl")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
-    out = basic.join(broadcast_if_small(q.select(*gk, *quart)), gk)
-    return out if keys else out.drop("__all")
+    return q.select(*keys, "count", "mean", "std", "min", "max", *quart)
 
 
 def percentile_of_score(df: DataFrame, keys: list[str], value: str, score: float | Column) -> DataFrame:
@@ -130,15 +148,19 @@ def percentile_of_score(df: DataFrame, keys: list[str], value: str, score: float
     return df.groupBy(*keys).agg((100 * (below + upto) / 2).alias("pct_rank"))
 
 
-def extreme_scenarios(df: DataFrame, keys: list[str], value: str = "value", idx: str = "grid_idx") -> DataFrame:
-    """Scenarios with the lowest and highest mean value over models."""
+def extreme_scenarios(df: DataFrame, keys: list[str], value: str = "value", idx: str = "grid_idx", names: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Scenarios with the lowest and highest mean value over models.
+
+    ``names`` turns a scenario's number into its settings (``settings_min``, ``settings_max``).
+    """
     means = df.groupBy(*keys, idx).agg(F.avg(value).alias("__m"))
     low = F.min(F.struct("__m", idx))
     high = F.max(F.struct(F.col("__m"), (-F.col(idx)).alias("__i")))
     out = means.groupBy(*keys).agg(low.alias("__lo"), high.alias("__hi"))
-    return out.select(
+    out = out.select(
         *keys, F.col(f"__lo.{idx}").alias("idx_min"), F.col("__lo.__m").alias("value_min"), (-F.col("__hi.__i")).alias("idx_max"), F.col("__hi.__m").alias("value_max")
     )
+    return out if names is None else out.withColumns({f"settings_{e}": names(F.col(f"idx_{e}")) for e in ("min", "max")})
 
 
 def relative_rmse(df: DataFrame, response: DataFrame, keys: list[str], value: str = "value", y: str = "y") -> DataFrame:
@@ -225,19 +247,42 @@ def positive_scores(df: DataFrame, keys: list[str], column: str, order: str) ->
 def density(df: DataFrame, keys: list[str], value: str, points: list[float], width: float | None = None) -> DataFrame:
     """Gaussian kernel density on given points; bandwidth std * n^(-1/5) per group.
 
-    Equal values (or bins of ``width``, when given) are merged first, so each
-    contributes once per point, and the points are summed before the shuffle.
+    Equal values (or bins of ``width``, when given) are counted first. A task turns the
+    counts of a batch into one array with a sum per point, so neither a row per value
+    and point is made nor more than an array per group and batch is sent.
     """
+    if not keys:
+        return density(df.withColumn("__all", F.lit(0)), ["__all"], value, points, width).drop("__all")
     v = F.col(value) if width is None else (F.floor(F.col(value) / width) + 0.5) * width
-    merged = df.groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
+    merged = df.groupBy(*keys, v.cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__w")).filter("__v IS NOT NULL")
     spread = df.groupBy(*keys).agg(F.stddev(value).alias("__sd"), F.count(value).alias("__n"))
     spread = spread.select(*keys, "__n", (F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("__h"))
-    rows = merged.join(broadcast_if_small(spread), keys)
-    z = F.try_divide(F.col("point") - F.col("__v"), F.col("__h"))
-    kernel = F.col("__w") * F.exp(-0.5 * z * z)
-    grid = rows.withColumn("point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    scale = F.first("__n") * F.first("__h") * F.lit((2 * 3.141592653589793) ** 0.5)
-    return grid.groupBy(*keys, "point").agg(F.try_divide(F.sum(kernel), scale).alias("density"))
+    rows = null_safe_join(merged, broadcast_if_small(spread), keys).select(*keys, "__v", "__w", "__h")
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("__part", T.ArrayType(T.DoubleType()))])
+    at, nk = np.asarray(points, float), len(keys)
+
+    def sums(batches):
+        for b in batches:
+            v, w, h = (b.column(nk + i).to_numpy(zero_copy_only=False).astype(float) for i in range(3))
+            found, parts = list(batch_groups(b, keys)), []
+            for _, own in found:
+                total = np.zeros(len(at))
+                for lo in range(0, len(own), 4_096):
+                    some = own[lo : lo + 4_096]
+                    with np.errstate(all="ignore"):
+                        total += w[some] @ np.exp(-0.5 * ((at[None, :] - v[some, None]) / h[some, None]) ** 2)
+                parts.append(total)
+            if parts:
+                first = pa.array([r for r, _ in found])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(first) for i in range(nk)), matrix_list(np.array(parts))], names=schema.names)
+
+    total = rows.mapInArrow(sums, schema).groupBy(*keys).agg(Summarizer.metrics("sum").summary(array_to_vector("__part")).alias("s"))
+    total = null_safe_join(total, broadcast_if_small(spread), keys)
+    scale = F.col("__n") * F.col("__h") * F.lit((2 * 3.141592653589793) ** 0.5)
+    each = F.arrays_zip(F.array(*[F.lit(float(p)) for p in points]).alias("point"), vector_to_array("s.sum").alias("sum"))
+    return total.select(*keys, scale.alias("__scale"), F.explode(each).alias("p")).select(
+        *keys, "p.point", F.when(F.col("__scale") > 0, F.col("p.sum") / F.col("__scale")).alias("density")
+    )
 
 
 # --- tuning and score bookkeeping -------------------------------------------

@@ -22,10 +22,12 @@ def lasso_select(coefs: DataFrame, keys: list[str], coef: str = "coef", absolute
 
 
 def feature_sets(coefs: DataFrame, coef: str = "coef", out: str = "feats") -> DataFrame:
-    """Add the array of selected bands and its size, row by row."""
+    """Add the array of selected bands, the rank of each by descending weight (ties share the lowest) and their number."""
     bands = F.sequence(F.lit(0), F.size(coef) - 1)
     picked = F.filter(bands, lambda i: F.abs(F.element_at(coef, i + 1)) > MIN_WEIGHT)
-    return coefs.withColumn(out, picked).withColumn("feat_n", F.size(out).cast("bigint"))
+    weights = F.transform(out, lambda i: F.element_at(coef, i + 1))
+    ranks = F.transform("__w", lambda w: F.size(F.filter("__w", lambda v: v > w)) + 1)
+    return coefs.withColumn(out, picked).withColumn("__w", weights).withColumn("feat_ranking", ranks).withColumn("feat_n", F.size(out).cast("bigint")).drop("__w")
 
 
 def path_dedupe(sets: DataFrame, keys: list[str], feats: str = "feats") -> DataFrame:

@@ -96,9 +96,8 @@ def fast_indices(df: DataFrame, keys: list[str], params: list[str], like: str, i
     )
     # Frequencies 1 .. ceil(N/2)-1 hold half the variance; for even N the top one is left out.
     total = F.col("var") - F.when(F.col("N") % 2 == 0, F.pow(F.col("alt") / F.col("N"), F.lit(2.0))).otherwise(0.0)
-    longest = size.agg(F.max("N")).first()[0] or 0
     series = rows.select(*by, "N", "t", F.col(like).cast("double").alias("y"))
-    parts = spectrum_sums(series, by, longest, harmonics)
+    parts = spectrum_sums(series, by, harmonics)
     name = F.element_at(F.array(*[F.lit(p) for p in params]), (F.col("block") + 1).cast("int"))
     scale = 2.0 / (F.col("N") * F.col("N"))
     return parts.join(broadcast_if_small(power), by).select(
@@ -106,19 +105,31 @@ def fast_indices(df: DataFrame, keys: list[str], params: list[str], like: str, i
     )
 
 
-def spectrum_sums(series: DataFrame, by: list[str], longest: int, harmonics: int, block: int = 1 << 16) -> DataFrame:
+def transform_shape(n: int, block: int) -> tuple[int, int, int, int]:
+    """For a series of ``n`` values: rows and columns of its matrix, columns and rows to a group."""
+    bits = max(int(2 * n - 1).bit_length(), 4)
+    p1, p2 = 1 << (bits // 2), 1 << (bits - bits // 2)
+    return p1, p2, min(max(block // p1, 1), p2), min(max(block // p2, 1), p1)
+
+
+def _shape_columns(n: Column, block: int) -> tuple[Column, Column]:
+    """Columns of a series' matrix and columns to a group, as ``transform_shape`` has them."""
+    bits = F.greatest(F.length(F.bin(F.greatest(2 * n - 1, F.lit(0)).cast("bigint"))), F.lit(4))
+    half = F.floor(bits / 2)
+    p1, p2 = F.pow(F.lit(2.0), half).cast("bigint"), F.pow(F.lit(2.0), bits - half).cast("bigint")
+    return p2, F.least(F.greatest(F.floor(F.lit(block) / p1), F.lit(1)), p2)
+
+
+def spectrum_sums(series: DataFrame, by: list[str], harmonics: int, block: int = 1 << 16) -> DataFrame:
     """Power at the base frequency's multiples and below half of it, for every series (columns N, t, y).
 
     The discrete transform of any length N is a convolution with a chirp, taken
     by transforms of a power-of-two length P = P1 x P2 >= 2N. Each of those is
     done in two steps, along the columns and along the rows of a P1 x P2 matrix,
     so a series of any length is spread over the cluster in groups of about
-    ``block`` values (or sqrt(P), if that is more) with three shuffles.
+    ``block`` values (or sqrt(P), if that is more) with three shuffles. P is that of
+    the series itself: a long series does not pad the short ones next to it.
     """
-    bits = max(int(2 * longest - 1).bit_length(), 4)
-    p1, p2 = 1 << (bits // 2), 1 << (bits - bits // 2)
-    p = p1 * p2
-    wide, tall = min(max(block // p1, 1), p2), min(max(block // p2, 1), p1)  # columns, rows per group
     lead = [series.schema[c] for c in by] + [series.schema["N"]]
     names = [f.name for f in lead]
     wave = [T.StructField(c, T.DoubleType()) for c in ("ar", "ai", "br", "bi")]
@@ -138,7 +149,9 @@ def spectrum_sums(series: DataFrame, by: list[str], longest: int, harmonics: int
 
     def columns(g: pa.Table) -> pa.Table:
         # Values t = P2 n1 + n2 of some n2; the chirp is symmetric around 0 and padded with zeros.
-        n, lo = g.column("N")[0].as_py(), g.column("g")[0].as_py() * wide
+        n = g.column("N")[0].as_py()
+        p1, p2, wide, tall = transform_shape(n, block)
+        p, lo = p1 * p2, g.column("g")[0].as_py() * wide
         n1, n2 = grid(np.arange(p1), np.arange(lo, lo + wide))
         g_rows = g.filter(g.column("t").is_valid())
         t, a = g_rows.column("t").to_numpy(), np.zeros((p1, wide), complex)
@@ -153,7 +166,8 @@ def spectrum_sums(series: DataFrame, by: list[str], longest: int, harmonics: int
 
     def rows(g: pa.Table) -> pa.Table:
         # Finish both transforms at k = k1 + P1 k2, multiply, start the way back.
-        lo = g.column("g")[0].as_py() * tall
+        p1, p2, wide, tall = transform_shape(g.column("N")[0].as_py(), block)
+        p, lo = p1 * p2, g.column("g")[0].as_py() * tall
         at = (g.column("k1").to_numpy() - lo, g.column("n2").to_numpy())
         a, b = np.zeros((tall, p2), complex), np.zeros((tall, p2), complex)
         a[at] = g.column("ar").to_numpy() + 1j * g.column("ai").to_numpy()
@@ -165,7 +179,9 @@ def spectrum_sums(series: DataFrame, by: list[str], longest: int, harmonics: int
     done = T.StructType([*lead, T.StructField("base", T.DoubleType()), T.StructField("low", T.DoubleType())])
 
     def finish(g: pa.Table) -> pa.Table:
-        n, lo = g.column("N")[0].as_py(), g.column("g")[0].as_py() * wide
+        n = g.column("N")[0].as_py()
+        p1, p2, wide, _ = transform_shape(n, block)
+        lo = g.column("g")[0].as_py() * wide
         c = np.zeros((p1, wide), complex)
         c[g.column("k1").to_numpy(), g.column("m1").to_numpy() - lo] = g.column("ar").to_numpy() + 1j * g.column("ai").to_numpy()
         m2, m1 = grid(np.arange(p1), np.arange(lo, lo + wide))
@@ -175,7 +191,8 @@ def spectrum_sums(series: DataFrame, by: list[str], longest: int, harmonics: int
         return table(g, done, [base], [pw[(k >= 1) & (k <= w // 2)].sum()])
 
     # Every group of columns takes part, also those a short series has no values in.
-    groups = F.sequence(F.lit(0).cast("bigint"), F.lit(p2 // wide - 1).cast("bigint"))
+    p2, wide = _shape_columns(F.col("N"), block)
+    groups = F.sequence(F.lit(0).cast("bigint"), F.floor(p2 / wide).cast("bigint") - 1)
     frame = series.select(*by, "N").distinct().withColumn("g", F.explode(groups)).withColumns(
         {"t": F.lit(None).cast("bigint"), "y": F.lit(None).cast("double")}
     )
@@ -228,11 +245,12 @@ def bootstrap(
 ) -> DataFrame:
     """Confidence interval of a mean by resampling units (Poisson weights).
 
-    Each unit belongs to a ``group`` that fixes its value. Weights follow from a
-    hash of unit and replicate, so a rerun gives the same interval. They are
-    added up per group and replicate before anything is shuffled or joined.
+    Each unit belongs to a ``group`` that fixes its value. Weights follow from the md5
+    of unit, replicate and seed, so a rerun, on any engine, gives the same interval. They
+    are added up per group and replicate before anything is shuffled or joined.
     """
-    u = F.pmod(F.xxhash64(F.col(unit), F.col("__rep"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.col("__rep").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(2.0**52)
     spread = units.select(unit, group).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     weights = spread.groupBy(group, "__rep").agg(F.sum(poisson_weight(u)).alias("__w"))
     rows = weights.join(values, group)

@@ -11,14 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.bands import list_matrix
-from ..functions.solvers import lasso, lasso_path, pls1
+from ..functions.bands import list_matrix, matrix_list
+from ..functions.solvers import lasso_all, lasso_path, pls1_batch, subsets
 from ..functions.target import forward, inverse_np
 from ..session import checkpointed
 from .gram import Stats, gram_stats, ml_lambda
@@ -40,7 +40,12 @@ class Plan:
     path_steps: int = 300
     lasso_alphas: tuple[float, ...] = tuple(10.0**k for k in range(-4, 4))
     components: tuple[int, ...] = tuple(range(2, 11))
-    chunk_rows: int = 20_000
+    chunk_rows: int | None = None
+
+    @property
+    def rows_per_chunk(self) -> int:
+        """Rows scored by one task at a time: as many as 32 MB hold."""
+        return self.chunk_rows or max(1_000, (32 << 20) // (8 * self.width))
 
     @property
     def cv_splits(self) -> int:
@@ -52,14 +57,33 @@ class Plan:
         return self.cv_splits + 1
 
 
-# One row per fitted model. ``cand`` orders the candidates of a model as tuned.
+# One row per fitted model, with the weights of its features only. ``cand`` orders the
+# candidates of a model as tuned; ``gap`` is how far a Lasso is from its optimum.
 def _model_schema(keys: list[T.StructField]) -> T.StructType:
     fields = [("split", T.LongType()), ("alpha", T.DoubleType()), ("model", T.StringType()), ("cand", T.LongType())]
     fields += [("feat_n", T.LongType()), ("las_alpha", T.DoubleType()), ("n_components", T.LongType()), ("scale", T.BooleanType())]
-    fields += [("lam", T.DoubleType()), ("intercept", T.DoubleType()), ("coef", T.ArrayType(T.DoubleType()))]
+    fields += [("lam", T.DoubleType()), ("intercept", T.DoubleType()), ("gap", T.DoubleType())]
+    fields += [("feats", T.ArrayType(T.IntegerType())), ("coef", T.ArrayType(T.DoubleType()))]
     return T.StructType(keys + [T.StructField(n, t) for n, t in fields])
 
 
+class SparseModels:
+    """Weights of many models as features and values, widened a block at a time."""
+
+    def __init__(self, feats, coef, width: int):
+        feats, coef = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (feats, coef))
+        sizes = np.array([len(f) for f in feats], dtype=np.int64) if len(feats) else np.zeros(0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.feats, self.coef, self.width = feats.flatten().to_numpy(zero_copy_only=False), coef.flatten().to_numpy(zero_copy_only=False), width
+
+    def dense(self, idx: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(idx), self.width))
+        for i, m in enumerate(idx):
+            part = slice(self.starts[m], self.starts[m + 1])
+            out[i, self.feats[part]] = self.coef[part]
+        return out
+
+
 def members(df: DataFrame, plan: Plan) -> DataFrame:
     """Training flags of every split from the fold columns."""
     flags = [F.lit(1)] + [(F.col(f"fold_{r}") != f).cast("int") for r in range(plan.n_repeats) for f in range(plan.n_splits)]
@@ -82,24 +106,27 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def alpha_path(stats: DataFrame, plan: Plan) -> DataFrame:
-    """Weights along the penalty path of the raw response (keys, alpha, coef)."""
+    """Weights along the penalty path of the raw response (keys, alpha, gap, coef).
+
+    ``gap`` is the optimality gap of a fit, 0 but for rounding.
+    """
     keys = list(plan.keys)
     raw = stats.filter(F.col("split") == plan.raw_split).select(*keys, "stats")
-    schema = T.StructType([raw.schema[k] for k in keys] + [T.StructField("alpha", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))])
+    extra = [T.StructField("alpha", T.DoubleType()), T.StructField("gap", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([raw.schema[k] for k in keys] + extra)
     width, n_feats, steps = plan.width, plan.n_feats, plan.path_steps
 
-    def solve(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                st = Stats.unpack(np.asarray(row.stats), width)
+    def solve(batches):
+        for b in batches:
+            for i in range(len(b)):
+                st = Stats.unpack(b.column(len(keys))[i].values.to_numpy(), width)
                 cov, cross, _, _ = st.centred()
                 path = lasso_path(cov, cross, st.n, n_feats, steps, min_weight=MIN_WEIGHT)
-                out = pd.DataFrame({"alpha": [a for a, _ in path], "coef": [w for _, w in path]})
-                for k in keys:
-                    out[k] = getattr(row, k)
-                yield out[schema.names]
+                lead = [b.column(k).take(pa.array([i] * len(path))) for k in range(len(keys))]
+                weights = matrix_list(np.array([w for _, w, _ in path]))
+                yield pa.RecordBatch.from_arrays([*lead, pa.array([a for a, _, _ in path]), pa.array([g for _, _, g in path]), weights], names=schema.names)
 
-    return _spread(raw).mapInPandas(solve, schema)
+    return _spread(raw).mapInArrow(solve, schema)
 
 
 def distinct_sets(path: DataFrame, plan: Plan) -> DataFrame:
@@ -107,76 +134,87 @@ def distinct_sets(path: DataFrame, plan: Plan) -> DataFrame:
     return path_dedupe(feature_sets(path).drop("coef"), list(plan.keys))
 
 
-def _fit(st: Stats, feats: np.ndarray, model: str, params: dict, width: int, start=None):
-    """One fit on a feature subset: full-width weights and intercept."""
-    cov, cross, mx, mz = st.centred()
-    cov, cross = cov[np.ix_(feats, feats)], cross[feats]
-    if model == "lasso":
-        w = lasso(cov, cross, st.n, params["las_alpha"], start)
-    else:
-        s = np.sqrt(np.maximum(np.diag(cov), 0) / max(st.n - 1, 1)) if params["scale"] else np.ones(len(feats))
-        s = np.where(s > 0, s, 1.0)
-        w = pls1(cov / np.outer(s, s), cross / s, params["n_components"])[-1] / s
-    coef = np.zeros(width)
-    coef[feats] = w
-    return coef, mz - coef @ mx, w
+def _lasso_fits(st: Stats, centred: tuple, sets: list[np.ndarray], alphas) -> list[tuple]:
+    """``(set, penalty number, weights, gap)`` of every set and penalty."""
+    cov, cross, _, _ = centred
+    out = []
+    for i, f in enumerate(sets):
+        w, gaps = lasso_all(cov[np.ix_(f, f)], cross[f], st.n, alphas)
+        out += [(i, a, w[a], gaps[a]) for a in range(len(alphas))]
+    return out
+
+
+def _pls_fits(st: Stats, centred: tuple, sets: list[np.ndarray], components: int) -> np.ndarray:
+    """Weights ``(scaled or not, components, sets, features)``; a set's rows beyond its features are 0."""
+    cov, cross = subsets(centred[0], centred[1], sets)
+    spread = np.sqrt(np.maximum(np.einsum("gjj->gj", cov), 0) / max(st.n - 1, 1))
+    out = []
+    for sd in (np.where(spread > 0, spread, 1.0), np.ones_like(spread)):
+        out.append(pls1_batch(cov / (sd[:, :, None] * sd[:, None, :]), cross / sd, components) / sd)
+    return np.array(out)
 
 
 def fit_candidates(stats: DataFrame, lambdas: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Every model candidate of every feature set on every fold's training part.
 
     A key has at most ``path_steps`` feature sets; they travel with the
-    statistics, whose rows (one per key and fold) are spread evenly.
+    statistics, whose rows (one per key and fold) are spread evenly. All penalties of
+    a set are read from one exact path, all sets' latent variables come as one batch.
     """
     keys = list(plan.keys)
     packed = sets.filter("feat_n > 0").groupBy(*keys).agg(F.collect_list(F.struct("alpha", "feats")).alias("sets"))
     folds = stats.filter((F.col("split") > 0) & (F.col("split") < plan.raw_split))
     rows = folds.join(broadcast_if_small(lambdas), keys).withColumn("lam", F.element_at("lambdas", (F.col("split") + 1).cast("int"))).drop("lambdas")
-    rows = _spread(rows.join(packed, keys))
+    rows = _spread(rows.join(packed, keys).select(*keys, "split", "lam", "stats", "sets"))
     schema = _model_schema([rows.schema[k] for k in keys])
-    width, alphas, comps = plan.width, plan.lasso_alphas, plan.components
-
-    def solve(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                st = Stats.unpack(np.asarray(row.stats), width)
-                cov, cross, mx, mz = st.centred()
-                out = []
-
-                def add(alpha, model, cand, feats, w, las_alpha=None, n_components=None, scale=None):
-                    coef = np.zeros(width)
-                    coef[feats] = w
-                    out.append((row.split, alpha, model, cand, len(feats), las_alpha, n_components, scale, row.lam, mz - coef @ mx, coef))
-
-                for s in row.sets:
-                    feats = np.asarray(s["feats"], dtype=int)
-                    c, v, w = cov[np.ix_(feats, feats)], cross[feats], None
-                    for cand in range(len(alphas) - 1, -1, -1):
-                        w = lasso(c, v, st.n, alphas[cand], w)
-                        add(s["alpha"], "lasso", cand, feats, w, las_alpha=alphas[cand])
-                    if len(feats) < 2:
-                        continue
-                    allowed = [k for k in comps if k <= len(feats)]
+    width, alphas, comps, nk = plan.width, plan.lasso_alphas, plan.components, len(keys)
+
+    def fitted(st, known):
+        """Columns of all models of one key and fold, as lists."""
+        centred = cov, cross, mx, mz = st.centred()
+        feats = [np.asarray(s["feats"], dtype=np.int32) for s in known]
+        out = {n: [] for n in schema.names[nk:] if n not in ("split", "lam")}
+
+        def add(i, model, cand, w, gap=None, las_alpha=None, n_components=None, scale=None):
+            f = feats[i]
+            for name, v in zip(out, (known[i]["alpha"], model, cand, len(f), las_alpha, n_components, scale, mz - w @ mx[f], gap, f, w)):
+                out[name].append(v)
+
+        for i, a, w, gap in _lasso_fits(st, centred, feats, alphas):
+            add(i, "lasso", a, w, gap, las_alpha=alphas[a])
+        several = [i for i, f in enumerate(feats) if len(f) >= 2]
+        if several:
+            most = max(len(feats[i]) for i in several)
+            w = _pls_fits(st, centred, [feats[i] for i in several], min(max(comps), most))
+            for at, i in enumerate(several):
+                for c, k in enumerate(comps):
                     for j, scale in enumerate((True, False)):
-                        sd = np.sqrt(np.maximum(np.diag(c), 0) / max(st.n - 1, 1)) if scale else np.ones(len(feats))
-                        sd = np.where(sd > 0, sd, 1.0)
-                        fits = pls1(c / np.outer(sd, sd), v / sd, max(allowed))
-                        for k in allowed:
-                            add(s["alpha"], "pls", 2 * comps.index(k) + j, feats, fits[k - 1] / sd, n_components=k, scale=scale)
-                frame = pd.DataFrame(out, columns=schema.names[len(keys) :])
-                for k in keys:
-                    frame[k] = getattr(row, k)
-                frame["n_components"] = frame["n_components"].astype("Int64")
-                frame["scale"] = frame["scale"].astype("boolean")
-                yield frame[schema.names]
-
-    return rows.mapInPandas(solve, schema)
+                        if k <= len(feats[i]):
+                            add(i, "pls", 2 * c + j, w[j, k - 1, at, : len(feats[i])], n_components=k, scale=scale)
+        return out
+
+    def solve(batches):
+        for b in batches:
+            for i in range(len(b)):
+                lam = b.column(nk + 1)[i].as_py()
+                out = fitted(Stats.unpack(b.column(nk + 2)[i].values.to_numpy(), width), b.column(nk + 3)[i].as_py())
+                same = pa.array([i] * len(out["alpha"]), pa.int64())
+                sizes = pa.array(np.cumsum([0, *map(len, out["feats"])]), pa.int32())
+                lists = {n: pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(out[n]))) for n in ("feats", "coef") if out[n]}
+                if not lists:
+                    continue
+                lead = {k: b.column(c).take(same) for c, k in enumerate(keys)} | {"split": b.column(nk).take(same), "lam": pa.array([lam] * len(same), pa.float64())}
+                kinds = {"cand": pa.int64(), "feat_n": pa.int64(), "n_components": pa.int64(), "model": pa.string(), "scale": pa.bool_()}
+                cols = {n: pa.array(v, kinds.get(n, pa.float64())) for n, v in out.items() if n not in lists}
+                yield pa.RecordBatch.from_pydict({n: (lead | cols | lists)[n] for n in schema.names})
+
+    return rows.mapInArrow(solve, schema)
 
 
 def _salted(rows: DataFrame, side: DataFrame, plan: Plan):
     """Rows and models grouped by key and row chunk, so a large key is scored by many tasks."""
     keys = list(plan.keys)
-    parts = broadcast_if_small(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / plan.chunk_rows).cast("bigint").alias("__parts")))
+    parts = broadcast_if_small(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / plan.rows_per_chunk).cast("bigint").alias("__parts")))
     left = rows.join(parts, keys).withColumn("__salt", F.pmod(F.xxhash64(plan.row_id), F.col("__parts"))).drop("__parts")
     right = side.join(parts, keys).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1))).drop("__parts")
     by = [*keys, "__salt"]
@@ -192,7 +230,7 @@ def score_candidates(train: DataFrame, models: DataFrame, plan: Plan, block: int
     keys, width = list(plan.keys), plan.width
     rows = members(train, plan).select(*keys, plan.row_id, "x", "y", F.transform("member", lambda m: m.cast("double")).alias("member"))
     rest = ["split", "alpha", "model", "cand"]
-    side = models.select(*keys, *rest, "lam", "intercept", "coef")
+    side = models.select(*keys, *rest, "lam", "intercept", "feats", "coef")
     sums = ["n", "n_bad", "sae", "sse", "sy", "syy"]
     schema = T.StructType(
         [side.schema[c] for c in (*keys, *rest)] + [T.StructField("role", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in sums]
@@ -204,14 +242,14 @@ def score_candidates(train: DataFrame, models: DataFrame, plan: Plan, block: int
             return schema_arrow.empty_table()
         x, y = list_matrix(left.column("x"), width), left.column("y").to_numpy()
         member = list_matrix(left.column("member"), len(left.column("member")[0])) > 0
-        coef, lam = list_matrix(right.column("coef"), width), right.column("lam").to_numpy()
+        coef, lam = SparseModels(right.column("feats"), right.column("coef"), width), right.column("lam").to_numpy()
         icpt, split = right.column("intercept").to_numpy(), right.column("split").to_numpy()
         out = {role: np.zeros((n_models, len(sums))) for role in ("train", "val")}
         for s in np.unique(split):
             at = np.flatnonzero(split == s)
             for lo in range(0, len(at), block):
                 idx = at[lo : lo + block]
-                pred = inverse_np(x @ coef[idx].T + icpt[idx], float(lam[idx[0]]))
+                pred = inverse_np(x @ coef.dense(idx).T + icpt[idx], float(lam[idx[0]]))
                 for role, mask in (("train", member[:, s]), ("val", ~member[:, s])):
                     p, t = pred[mask], y[mask][:, None]
                     ok = np.isfinite(p)
@@ -293,45 +331,50 @@ def best_by_count(tuning: DataFrame, plan: Plan) -> DataFrame:
 
 
 def final_models(stats: DataFrame, lambdas: DataFrame, best: DataFrame, plan: Plan) -> DataFrame:
-    """Best candidates refitted on all training rows; for Lasso also the features used on the raw response."""
+    """Best candidates refitted on all training rows; for Lasso also the features used on the raw response.
+
+    A key's candidates travel together, so its two statistics are sent once.
+    """
     keys = list(plan.keys)
-    lead = [*keys, "model", "feat_n", "alpha", "feats", "las_alpha", "n_components", "scale"]
-    rows = best.select(*lead).join(stats.filter("split = 0").select(*keys, "stats"), keys)
+    lead = ["model", "feat_n", "alpha", "feats", "feat_ranking", "las_alpha", "n_components", "scale"]
+    packed = best.groupBy(*keys).agg(F.collect_list(F.struct(*lead)).alias("best"))  # at most two per feature count
+    rows = packed.join(stats.filter("split = 0").select(*keys, "stats"), keys)
     rows = rows.join(stats.filter(F.col("split") == plan.raw_split).select(*keys, F.col("stats").alias("raw")), keys)
-    rows = rows.join(lambdas.select(*keys, F.col("lambdas")[0].alias("lam")), keys)
-    extra = [T.StructField("lam", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))]
+    rows = rows.join(lambdas.select(*keys, F.col("lambdas")[0].alias("lam")), keys).select(*keys, "lam", "stats", "raw", "best")
+    extra = [T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("gap", T.DoubleType())]
     extra += [T.StructField("feats_used", T.ArrayType(T.LongType()))]
-    schema = T.StructType([rows.schema[c] for c in lead] + extra)
+    fitted = T.ArrayType(T.StructType([best.schema[c] for c in lead] + extra))
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("lam", T.DoubleType()), T.StructField("fitted", fitted)])
     width = plan.width
 
-    def solve(frames):
-        for pdf in frames:
-            coefs, icpts, used = [], [], []
-            for row in pdf.itertuples(index=False):
-                params = {"las_alpha": row.las_alpha, "n_components": None, "scale": row.scale}
-                feats = np.asarray(row.feats, dtype=int)
-                if row.model == "pls":
-                    params["n_components"] = int(row.n_components)
-                coef, icpt, _ = _fit(Stats.unpack(np.asarray(row.stats), width), feats, row.model, params, width)
-                coefs.append(coef)
-                icpts.append(icpt)
-                if row.model == "lasso":
-                    raw, _, _ = _fit(Stats.unpack(np.asarray(row.raw), width), feats, "lasso", params, width)
-                    used.append(np.flatnonzero(np.abs(raw) > MIN_WEIGHT))
-                else:
-                    used.append(None)
-            out = pdf[[*lead, "lam"]].copy()
-            out["intercept"], out["coef"], out["feats_used"] = icpts, coefs, used
-            yield out[schema.names]
-
-    return _spread(rows).mapInPandas(solve, schema)
+    def one(st, raw, m):
+        centred, feats = st.centred(), np.asarray(m["feats"], dtype=int)
+        used, gap = None, None
+        if m["model"] == "lasso":
+            ((_, _, w, gap),) = _lasso_fits(st, centred, [feats], [m["las_alpha"]])
+            ((_, _, plain, _),) = _lasso_fits(raw, raw.centred(), [feats], [m["las_alpha"]])
+            used = feats[np.abs(plain) > MIN_WEIGHT].tolist()
+        else:
+            w = _pls_fits(st, centred, [feats], int(m["n_components"]))[0 if m["scale"] else 1, -1, 0]
+        return m | {"intercept": float(centred[3] - w @ centred[2][feats]), "coef": w.tolist(), "gap": gap, "feats_used": used}
+
+    arrow = to_arrow_schema(schema)
+
+    def solve(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                st, raw = (Stats.unpack(np.asarray(r[c]), width) for c in ("stats", "raw"))
+                row = {k: r[k] for k in (*keys, "lam")} | {"fitted": [one(st, raw, m) for m in r["best"]]}
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    return _spread(rows).mapInArrow(solve, schema).select(*keys, "lam", F.inline("fitted"))
 
 
 def predict(rows: DataFrame, models: DataFrame, plan: Plan, carry: list[str]) -> DataFrame:
     """Predictions of every model for every row, in long form (carry, model, feat_n, y, y_pred)."""
     keys, width = list(plan.keys), plan.width
     data = rows.select(*keys, *[c for c in (plan.row_id, *carry) if c not in keys], "x", "y")
-    side = models.select(*keys, "model", "feat_n", "lam", "intercept", "coef")
+    side = models.select(*keys, "model", "feat_n", "lam", "intercept", "feats", "coef")
     kept = [c for c in data.columns if c not in ("x", "y", *keys)]
     schema = T.StructType(
         [data.schema[c] for c in (*keys, *kept)] + [side.schema["model"], side.schema["feat_n"], T.StructField("y", T.DoubleType()), T.StructField("y_pred", T.DoubleType())]
@@ -342,7 +385,8 @@ def predict(rows: DataFrame, models: DataFrame, plan: Plan, carry: list[str]) ->
         if not left.num_rows or not right.num_rows:
             empty = [left.column(c).slice(0, 0) for c in names] + [pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())]
             return pa.table(empty, names=schema.names)
-        z = list_matrix(left.column("x"), width) @ list_matrix(right.column("coef"), width).T + right.column("intercept").to_numpy()
+        coef = SparseModels(right.column("feats"), right.column("coef"), width).dense(np.arange(right.num_rows))
+        z = list_matrix(left.column("x"), width) @ coef.T + right.column("intercept").to_numpy()
         tables = []
         for m in range(right.num_rows):
             pred = inverse_np(z[:, m], right.column("lam")[m].as_py())
@@ -353,20 +397,3 @@ def predict(rows: DataFrame, models: DataFrame, plan: Plan, carry: list[str]) ->
 
     left, right = _salted(data, side, plan)
     return left.cogroup(right).applyInArrow(apply, schema)
-
-
-def forest_sweep(df: DataFrame, fold: str, n_splits: int, grid: list[dict], x: str = "x", y: str = "y", seed: int = 973717) -> DataFrame:
-    """Random forest candidates scored on each held-out fold."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
-
-    from .scores import error_metrics
-
-    rows = df.select(fold, F.col(y).alias("y"), array_to_vector(F.col(x).cast("array<double>")).alias("features"))
-    out = None
-    for i, params in enumerate(grid):
-        for f in range(n_splits):
-            model = RandomForestRegressor(labelCol="y", predictionCol="y_pred", seed=seed, **params).fit(rows.filter(F.col(fold) != f))
-            part = model.transform(rows.filter(F.col(fold) == f)).select(F.lit(i).alias("cand"), F.lit(f).alias("fold"), "y", "y_pred")
-            out = part if out is None else out.unionByName(part)
-    return error_metrics(out, ["cand", "fold"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import chains as C
@@ -107,8 +109,7 @@ def starts(s, d):
 
 
 def effects(s, d):
-    cells = V.factorial(s, d).filter("metric = 'RMSE'")
-    return Z.elementary_effects(starts(s, d), cells, GRID, ["metric"])
+    return Z.elementary_effects(starts(s, d), V.factorial(s, d), GRID, ["metric"])
 
 
 def _walk() -> str:
@@ -124,16 +125,17 @@ def _walk() -> str:
     return " UNION ALL ".join(out)
 
 
-_EFFECTS = "SELECT traj, step, (y1.value - y0.value) / delta AS effect FROM w JOIN y y0 ON y0.grid_idx = a JOIN y y1 ON y1.grid_idx = b"
+_EFFECTS = """SELECT y0.metric, traj, step, (y1.value - y0.value) / delta AS effect FROM w JOIN factorial y0 ON y0.grid_idx = a
+  JOIN factorial y1 ON y1.grid_idx = b AND y1.metric = y0.metric"""
+_STARTS = "SELECT o_orderkey AS traj, (o_custkey * 7 + o_orderkey) % 648 AS g FROM orders"
 
 
 @query(
     "morris_effects",
     V.sql(
-        "SELECT 'RMSE' AS metric, step, round(avg(effect), 6) AS mu, round(avg(abs(effect)), 6) AS mu_star, round(stddev_samp(effect), 6) AS sigma FROM e GROUP BY step",
+        "SELECT metric, step, round(avg(effect), 6) AS mu, round(avg(abs(effect)), 6) AS mu_star, round(stddev_samp(effect), 6) AS sigma FROM e GROUP BY metric, step",
         "factorial",
-        s0="SELECT o_orderkey AS traj, (o_custkey * 7 + o_orderkey) % 648 AS g FROM orders",
-        y="SELECT grid_idx, value FROM factorial WHERE metric = 'RMSE'",
+        s0=_STARTS,
         w=_walk(),
         e=_EFFECTS,
     ),
@@ -160,7 +162,29 @@ def delta_sensitivity(s, d):
     return rounded(Z.delta_indices(V.runs(s, d), GRID, ["metric"], "value", 30, 330, 20), "delta")
 
 
-@query("bootstrap_ci")
+def _poisson_sql(u: str, top: int = 9) -> str:
+    term, cdf, out = math.exp(-1), 0.0, []
+    for k in range(top):
+        cdf += term
+        out.append(f"CASE WHEN {u} >= {cdf!r} THEN 1 ELSE 0 END")
+        term /= k + 1
+    return " + ".join(out)
+
+
+@query(
+    "bootstrap_ci",
+    V.sql(
+        """SELECT metric, step, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM
+        (SELECT metric, step, rep, sum(size * w) / sum(w) AS m FROM z JOIN wt USING (g) GROUP BY metric, step, rep) GROUP BY metric, step""",
+        "factorial",
+        s0=_STARTS,
+        w=_walk(),
+        e=_EFFECTS,
+        z="SELECT DISTINCT metric, step, g, abs(effect) AS size FROM e JOIN s0 USING (traj)",
+        u="SELECT g, rep, ('0x' || substr(md5(traj || '|' || rep || '|7818'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM s0 CROSS JOIN range(1, 101) r(rep)",
+        wt=f"SELECT g, rep, sum({_poisson_sql('u')}) AS w FROM u GROUP BY g, rep",
+    ),
+)
 def bootstrap_ci(s, d):
     """Interval of mu_star per step from 100 resamples of the trajectories."""
     sizes = effects(s, d).select("metric", "step", "start", F.abs("effect").alias("size"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import indices as I
 from ..operators import design as D
+from ..operators import grid as G
 from ..operators import impute as N
 from ..operators import pixels as P
+from ..session import stored
 from . import views as V
 from .registry import query
 from .spectral import RAW, long
@@ -60,7 +62,9 @@ def drop_missing_response(s, d):
     V.sql("SELECT grid_idx, segment, clip, count(*) AS n, round(avg(value), 6) AS mean FROM named_scores GROUP BY ALL", "named_scores"),
 )
 def join_grid_scores(s, d):
-    j = V.named_scores(s, d).groupBy("grid_idx", "segment", "clip")
+    """Scores joined with the grid table that a run has stored."""
+    grid = stored(G.decode(G.GRID.all_indices(s), names=G.SHORT_NAMES), "grid")
+    j = G.join_grid(V.scores(s, d), grid).groupBy("grid_idx", "segment", "clip")
     return j.agg(F.count(F.lit(1)).alias("n"), V.r6(F.avg("value")).alias("mean"))
 
 

@@ -22,24 +22,33 @@ _SHEETS = ["s0", "s1", "s2"]
     V.sql("SELECT study, date, plot_id, trt, rate, growth_stage, round(y, 6) AS y FROM ground WHERE y IS NOT NULL", "ground"),
 )
 def scan_ground(s, d):
+    """One CSV sheet per study, read back by the scan."""
     dashed = F.concat_ws("-", F.substring("date", 1, 4), F.substring("date", 5, 2), F.substring("date", 7, 2))
-    g = V.ground(s, d).withColumn("date_image", dashed)
-    sheets = [g.filter(F.col("study") == n) for n in _SHEETS]
-    out = S.stack_ground(sheets, "y", ["study", "date_image", "plot_id", "trt", "rate", "growth_stage"])
-    return out.withColumn("y", V.r6("y"))
+    rates = [F.col("rate").alias(f"rate_n_{k}_kgha") for k in ("pp", "sd_plan", "total")]
+    g = V.ground(s, d).select("study", dashed.alias("date_image"), "plot_id", "trt", *rates, "growth_stage", F.col("y").alias("biomass_kgha"))
+    folder = sinks.scratch(s, "sheets")
+    for n in _SHEETS:
+        g.filter(F.col("study") == n).write.option("header", True).csv(f"{folder}/{n}")
+    out = S.scan_ground(s, [f"{folder}/{n}" for n in _SHEETS])
+    return out.select("study", "date", "plot_id", "trt", F.col("rate_n_total_kgha").alias("rate"), "growth_stage", V.r6("biomass_kgha").alias("y"))
 
 
 @query(
     "scan_spectra",
     V.sql(
         """SELECT study, date, plot_id, CAST(len(refl) AS BIGINT) AS n_bands, round(refl[1], 6) AS first_band, round(refl[64], 6) AS last_band,
-        round(list_sum(refl), 6) AS total FROM spectra WHERE study = 's1'""",
+        round(list_sum(refl), 6) AS total FROM spectra""",
         "spectra",
     ),
 )
 def scan_spectra(s, d):
+    """Spectra of all studies, stored by scenario and feature set and scanned partition by partition."""
+    number = F.substring("study", 2, 1).cast("int")
+    folder = sinks.scratch(s, "spectra")
+    sinks.append(V.spectra(s, d).withColumns({"grid_idx": number, "feat": F.lit("reflectance")}), folder, ["grid_idx", "feat"])
+    parts = [S.scan_spectra(s, folder, grid_idx=k, feat="reflectance") for k in range(3)]
     total = F.aggregate("refl", F.lit(0.0), lambda a, x: a + x)
-    return V.spectra(s, d).filter("study = 's1'").select(
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
         "study", "date", "plot_id", F.size("refl").cast("bigint").alias("n_bands"), V.r6(F.col("refl")[0]).alias("first_band"),
         V.r6(F.col("refl")[63]).alias("last_band"), V.r6(total).alias("total"),
     )
@@ -154,7 +163,12 @@ def scenario_completion(s, d):
     V.sql("SELECT grid_idx, response, model, count(*) AS obs_n FROM runs GROUP BY grid_idx, response, model", "runs"),
 )
 def n_observations_log(s, d):
-    return K.observation_counts(V.runs(s, d), ["grid_idx", "response", "model"])
+    """Counts of every run appended to a log, scenario by scenario group; a group run again replaces its rows."""
+    folder = sinks.scratch(s, "observations")
+    counts = K.observation_counts(V.runs(s, d), ["grid_idx", "response", "model"])
+    for part in (F.col("grid_idx") < 400, F.col("grid_idx") >= 300):
+        K.append_log(counts.filter(part).withColumn("batch", F.floor(F.col("grid_idx") / 100).cast("int")), folder, ["batch"])
+    return sinks.load(s, folder).drop("batch")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scores as R
 from ..operators import selection as L
+from ..operators.grid import settings_of
 from . import views as V
 from .registry import query
 
@@ -17,8 +18,8 @@ def rounded(df, *cols):
     return df.withColumns({c: r6(c) for c in cols})
 
 
-def rmse(s, d):
-    return V.named_scores(s, d).filter("metric = 'RMSE'")
+#: What results are compared within.
+BY = ["metric", "model", "response"]
 
 
 # --- feature selection (given coefficients) ---------------------------------
@@ -170,15 +171,14 @@ def param_mode_share(s, d):
 @query(
     "scores_reindexed",
     V.sql(
-        """SELECT k.grid_idx, f.feat_n, round(value, 6) AS value FROM (SELECT DISTINCT grid_idx FROM m) k
-        CROSS JOIN (SELECT CAST(range AS BIGINT) AS feat_n FROM range(1, 51)) f LEFT JOIN m ON m.grid_idx = k.grid_idx AND m.feat_n = f.feat_n""",
+        """SELECT grid_idx, response, model, metric, f.feat_n, round(value, 6) AS value FROM (SELECT DISTINCT grid_idx, response, model, metric FROM scores) k
+        CROSS JOIN (SELECT CAST(range AS BIGINT) AS feat_n FROM range(1, 51)) f LEFT JOIN scores s USING (grid_idx, response, model, metric, feat_n)""",
         "scores",
-        m="SELECT grid_idx, feat_n, value FROM scores WHERE metric = 'RMSE' AND model = 'N' AND response = 'O'",
     ),
 )
 def scores_reindexed(s, d):
-    m = V.scores(s, d).filter("metric = 'RMSE' AND model = 'N' AND response = 'O'").select("grid_idx", "feat_n", "value")
-    return rounded(R.each_feature_count(m, m.select("grid_idx").distinct(), 50), "value")
+    m = V.scores(s, d)
+    return rounded(R.each_feature_count(m, m.select(*KEYS).distinct(), 50), "value")
 
 
 @query(
@@ -355,18 +355,30 @@ def stack_metrics(s, d):
     )
 
 
+_CODES = ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS par{c}" for c in V.STEPS)
+
+
 @query(
     "objective_table",
     V.sql(
-        """SELECT grid_idx, response, model, round(max(value) FILTER (metric = 'RMSE'), 6) AS like1, round(max(value) FILTER (metric = 'MAE'), 6) AS like2,
-        round(max(value) FILTER (metric = 'R2'), 6) AS like3 FROM o GROUP BY grid_idx, response, model""",
+        f"""SELECT grid_idx, response, model, round(max(value) FILTER (metric = 'RMSE'), 6) AS like1, round(max(value) FILTER (metric = 'MAE'), 6) AS like2,
+        round(max(value) FILTER (metric = 'R2'), 6) AS like3, any_value(pardir_panels) AS pardir_panels, any_value(parcrop) AS parcrop, any_value(parclip) AS parclip,
+        any_value(parsmooth) AS parsmooth, any_value(parbin) AS parbin, any_value(parsegment) AS parsegment, any_value(chain) AS chain
+        FROM o JOIN c USING (grid_idx) JOIN (SELECT model, dense_rank() OVER (ORDER BY model) - 1 AS chain FROM (SELECT DISTINCT model FROM o)) USING (model)
+        GROUP BY grid_idx, response, model""",
         "scores",
         o=_OPT,
+        c=f"SELECT grid_idx, {_CODES} FROM (SELECT grid_idx, {V.NAMED_SQL} FROM (SELECT range AS grid_idx FROM range(648)))",
     ),
 )
 def objective_table(s, d):
-    out = R.objective_table(optima(s, d), ["grid_idx", "response", "model"], {"RMSE": "like1", "MAE": "like2", "R2": "like3"})
-    return rounded(out, "like1", "like2", "like3")
+    from ..operators.grid import SHORT_NAMES, decode
+
+    named = decode(optima(s, d), names=SHORT_NAMES)
+    out = R.objective_table(
+        named, ["grid_idx", "response", "model", *V.STEPS], {"RMSE": "like1", "MAE": "like2", "R2": "like3"}, SHORT_NAMES, ("model", ["A", "N", "R"])
+    )
+    return rounded(out, "like1", "like2", "like3").drop(*V.STEPS)
 
 
 @query(
@@ -386,50 +398,51 @@ def factorize_levels(s, d):
 
 _LOWS, _WIDTH = [30.0, 80.0, 130.0, 180.0, 230.0, 280.0], 50.0
 _CLASSES = ", ".join(f"(CAST({x} AS DOUBLE))" for x in _LOWS)
-_RMSE = "SELECT * FROM named_scores WHERE metric = 'RMSE'"
-_BY_STEP = " UNION ALL ".join(f"SELECT '{s}' AS step, {s} AS scenario, value, feat_n FROM r" for s in V.STEPS)
+_BY = ", ".join(BY)
+_ALL = "SELECT * FROM named_scores"
+_BY_STEP = " UNION ALL ".join(f"SELECT {_BY}, '{s}' AS step, {s} AS scenario, value FROM r" for s in V.STEPS)
 
 
 @query(
     "class_proportions",
     V.sql(
-        f"""SELECT model, class_min_val, round(100.0 * count(*) FILTER (value BETWEEN class_min_val AND class_min_val + {_WIDTH}) / count(*), 6) AS proportion
+        f"""SELECT {_BY}, class_min_val, round(100.0 * count(*) FILTER (value BETWEEN class_min_val AND class_min_val + {_WIDTH}) / count(*), 6) AS proportion
         FROM r CROSS JOIN (VALUES {_CLASSES}) v(class_min_val) GROUP BY ALL""",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
     ),
 )
 def class_proportions(s, d):
-    return rounded(R.class_proportions(rmse(s, d), ["model"], "value", _LOWS, _WIDTH), "proportion")
+    return rounded(R.class_proportions(V.named_scores(s, d), BY, "value", _LOWS, _WIDTH), "proportion")
 
 
 @query(
     "class_proportions_by_level",
     V.sql(
-        f"""SELECT step, scenario, class_min_val, round(100.0 * count(*) FILTER (value BETWEEN class_min_val AND class_min_val + {_WIDTH}) / count(*), 6) AS proportion
+        f"""SELECT {_BY}, step, scenario, class_min_val, round(100.0 * count(*) FILTER (value BETWEEN class_min_val AND class_min_val + {_WIDTH}) / count(*), 6) AS proportion
         FROM l CROSS JOIN (VALUES {_CLASSES}) v(class_min_val) GROUP BY ALL""",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
         l=_BY_STEP,
     ),
 )
 def class_proportions_by_level(s, d):
-    rows = R.by_step(rmse(s, d), V.STEPS, ["value"])
-    return rounded(R.class_proportions(rows, ["step", "scenario"], "value", _LOWS, _WIDTH), "proportion")
+    rows = R.by_step(V.named_scores(s, d), V.STEPS, [*BY, "value"])
+    return rounded(R.class_proportions(rows, [*BY, "step", "scenario"], "value", _LOWS, _WIDTH), "proportion")
 
 
 @query(
     "class_proportions_pivot",
     V.sql(
-        "SELECT segment, " + ", ".join(f"round(100.0 * count(*) FILTER (value BETWEEN {x} AND {x + _WIDTH}) / count(*), 6) AS c_{int(x)}" for x in _LOWS)
-        + " FROM r GROUP BY segment",
+        f"SELECT {_BY}, segment, " + ", ".join(f"round(100.0 * count(*) FILTER (value BETWEEN {x} AND {x + _WIDTH}) / count(*), 6) AS c_{int(x)}" for x in _LOWS)
+        + f" FROM r GROUP BY {_BY}, segment",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
     ),
 )
 def class_proportions_pivot(s, d):
-    p = R.class_proportions(rmse(s, d), ["segment"], "value", _LOWS, _WIDTH).groupBy("segment").pivot("class_min_val", _LOWS).agg(F.first("proportion"))
-    return p.select("segment", *[r6(f"`{x}`").alias(f"c_{int(x)}") for x in _LOWS])
+    p = R.class_proportions(V.named_scores(s, d), [*BY, "segment"], "value", _LOWS, _WIDTH).groupBy(*BY, "segment").pivot("class_min_val", _LOWS).agg(F.first("proportion"))
+    return p.select(*BY, "segment", *[r6(f"`{x}`").alias(f"c_{int(x)}") for x in _LOWS])
 
 
 _DESC = ["mean", "std", "min", "max", "q25", "q50", "q75"]
@@ -440,14 +453,14 @@ def _describe_sql(v):
       round(quantile_cont({v}, 0.25), 6) AS q25, round(quantile_cont({v}, 0.5), 6) AS q50, round(quantile_cont({v}, 0.75), 6) AS q75"""
 
 
-@query("describe_by_segment", V.sql(f"SELECT segment, {_describe_sql('value')} FROM r GROUP BY segment", "named_scores", r=_RMSE))
+@query("describe_by_segment", V.sql(f"SELECT {_BY}, segment, {_describe_sql('value')} FROM r GROUP BY {_BY}, segment", "named_scores", r=_ALL))
 def describe_by_segment(s, d):
-    return rounded(R.describe(rmse(s, d), ["segment"], "value"), *_DESC)
+    return rounded(R.describe(V.named_scores(s, d), [*BY, "segment"], "value"), *_DESC)
 
 
-@query("describe_overall", V.sql(f"SELECT {_describe_sql('value')} FROM r", "named_scores", r=_RMSE))
+@query("describe_overall", V.sql(f"SELECT {_BY}, {_describe_sql('value')} FROM r GROUP BY {_BY}", "named_scores", r=_ALL))
 def describe_overall(s, d):
-    return rounded(R.describe(rmse(s, d), [], "value"), *_DESC)
+    return rounded(R.describe(V.named_scores(s, d), BY, "value"), *_DESC)
 
 
 @query("describe_by_group", V.sql(f"SELECT study, date, {_describe_sql('y')} FROM ground GROUP BY study, date", "ground"))
@@ -475,29 +488,33 @@ def obs_stats_by_level(s, d):
 @query(
     "percentile_of_score",
     V.sql(
-        """SELECT dir_panels, round(100 * (avg(CASE WHEN value < s THEN 1.0 ELSE 0 END) + avg(CASE WHEN value <= s THEN 1.0 ELSE 0 END)) / 2, 6) AS pct_rank
-        FROM r CROSS JOIN (SELECT avg(value) AS s FROM r WHERE grid_idx = 140) GROUP BY dir_panels""",
+        f"""SELECT {_BY}, dir_panels, round(100 * (avg(CASE WHEN value < s THEN 1.0 ELSE 0 END) + avg(CASE WHEN value <= s THEN 1.0 ELSE 0 END)) / 2, 6) AS pct_rank
+        FROM r JOIN (SELECT {_BY}, avg(value) AS s FROM r WHERE grid_idx = 140 GROUP BY {_BY}) USING ({_BY}) GROUP BY {_BY}, dir_panels""",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
     ),
 )
 def percentile_of_score(s, d):
-    rows = rmse(s, d)
-    score = rows.filter("grid_idx = 140").agg(F.avg("value")).scalar()
-    return rounded(R.percentile_of_score(rows.withColumn("__s", score), ["dir_panels"], "value", F.col("__s")), "pct_rank")
+    """Where the mean score of one scenario, the one asked for, lies among all."""
+    rows = V.named_scores(s, d)
+    score = rows.groupBy(*BY).agg(F.avg(F.when(F.col("grid_idx") == 140, F.col("value"))).alias("__s")).filter("__s IS NOT NULL")
+    return rounded(R.percentile_of_score(rows.join(score, BY), [*BY, "dir_panels"], "value", F.col("__s")), "pct_rank")
 
 
 @query(
     "extreme_scenarios",
     V.sql(
-        """SELECT response, metric, arg_min(grid_idx, m) AS idx_min, round(min(m), 6) AS value_min, arg_max(grid_idx, m) AS idx_max, round(max(m), 6) AS value_max
-        FROM (SELECT response, metric, grid_idx, avg(value) AS m FROM o GROUP BY ALL) GROUP BY response, metric""",
+        """SELECT response, metric, idx_min, value_min, idx_max, value_max, a.t AS settings_min, b.t AS settings_max FROM
+        (SELECT response, metric, arg_min(grid_idx, m) AS idx_min, round(min(m), 6) AS value_min, arg_max(grid_idx, m) AS idx_max, round(max(m), 6) AS value_max
+         FROM (SELECT response, metric, grid_idx, avg(value) AS m FROM o GROUP BY ALL) GROUP BY response, metric)
+        JOIN t a ON a.grid_idx = idx_min JOIN t b ON b.grid_idx = idx_max""",
         "scores",
         o=_OPT,
+        t=f"SELECT grid_idx, concat_ws('/', {', '.join(V.STEPS)}) AS t FROM (SELECT grid_idx, {V.NAMED_SQL} FROM (SELECT range AS grid_idx FROM range(648)))",
     ),
 )
 def extreme_scenarios(s, d):
-    return rounded(R.extreme_scenarios(optima(s, d), ["response", "metric"]), "value_min", "value_max")
+    return rounded(R.extreme_scenarios(optima(s, d), ["response", "metric"], names=settings_of), "value_min", "value_max")
 
 
 @query(
@@ -516,44 +533,44 @@ def relative_rmse(s, d):
 @query(
     "ecdf_by_level",
     V.sql(
-        """SELECT DISTINCT clip, round(value, 6) AS value, round(cume_dist() OVER (PARTITION BY clip ORDER BY value), 6) AS ecdf FROM r""",
+        f"""SELECT DISTINCT {_BY}, clip, round(value, 6) AS value, round(cume_dist() OVER (PARTITION BY {_BY}, clip ORDER BY value), 6) AS ecdf FROM r""",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
     ),
 )
 def ecdf_by_level(s, d):
-    return rounded(R.ecdf(rmse(s, d), ["clip"], "value"), "value", "ecdf").distinct()
+    return rounded(R.ecdf(V.named_scores(s, d), [*BY, "clip"], "value"), "value", "ecdf").distinct()
 
 
 @query(
     "histogram_cumulative",
     V.sql(
-        """SELECT clip, bin, n, round(sum(n) OVER (PARTITION BY clip ORDER BY bin) / sum(n) OVER (PARTITION BY clip), 6) AS cumulative FROM
-        (SELECT clip, CAST(CASE WHEN value < 50 THEN 0 WHEN value >= 300 THEN 26 ELSE floor((value - 50) / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY ALL)""",
+        f"""SELECT {_BY}, clip, bin, n, round(sum(n) OVER (PARTITION BY {_BY}, clip ORDER BY bin) / sum(n) OVER (PARTITION BY {_BY}, clip), 6) AS cumulative FROM
+        (SELECT {_BY}, clip, CAST(CASE WHEN value < 50 THEN 0 WHEN value >= 300 THEN 26 ELSE floor((value - 50) / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY ALL)""",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
     ),
 )
 def histogram_cumulative(s, d):
-    return rounded(R.cumulative_histogram(rmse(s, d), ["clip"], "value", 50, 300, 25), "cumulative")
+    return rounded(R.cumulative_histogram(V.named_scores(s, d), [*BY, "clip"], "value", 50, 300, 25), "cumulative")
 
 
 @query(
     "box_stats_by_level",
     V.sql(
-        """SELECT segment, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+        f"""SELECT {_BY}, segment, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
         round(min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,
         round(max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
         count(*) FILTER (value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
-        FROM r JOIN (SELECT segment, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
-          FROM r GROUP BY segment) USING (segment) GROUP BY segment, q1, median, q3""",
+        FROM r JOIN (SELECT {_BY}, segment, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+          FROM r GROUP BY {_BY}, segment) USING ({_BY}, segment) GROUP BY {_BY}, segment, q1, median, q3""",
         "named_scores",
-        r="SELECT segment, value * value / 100 AS value FROM named_scores WHERE metric = 'RMSE'",
+        r=f"SELECT {_BY}, segment, value * value / 100 AS value FROM named_scores",
     ),
 )
 def box_stats_by_level(s, d):
-    rows = rmse(s, d).select("segment", (F.col("value") * F.col("value") / 100).alias("value"))
-    return rounded(R.box_stats(rows, ["segment"], "value"), "q1", "median", "q3", "whisker_low", "whisker_high")
+    rows = V.named_scores(s, d).select(*BY, "segment", (F.col("value") * F.col("value") / 100).alias("value"))
+    return rounded(R.box_stats(rows, [*BY, "segment"], "value"), "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 _POINTS = [float(p) for p in range(20, 340, 20)]
@@ -562,12 +579,12 @@ _POINTS = [float(p) for p in range(20, 340, 20)]
 @query(
     "density_by_group",
     V.sql(
-        f"""SELECT model, point, round(avg(exp(-0.5 * pow((point - value) / h, 2))) / (any_value(h) * sqrt(2 * pi())), 6) AS density FROM r
-        JOIN (SELECT model, stddev_samp(value) * pow(count(*), -0.2) AS h FROM r GROUP BY model) USING (model)
-        CROSS JOIN (VALUES {', '.join(f'(CAST({p} AS DOUBLE))' for p in _POINTS)}) v(point) GROUP BY model, point""",
+        f"""SELECT {_BY}, point, round(avg(exp(-0.5 * pow((point - value) / h, 2))) / (any_value(h) * sqrt(2 * pi())), 6) AS density FROM r
+        JOIN (SELECT {_BY}, stddev_samp(value) * pow(count(*), -0.2) AS h FROM r GROUP BY {_BY}) USING ({_BY})
+        CROSS JOIN (VALUES {', '.join(f'(CAST({p} AS DOUBLE))' for p in _POINTS)}) v(point) GROUP BY {_BY}, point""",
         "named_scores",
-        r=_RMSE,
+        r=_ALL,
     ),
 )
 def density_by_group(s, d):
-    return rounded(R.density(rmse(s, d), ["model"], "value", _POINTS), "density")
+    return rounded(R.density(V.named_scores(s, d), BY, "value", _POINTS), "density")

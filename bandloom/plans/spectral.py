@@ -44,18 +44,23 @@ _EDGES = ", ".join(
 )
 
 
-def plots(spark) -> DataFrame:
-    rows = [(p, [x for x, _ in ring], [y for _, y in ring]) for p, ring in PLOTS]
-    return spark.createDataFrame(rows, "plot bigint, xs array<double>, ys array<double>")
+def plots(s, d) -> DataFrame:
+    """The plots of every image; those of different images lie differently."""
+    rings = F.array(*[F.struct(F.lit(p).cast("bigint").alias("plot"), *[F.array(*[F.lit(v[k]) for v in ring]).alias(c) for k, c in enumerate(("xs", "ys"))]) for p, ring in PLOTS])
+    each = V.pixels(s, d).select("image_id").distinct().select("image_id", F.explode(rings).alias("r"))
+    return each.select("image_id", "r.plot", F.transform("r.xs", lambda x: x + F.col("image_id") % 3).alias("xs"), "r.ys")
 
 
 def _crop_sql(buffer: float) -> str:
     return V.sql(
-        f"""SELECT plot, pixel_id, image_id FROM
-        (SELECT plot, pixel_id, image_id, any_value(x) AS x, any_value(y) AS y, min(x0) AS xmin, max(x0) AS xmax, min(y0) AS ymin, max(y0) AS ymax,
-           count(*) FILTER ((y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0) AS hits
-         FROM px CROSS JOIN edges GROUP BY plot, pixel_id, image_id)
-        WHERE hits % 2 = 1 AND x BETWEEN xmin + {buffer} AND xmax - {buffer} AND y BETWEEN ymin + {buffer} AND ymax - {buffer}""",
+        f"""SELECT plot, pixel_id, image_id FROM (
+          SELECT plot, pixel_id, image_id, min(pow(ax - bx * t, 2) + pow(ay - by_ * t, 2)) AS near,
+             count(*) FILTER ((y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0) AS hits
+          FROM (SELECT *, least(greatest((ax * bx + ay * by_) / (bx * bx + by_ * by_), 0), 1) AS t FROM
+            (SELECT *, x - x0 AS ax, y - y0 AS ay, x1 - x0 AS bx, y1 - y0 AS by_ FROM
+              (SELECT plot, pixel_id, image_id, x, y, x0 + image_id % 3 AS x0, y0, x1 + image_id % 3 AS x1, y1 FROM px CROSS JOIN edges)))
+          GROUP BY plot, pixel_id, image_id)
+        WHERE hits % 2 = 1 AND near >= {buffer * buffer}""",
         "px",
         edges=f"SELECT * FROM (VALUES {_EDGES}) e(plot, x0, y0, x1, y1)",
     )
@@ -63,25 +68,32 @@ def _crop_sql(buffer: float) -> str:
 
 @query("spatial_crop", _crop_sql(0.0))
 def spatial_crop(s, d):
-    return P.crop_to_plots(V.pixels(s, d), plots(s)).select("plot", "pixel_id", "image_id")
+    return P.crop_to_plots(V.pixels(s, d), plots(s, d), ["image_id"]).select("plot", "pixel_id", "image_id")
 
 
 @query("spatial_crop_buffer", _crop_sql(1.0))
 def spatial_crop_buffer(s, d):
-    return P.crop_to_plots(V.pixels(s, d), plots(s), buffer=1.0).select("plot", "pixel_id", "image_id")
+    return P.crop_to_plots(V.pixels(s, d), plots(s, d), ["image_id"], buffer=1.0).select("plot", "pixel_id", "image_id")
+
+
+ROUTES = [P.Route("s0", "field_2024", "many", 2024), P.Route("s0", "field_2023", "many", 2023), P.Route("s1", "small", "single"), P.Route("s2", "whole", "many")]
 
 
 @query(
     "crop_subsets",
     V.sql(
-        """SELECT study, date, count(*) AS n FROM px WHERE NOT (study = 's1' AND date = '20240102')
-        AND year(strptime(date, '%Y%m%d')) = 2024 GROUP BY study, date""",
+        """SELECT study, date, plots, method, count(*) AS n FROM (SELECT study, date,
+          CASE WHEN study = 's0' AND year(strptime(date, '%Y%m%d')) = 2024 THEN 'field_2024' WHEN study = 's0' AND year(strptime(date, '%Y%m%d')) = 2023 THEN 'field_2023'
+            WHEN study = 's1' THEN 'small' WHEN study = 's2' THEN 'whole' END AS plots,
+          CASE WHEN study = 's1' THEN 'single' ELSE 'many' END AS method
+        FROM px WHERE NOT (study = 's1' AND date = '20240102')) WHERE plots IS NOT NULL GROUP BY ALL""",
         "px",
     ),
 )
 def crop_subsets(s, d):
-    kept = P.crop_subsets(V.pixels(s, d), [("s1", "20240102")]).filter(F.year(F.to_date("date", "yyyyMMdd")) == 2024)
-    return kept.groupBy("study", "date").agg(F.count(F.lit(1)).alias("n"))
+    """Images routed to the plots of their study and year, without the set that lacks the near panel."""
+    routed = P.crop_routes(V.pixels(s, d), ROUTES, [("s1", "20240102")])
+    return routed.groupBy("study", "date", "plots", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _outside(ranges) -> str:
@@ -282,18 +294,29 @@ def bandmath_stats(s, d):
     return rounded_stats(s, d)
 
 
-# Scenarios of the clip_ends prefix without smoothing and binning: all nine segments.
-_ENDS = [54 + seg for seg in range(9)]
+# Which pixels a panel and a crop setting has; images without a near panel are missing from the first.
+def panels():
+    return [F.col("image_id") % 10 != 9, F.lit(True)]
+
+
+def crops():
+    return [F.lit(True), F.col("x").between(2, 29)]
+
+
+_BRANCHES = " UNION ALL ".join(
+    f"SELECT {2 * p + c} AS branch, pixel_id, image_id FROM px WHERE {pw} AND {cw}"
+    for p, pw in enumerate(("image_id % 10 <> 9", "true"))
+    for c, cw in enumerate(("true", "x BETWEEN 2 AND 29"))
+)
+# Two prefixes with the ends clipped: as they are, and in bins of 20 nm; all nine segments of both.
 _KEEP = [
     "true", "ndi > q_ndi_50", "ndi <= q_ndi_50", "mcari2 > q_mcari2_50", "mcari2 <= q_mcari2_50", "mcari2 > q_mcari2_90",
     "mcari2 > q_mcari2_50 AND mcari2 <= q_mcari2_75", "mcari2 > q_mcari2_75 AND mcari2 <= q_mcari2_95",
     "mcari2 > q_mcari2_90 AND green > q_green_75",
 ]
-# After clip_ends the grid starts at band 3 and stays even, so the plain stencils apply with shifted ends.
-_ENDS_DER = (
-    "CASE WHEN band = 0 THEN -1.5 * r + 2 * n1 - 0.5 * n2 WHEN band = 56 THEN 1.5 * r - 2 * p1 + 0.5 * p2 "
-    "ELSE 0.5 * n1 - 0.5 * p1 END / 8.0"
-)
+_PREFIXES = {54: (57, 8.0), 72: (23, 20.0)}  # first scenario: bands, distance of bands
+# Both grids are even, so the plain stencils apply.
+_DER = """CASE WHEN band = 0 THEN -1.5 * r + 2 * n1 - 0.5 * n2 WHEN band = bands - 1 THEN 1.5 * r - 2 * p1 + 0.5 * p2 ELSE 0.5 * n1 - 0.5 * p1 END / wide"""
 
 
 @query(
@@ -301,31 +324,41 @@ _ENDS_DER = (
     V.sql(
         f"""SELECT grid_idx, image_id, n_pixels, feat, band, round(value, 6) + 0.0 AS value FROM
         (SELECT grid_idx, image_id, n_pixels, band, 'reflectance' AS feat, r AS value FROM m
-         UNION ALL SELECT grid_idx, image_id, n_pixels, band, 'derivative_1', {_ENDS_DER} FROM
+         UNION ALL SELECT grid_idx, image_id, n_pixels, band, 'derivative_1', {_DER} FROM
           (SELECT *, lead(r, 1) OVER w AS n1, lead(r, 2) OVER w AS n2, lag(r, 1) OVER w AS p1, lag(r, 2) OVER w AS p2
-           FROM m WINDOW w AS (PARTITION BY grid_idx, image_id ORDER BY band)))""",
+           FROM m JOIN (VALUES {", ".join(f"({b}, {n}, {h})" for b, (n, h) in _PREFIXES.items())}) v(base, bands, wide) USING (base)
+           WINDOW w AS (PARTITION BY grid_idx, image_id ORDER BY band)))""",
         "px_idx",
         "px_long",
-        q=_QUANTILES,
+        br=_BRANCHES,
+        t="""SELECT 54 AS base, pixel_id, band - 3 AS band, r FROM px_long WHERE band BETWEEN 3 AND 59
+          UNION ALL SELECT 72, pixel_id, CAST(floor((wl - 424) / 20) AS BIGINT), avg(r) FROM px_long WHERE band BETWEEN 3 AND 59 GROUP BY ALL""",
+        # Bins with their centre at 434 + 20 k: near infrared 774 and 794, red 654 and 674, green 554.
+        bins="""SELECT pixel_id, max(r) FILTER (band = 18) AS r800, max(r) FILTER (band = 12) AS r670, max(r) FILTER (band = 6) AS r550,
+          avg(r) FILTER (band IN (17, 18)) AS nir, avg(r) FILTER (band IN (11, 12)) AS red FROM t WHERE base = 72 GROUP BY pixel_id""",
+        ix=f"""SELECT 54 AS base, pixel_id, mcari2, ndi, green FROM px_idx
+          UNION ALL SELECT 72, pixel_id, {V._MCARI2}, (nir - red) / (nir + red), r550 FROM bins""",
+        bi="SELECT base, branch, image_id, pixel_id, mcari2, ndi, green FROM br JOIN ix USING (pixel_id)",
+        q="SELECT base, branch, image_id, " + ", ".join(f"quantile_cont({v}, {p / 100}) AS q_{v}_{p}" for v in ("mcari2", "ndi", "green") for p in (50, 75, 90, 95))
+        + " FROM bi GROUP BY base, branch, image_id",
         kept=" UNION ALL ".join(
-            f"SELECT CAST({g} AS BIGINT) AS grid_idx, image_id, pixel_id FROM px_idx JOIN q USING (image_id) WHERE {c}" for g, c in zip(_ENDS, _KEEP)
+            f"SELECT CAST(branch * 162 + base + {g} AS BIGINT) AS grid_idx, base, image_id, pixel_id FROM bi JOIN q USING (base, branch, image_id) WHERE {c}"
+            for g, c in enumerate(_KEEP)
         ),
-        m="""SELECT grid_idx, k.image_id, count(*) AS n_pixels, band - 3 AS band, avg(r) AS r
-          FROM kept k JOIN px_long USING (pixel_id) WHERE band BETWEEN 3 AND 59 GROUP BY grid_idx, k.image_id, band""",
+        m="SELECT grid_idx, base, k.image_id, count(*) AS n_pixels, band, avg(r) AS r FROM kept k JOIN t USING (base, pixel_id) GROUP BY ALL",
     ),
 )
 def scenario_spectra(s, d):
-    out = P.scenario_spectra(V.pixels(s, d), ["image_id"], GRID, _ENDS, V.WL, derivatives=(1,))
-    return long(out.withColumn("grid_idx", F.col("grid_idx").cast("bigint")), "grid_idx", "image_id", "n_pixels", "feat")
+    """All segments of two prefixes under every panel and crop setting, all images and bands."""
+    out = P.all_scenarios(V.pixels(s, d), ["image_id"], GRID, V.WL, panels(), crops(), (1,), within=[b + k for b in _PREFIXES for k in range(9)])
+    return long(out, "grid_idx", "image_id", "n_pixels", "feat")
 
 
 @query("scenario_spectra_grid")
 def scenario_spectra_grid(s, d):
-    """Every clip, smooth, bin and segment setting (162 scenarios) from one scan."""
-    out = P.scenario_spectra(V.pixels(s, d), ["image_id"], GRID, list(range(162)), V.WL)
-    return out.groupBy("grid_idx", "feat").agg(
-        F.count(F.lit(1)).alias("n_images"), F.sum("n_pixels").alias("n_pixels"), V.r6(F.avg(F.col("refl")[0])).alias("first_band")
-    )
+    """All 648 scenarios, every image and band, reflectance and three derivatives, from two scans of the pixels."""
+    out = P.all_scenarios(V.pixels(s, d), ["image_id"], GRID, V.WL, panels(), crops())
+    return out.select("grid_idx", "image_id", "n_pixels", "feat", F.transform("refl", V.r6).alias("refl"))
 
 
 _FLAGSHIP = V.sql(

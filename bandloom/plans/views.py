@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import GRID, SHORT_NAMES, decode, settings_text
-from ..operators.order import ranked
+from ..operators.order import following, ranked
 
 WL = tuple(400.0 + 8.0 * k for k in range(64))
 STEPS = GRID.steps
@@ -134,11 +134,8 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("scenario"), F.col("event_type").alias("step"), "event_id", micros("ts").alias("at")
     )
-    numbered = ranked(e, ["scenario"], ["at", "event_id"], out="pos")
-    following = numbered.select("scenario", (F.col("pos") - 1).alias("pos"), F.col("at").alias("next_at"))
-    return numbered.join(following, ["scenario", "pos"], "left").select(
-        "scenario", "step", "event_id", "pos", ((F.col("next_at") - F.col("at")) / 1e6).alias("duration")
-    )
+    timed = following(e, ["scenario"], ["at", "event_id"], "at", "next_at")
+    return timed.select("scenario", "step", "event_id", ((F.col("next_at") - F.col("at")) / 1e6).alias("duration"))
 
 
 # --- the same tables as SQL ------------------------------------------------

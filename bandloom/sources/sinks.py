@@ -34,3 +34,9 @@ def load(spark: SparkSession, path: str, **where) -> DataFrame:
     for k, v in where.items():
         df = df.filter(F.col(k) == v)
     return df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store has been written, on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
