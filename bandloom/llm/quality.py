@@ -1,6 +1,6 @@
 """Quality rules: a few exact counts and a hashed n-gram log-likelihood ratio.
 
-Uni- and bigrams are hashed into a fixed number of buckets. The trusted target is
+Uni- and bigrams are hashed into buckets. The trusted target is
 all documents labelled good; the raw corpus is all documents. A document's verdict
 is the mean log ratio of its n-grams against a threshold taken from the labelled
 documents, so every document is decided by itself and reruns agree.
@@ -15,10 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import WORD, broadcast_within, text_of, words_of
+from bandloom.llm.common import WORD, WS, broadcast_within, text_of, words_of
 from bandloom.session import stored
 
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Labels of 16 bytes that may be sent to every executor; more are joined by a shuffle.
@@ -31,13 +31,13 @@ STEP = 1e-4
 class Ratio:
     """Parameters of the likelihood ratio."""
 
-    buckets: int = 10_000
+    buckets: int = 100_000
     #: Labelled documents that the target and the threshold are fitted on: all, or so many by hash of their identifier.
     sample: int | None = None
     #: Share of the labelled good documents that the threshold may lose.
     loss: float = 0.001
     #: Parts of the labelled documents; each part is scored for the threshold with the target of the others.
-    folds: int = 8
+    folds: int = 4
     seed: int = 7
 
 
@@ -46,42 +46,57 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words inside windows of ``window`` words that occur twice or more in the array.
+def word_hashes(words: Column) -> Column:
+    """A hash per word; every longer n-gram is hashed from these."""
+    return F.transform(words, lambda x: F.xxhash64(x))
 
-    Windows are compared by a hash first; only a text in which two hashes agree has
-    its windows compared as strings.
-    """
-    starts = F.sequence(F.lit(0), F.size(words) - window)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
-
-    def covered(w: Column) -> Column:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, window), " ").alias("g"), i.alias("i"))
-        )
-        twin = lambda s, k: (F.get(s, k - 1)["g"] == s[k]["g"]) | (F.get(s, k + 1)["g"] == s[k]["g"])
-        at = _let(
-            F.array_sort(grams),
-            lambda s: F.array_sort(
-                F.transform(
-                    F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.coalesce(twin(s, k), F.lit(False))), lambda k: s[k]["i"]
-                )
-            ),
-        )
-        # A window adds the words up to the next repeated window's start, at most its own length.
-        gaps = lambda p: F.transform(p, lambda x, k: F.coalesce(F.least(F.get(p, k + 1) - x, F.lit(window)), F.lit(window)))
-        return _let(at, lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, x: a + x))
 
-    again = _let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when((F.size(words) > window) & again, _let(words, covered)).otherwise(0).cast("bigint")
+def _joined(a: Column, b: Column, ahead: int, n: Column) -> Column:
+    """``n`` hashes, each of a hash of ``a`` and of the one ``ahead`` places on in ``b``."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, ahead + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
+def pair_hashes(h: Column) -> Column:
+    """A hash per two neighbouring words, from the hashes of the words."""
+    return _joined(h, h, 1, F.size(h) - 1)
+
 
+def window_hashes(h: Column, pairs: Column) -> Column:
+    """A hash per window of five words: two pairs and a word."""
+    fours = _joined(pairs, pairs, 2, F.size(h) - 3)
+    return _let(fours, lambda x: _joined(x, h, 4, F.size(h) - 4))
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of all uni- and bigrams."""
-    place = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    one = F.transform(words, lambda x: place(x))
-    two = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: place(F.get(words, i), x))
-    return F.concat(one, two)
+
+def _covered(words: Column) -> Column:
+    """Words inside windows that occur twice or more, by the windows themselves."""
+    window = WINDOW
+    grams = F.transform(
+        F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.struct(F.array_join(F.slice(words, i, window), " ").alias("g"), i.alias("i"))
+    )
+    twin = lambda s, k: (F.get(s, k - 1)["g"] == s[k]["g"]) | (F.get(s, k + 1)["g"] == s[k]["g"])
+    at = _let(
+        F.array_sort(grams),
+        lambda s: F.array_sort(
+            F.transform(
+                F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.coalesce(twin(s, k), F.lit(False))), lambda k: s[k]["i"]
+            )
+        ),
+    )
+    # A window adds the words up to the next repeated window's start, at most its own length.
+    gaps = lambda p: F.transform(p, lambda x, k: F.coalesce(F.least(F.get(p, k + 1) - x, F.lit(window)), F.lit(window)))
+    return _let(at, lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, x: a + x))
+
+
+def _repeated(words: Column, h: Column, pairs: Column) -> Column:
+    """Windows are compared by hash first; only a text in which two hashes agree has its windows compared as strings."""
+    again = _let(window_hashes(h, pairs), lambda x: F.size(F.array_distinct(x)) < F.size(x))
+    return F.when((F.size(words) > WINDOW) & again, _covered(words)).otherwise(0).cast("bigint")
+
+
+def repeated_words(words: Column) -> Column:
+    """Words inside windows of ``WINDOW`` words that occur twice or more in the array."""
+    return _let(words, lambda w: _let(word_hashes(w), lambda h: _let(pair_hashes(h), lambda p: _repeated(w, h, p))))
 
 
 def labelled(labels: DataFrame, ratio: Ratio = Ratio()) -> DataFrame:
@@ -92,20 +107,30 @@ def labelled(labels: DataFrame, ratio: Ratio = Ratio()) -> DataFrame:
     return broadcast_within(stored(known, "quality-labels"), BROADCAST_LABELS)
 
 
-def _mean_ratio(words: Column, weights: Column, buckets: int) -> Column:
-    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, x)) / F.greatest(F.size(b), F.lit(1))
-    return _let(_let(words, lambda w: ngram_buckets(w, buckets)), total)
+def _mean_ratio(h: Column, pairs: Column, weights: Column, buckets: int) -> Column:
+    """Mean log ratio of all uni- and bigrams, from the hashes of words and pairs; 0 without words."""
+    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, F.pmod(x, F.lit(buckets)).cast("int")))
+    return (total(h) + total(pairs)) / F.greatest(F.size(h) + F.size(pairs), F.lit(1))
+
+
+def mean_ratio(words: Column, weights: Column, buckets: int) -> Column:
+    return _let(word_hashes(words), lambda h: _let(pair_hashes(h), lambda p: _mean_ratio(h, p, weights, buckets)))
 
 
 def measured(words: Column, weights: Column, buckets: int) -> Column:
-    """What the verdict rests on, from words that are taken apart once."""
+    """What the verdict rests on, from words that are taken apart and hashed once."""
     return _let(
         words,
-        lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"), _mean_ratio(w, weights, buckets).alias("llr"),
+        lambda w: _let(
+            word_hashes(w),
+            lambda h: _let(
+                pair_hashes(h),
+                lambda p: F.struct(
+                    F.size(w).cast("bigint").alias("n_words"), _repeated(w, h, p).alias("n_repeat_words"), _mean_ratio(h, p, weights, buckets).alias("llr")
+                ),
+            ),
         ),
-    )
+    )
 
 
 def base_failed(m: Column) -> Column:
@@ -128,21 +153,25 @@ def fit(docs: DataFrame, labels: DataFrame, ratio: Ratio = Ratio(), id_col: str
     """
     fold = F.when(F.col("quality") == 1, F.pmod(F.xxhash64(F.lit(ratio.seed), "doc_id"), F.lit(ratio.folds)).cast("int"))
     known = labelled(labels, ratio).select("doc_id", fold.alias("fold"))
-    words = docs.select(docs[id_col].alias("doc_id"), words_of(text_of(docs, text)).alias("words"))
-    marked = words.join(known, "doc_id", "left").select("fold", F.explode(ngram_buckets(F.col("words"), ratio.buckets)).alias("bucket"))
-    parts = F.array(*[F.count_if(F.col("fold") == k) for k in range(ratio.folds)])
-    counts = stored(marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), parts.alias("good")), "quality-counts")
-    raw, good = [0] * ratio.buckets, [[0] * ratio.buckets for _ in range(ratio.folds)]
-    for row in counts.collect():  # at most one row per bucket
-        raw[row.bucket] = row.raw
-        for part, n in zip(good, row.good):
-            part[row.bucket] = n
+    narrow = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text).alias("body"))
+    marked = narrow.join(known, "doc_id", "left").select("fold", word_hashes(words_of(F.col("body"))).alias("h"))
+    grams = marked.select("fold", F.explode(_let(F.col("h"), lambda h: F.concat(h, pair_hashes(h)))).alias("gram"))
+    place = F.pmod("gram", F.lit(ratio.buckets)).cast("int").alias("bucket")
+    # One count per bucket and part; unlabelled documents and those labelled bad are one more part.
+    counts = grams.select(place, F.coalesce("fold", F.lit(ratio.folds)).alias("part")).groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = [F.coalesce(F.sum(F.when(F.col("part") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(ratio.folds + 1)]
+    good, rest = [[0] * ratio.buckets for _ in range(ratio.folds)], [0] * ratio.buckets
+    for bucket, *n in stored(counts, "quality-counts").groupBy("bucket").agg(*parts).collect():  # at most one row per bucket
+        rest[bucket] = n.pop()
+        for part, own in zip(good, n):
+            part[bucket] = own
     total = [sum(x) for x in zip(*good)]
+    raw = [a + b for a, b in zip(total, rest)]
     weights = _log_ratios(total, raw)
     others = [_log_ratios([g - own for g, own in zip(total, part)], raw) for part in good]
-    scored = words.join(known.filter("fold is not null"), "doc_id").filter(F.size("words") > 0)
+    scored = narrow.join(known.filter("fold is not null"), "doc_id").select("fold", words_of(F.col("body")).alias("words")).filter(F.size("words") > 0)
     per_fold = F.array(*[_constant(w) for w in others])
-    llr = _let(F.get(per_fold, F.col("fold")), lambda w: _mean_ratio(F.col("words"), w, ratio.buckets))
+    llr = _let(F.get(per_fold, F.col("fold")), lambda w: mean_ratio(F.col("words"), w, ratio.buckets))
     low = scored.select(F.floor(llr / STEP).alias("llr")).agg(F.percentile("llr", F.lit(ratio.loss))).first()[0]
     return weights, float("-inf") if low is None else math.floor(low) * STEP
 
@@ -170,8 +199,8 @@ def judge(
     out = docs.withColumn("__measured", measured(words_of(body), _constant(weights), ratio.buckets)).withColumns(
         {
             "n_words": m["n_words"],
-            "word_chars": m["word_chars"],
-            "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint"),
+            "word_chars": F.length(F.translate(body, WS, "")).cast("bigint"),
+            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint"),
             "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
             "n_repeat_words": m["n_repeat_words"],
             "base_failed": base_failed(m),

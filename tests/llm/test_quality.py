@@ -1,9 +1,11 @@
 import math
 import random
+import struct
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from bandloom.llm import quality
 from tests.llm.helpers import ODD, docs, words
@@ -26,10 +28,10 @@ def base(text):
 
 def buckets(text, n):
     w = words(text)
-    h = lambda x, seed: xxhash.xxh64_intdigest(x.encode(), seed)
-    one = [h(x, 42) for x in w]
-    two = [h(b, h(a, 42)) for a, b in zip(w, w[1:])]
+    h = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    one = [h(x.encode(), 42) for x in w]
+    two = [h(struct.pack("<Q", b), h(struct.pack("<Q", a), 42)) for a, b in zip(one, one[1:])]
     return [signed(x) % n for x in one + two]
 
 
@@ -52,16 +54,23 @@ def test_against_brute_force(spark, labels):
     got = quality.judge(docs(spark, table, clash=True).repartition(3), labels, RATIO)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     found = got.select("doc_id", "text", *made, "llr", "kept").collect()
-    raw, good = Counter(), Counter()
+    n = 64
+    folds = {r.doc_id: r.fold for r in spark.range(100, 120).selectExpr("id AS doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit(RATIO.seed), "doc_id"), F.lit(RATIO.folds))).collect()}
+    raw, good = Counter(), {k: Counter() for k in range(RATIO.folds)}
     for d, t in table:
-        raw.update(buckets(t, 64))
-        if d is not None and 100 <= d < 120:
-            good.update(buckets(t, 64))
-    weight = lambda b: math.log((good[b] + 1) / (sum(good.values()) + 64)) - math.log((raw[b] + 1) / (sum(raw.values()) + 64))
-    llr = lambda t: sum(map(weight, b)) / len(b) if (b := buckets(t, 64)) else 0.0
-    low = min(llr(t) for d, t in table if d is not None and 100 <= d < 120)
-    bad = sorted(llr(t) for d, t in table if d is not None and 130 <= d < 136)
-    threshold = min(low, (low + (bad[2] + bad[3]) / 2) / 2)
+        raw.update(buckets(t, n))
+        if d in folds:
+            good[folds[d]].update(buckets(t, n))
+
+    def llr(text, without=None):
+        """Mean log ratio by a target without one part."""
+        target = sum((c for k, c in good.items() if k != without), Counter())
+        weight = lambda b: math.log((target[b] + 1) / (sum(target.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n))
+        found = buckets(text, n)
+        return sum(map(weight, found)) / len(found) if found else 0.0
+
+    # The lowest of the good ones, each by the target of the other parts, cut down to a step; no share of them is lost.
+    threshold = math.floor(min(llr(t, folds[d]) for d, t in table if d in folds) / quality.STEP) * quality.STEP
     assert len(found) == len(table)
     for r in found:
         want = base(r.text)
