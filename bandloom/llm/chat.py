@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from bandloom.session import stored
 
-#: Units shorter than this are too common to say who is quoted.
-MIN_CHARS = 8
+#: Every unit that is not empty counts; length ranks originals that compete.
+MIN_CHARS = 1
 _MARK = re.compile(r"[ \t]{0,3}>")
 _SAID = re.compile(r"(?:^|\s)(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.IGNORECASE)
 

@@ -43,6 +43,13 @@ def test_common_phrase_links_to_the_first(spark):
     assert (got[40].parent_turn, got[40].depth, got[39].depth) == (0, 1, 39)
 
 
+def test_short_quotes_are_linked(spark):
+    said = ["Shall we go there tomorrow?", "yes", "I have no idea what you mean", "> yes\nwhy?", "> 好\n> no\nfine"]
+    got = {r.turn: r for r in chat.conversations_without_quotes(spark.createDataFrame([(1, t, "u", x) for t, x in enumerate(said)], SCHEMA)).collect()}
+    assert (got[3].parent_turn, got[3].n_linked, got[3].text) == (1, 1, "why?")
+    assert (got[4].parent_turn, got[4].n_linked, got[4].text) == (3, 0, "fine")
+
+
 def test_levels():
     assert chat.quote_level("> > a") == (2, "a")
     assert chat.quote_level(">>a") == (2, "a")
