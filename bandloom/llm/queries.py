@@ -74,7 +74,8 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 400-byte strings that are found twice."""
     found = suffix.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    repeated = (F.col("n_removed") > 0).alias("has_repeats")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), repeated)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
