@@ -20,15 +20,15 @@ def subsets(cov: np.ndarray, cross: np.ndarray, sets: list[np.ndarray]) -> tuple
     return a, b
 
 
-def optimality_gap(cov: np.ndarray, cross: np.ndarray, n: float, alpha: float, w: np.ndarray) -> float:
-    """How far the weights are from the conditions of the minimum, as a share of the largest cross sum.
+def optimality_gaps(cov: np.ndarray, cross: np.ndarray, n: float, alphas: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How far each row of weights is from the conditions of the minimum, as a share of the largest cross sum.
 
     Features in use have ``|x'(z - Xw)| = n alpha`` with the weight's sign, others at most that.
     """
-    grad, bound = cross - cov @ w, n * alpha
+    grad, bound = cross - w @ cov, n * np.asarray(alphas)[:, None]
     off = np.where(w != 0, np.abs(grad - bound * np.sign(w)), np.maximum(np.abs(grad) - bound, 0.0))
     off = np.where(np.diag(cov) > 0, off, 0.0)
-    return float(off.max(initial=0.0) / max(np.abs(cross).max(initial=0.0), 1e-300))
+    return off.max(axis=1, initial=0.0) / max(np.abs(cross).max(initial=0.0), 1e-300)
 
 
 class Path:
@@ -51,8 +51,11 @@ class Path:
         if self.used:
             # A feature that those in use combine to cannot be told from them and stays out.
             at = np.array(self.used, int)
-            own = self.cov[j, j] - self.cov[j, at] @ np.linalg.lstsq(self.cov[np.ix_(at, at)], self.cov[at, j], rcond=None)[0]
-            if own <= 1e-10 * self.cov[j, j]:
+            try:
+                own = self.cov[j, j] - self.cov[j, at] @ np.linalg.solve(self.cov[at[:, None], at], self.cov[at, j])
+            except np.linalg.LinAlgError:
+                own = 0.0
+            if not own > 1e-10 * self.cov[j, j]:
                 self.fine[j] = False
                 return
         self.last = j
@@ -67,7 +70,7 @@ class Path:
         """Add the next piece; false at the end of the path."""
         used, n = np.array(self.used, int), self.n
         try:
-            u, v = np.linalg.solve(self.cov[np.ix_(used, used)], np.column_stack([self.cross[used], self.signs])).T
+            u, v = np.linalg.solve(self.cov[used[:, None], used], np.array([self.cross[used], self.signs]).T).T
         except np.linalg.LinAlgError:
             return False
         below = high * (1 - 1e-12)
@@ -106,8 +109,7 @@ class Path:
                 at += 1
             if self.pieces:
                 out[row, self.pieces[at][1]] = self._weights(self.pieces[at], alpha)
-        gaps = np.array([optimality_gap(self.cov, self.cross, self.n, a, w) for a, w in zip(alphas, out)])
-        return out, gaps
+        return out, optimality_gaps(self.cov, self.cross, self.n, alphas, out)
 
 
 def descent(cov: np.ndarray, cross: np.ndarray, n: float, alpha: float, start: np.ndarray, sweeps: int = 2000, tol: float = 1e-9) -> np.ndarray:
@@ -140,7 +142,7 @@ def lasso_all(cov: np.ndarray, cross: np.ndarray, n: float, alphas, tol: float =
     w, gaps = Path(cov, cross, n).weights(alphas[order])
     for i in np.flatnonzero(~(gaps <= tol)):
         again = descent(cov, cross, n, alphas[order[i]], w[i - 1] if i else np.zeros(len(cross)))
-        gap = optimality_gap(cov, cross, n, alphas[order[i]], again)
+        gap = optimality_gaps(cov, cross, n, alphas[order[i : i + 1]], again[None])[0]
         if not gap >= gaps[i]:
             w[i], gaps[i] = again, gap
     back = np.argsort(order)
