@@ -14,24 +14,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a per-group summary that may be shipped to every executor.
+#: Rows of a per-group summary that may be shipped to every executor, and their bytes.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 #: A group up to this many rows may be ordered by one task.
 SMALL_GROUP_ROWS = 2_000_000
 #: Values of a group, over all columns, that exact aggregates may hold in one buffer (some 16 MB).
 SMALL_BUFFER_VALUES = 250_000
 
+#: Rows that a cell of a large group should hold.
+CELL_ROWS = 250_000
+
 _CELL, _SUB = "__cell", "__sub"
 
 
 def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``side`` only when it is seen to hold at most ``max_rows`` rows.
+    """Broadcast ``side`` only when it is seen to hold at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes.
 
     The rows fetched for the check are the rows sent, so the side is computed
     once. A larger side comes back as it is and is joined by a shuffle.
     """
     head = side.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > BROADCAST_BYTES:
         return side
     return F.broadcast(side.sparkSession.createDataFrame(head, side.schema))
 
@@ -52,6 +56,11 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def cells_for(rows: int) -> int:
+    """Cells that a group of so many rows is cut into: more for larger groups, up to what quantiles can place."""
+    return min(max(256, -(-rows // CELL_ROWS)), 8_192)
+
+
 _STEP = 16
 
 
@@ -122,7 +131,7 @@ def _whole(df: DataFrame, keys: list[str], order: list[str], outs: dict) -> Data
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str], outs: dict, cells: int = 256, small_group_rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], outs: dict, cells: int | None = None, small_group_rows: int | None = None
 ) -> DataFrame:
     """Running sums, minima and maxima from the start of each group up to each row.
 
@@ -131,20 +140,20 @@ def running(
     columns must be numbers or times. Rows with null keys form groups like any other.
     """
     limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
-    if largest_group(df, keys) <= limit:
+    if (largest := largest_group(df, keys)) <= limit:
         return _whole(df, keys, order, outs)
-    return _carry(with_cells(df, keys, order, cells), keys, order, outs)
+    return _carry(with_cells(df, keys, order, cells or cells_for(largest)), keys, order, outs)
 
 
 def ranked(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", cells: int = 256, small_group_rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", cells: int | None = None, small_group_rows: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its group (``row_number`` for groups of any size)."""
     return running(df, keys, order, {out: ("sum", F.lit(1))}, cells, small_group_rows)
 
 
 def following(
-    df: DataFrame, keys: list[str], order: list[str], column: str, out: str, cells: int = 256, small_group_rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], column: str, out: str, cells: int | None = None, small_group_rows: int | None = None
 ) -> DataFrame:
     """The next row's ``column`` in each group, null in the last row (``lead`` for groups of any size).
 
@@ -152,9 +161,9 @@ def following(
     the next cell, carried backwards over the per-cell firsts. No row meets another by a join.
     """
     limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
-    if largest_group(df, keys) <= limit:
+    if (largest := largest_group(df, keys)) <= limit:
         return df.withColumn(out, F.lead(column).over(Window.partitionBy(*keys).orderBy(*order)))
-    tagged = with_cells(df, keys, order, cells)
+    tagged = with_cells(df, keys, order, cells or cells_for(largest))
     cell_cols = [*keys, _CELL, _SUB]
     inside = Window.partitionBy(*cell_cols).orderBy(*order)
     firsts = tagged.groupBy(*cell_cols).agg(F.min(F.struct(*order, F.struct(column).alias("__v")))["__v"].alias("__first"))
@@ -166,13 +175,17 @@ def following(
 
 
 def hash_ranked(
-    df: DataFrame, keys: list[str], hash_col: str, tie: str, out: str = "rn", prefix: int = 3, small_group_rows: int | None = None
+    df: DataFrame, keys: list[str], hash_col: str, tie: str, out: str = "rn", prefix: int | None = None, small_group_rows: int | None = None
 ) -> DataFrame:
-    """Position by a hex digest. Digests are uniform, so their prefix is the cell."""
+    """Position by a hex digest. Digests are uniform, so their prefix, longer for larger groups, is the cell."""
     outs = {out: ("sum", F.lit(1))}
     limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
-    if largest_group(df, keys) <= limit:
+    if (largest := largest_group(df, keys)) <= limit:
         return _whole(df, keys, [hash_col, tie], outs)
+    if prefix is None:
+        prefix = 3
+        while CELL_ROWS * 16**prefix < largest:
+            prefix += 1
     tagged = df.withColumn(_CELL, F.substring(hash_col, 1, prefix)).withColumn(_SUB, F.lit(0))
     return _carry(tagged, keys, [hash_col, tie], outs)
 
