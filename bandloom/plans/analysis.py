@@ -260,7 +260,22 @@ def welch_t_test(s, d):
     return out.select("chain", r6("t").alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("welch_t_p_value")
+# The tail of the t distribution is an integral of a power of the cosine, summed by Simpson's rule.
+_STEPS = 20_000
+
+
+@query(
+    "welch_t_p_value",
+    V.sql(
+        f"""SELECT chain, round(sum(k * pow(greatest(cos(a + (pi() / 2 - a) * i / {_STEPS}.0), 0), df - 1)) * (pi() / 2 - a)
+          / (sum(k * pow(greatest(cos(pi() / 2 * i / {_STEPS}.0), 0), df - 1)) * (pi() / 2)), 6) AS p
+        FROM (SELECT chain, df, atan(abs(t) / sqrt(df)) AS a FROM w)
+        CROSS JOIN (SELECT range AS i, CASE WHEN range IN (0, {_STEPS}) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END AS k FROM range({_STEPS} + 1))
+        GROUP BY chain, a""",
+        "chains",
+        w=_WELCH,
+    ),
+)
 def welch_t_p_value(s, d):
     return C.welch_t(V.chains(s, d), ["chain"], "like1", "like2").select("chain", r6("p").alias("p"))
 
@@ -289,7 +304,29 @@ def running_best(s, d):
     return C.running_best(V.chains(s, d), ["chain"], "like1").select("chain", "idx", "best")
 
 
-@query("first_below_mean")
+# Critical value of t from that of the normal distribution, by powers of 1 / df.
+_Z = 3.2905267314919255
+_T = " + ".join(
+    f"{g!r} / pow(n - 1, {i})"
+    for i, g in enumerate(
+        [
+            _Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384,
+            (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160,
+        ]
+    )
+)
+
+
+@query(
+    "first_below_mean",
+    V.sql(
+        """SELECT chain, round(mean, 6) AS mean, round(upper, 6) AS upper, min(idx) FILTER (like1 < upper) AS first_run FROM chains JOIN u USING (chain)
+        GROUP BY chain, mean, upper""",
+        "chains",
+        u=f"""SELECT chain, mean, mean + ({_T}) * sd / sqrt(n) AS upper FROM
+          (SELECT chain, avg(like1) AS mean, stddev_samp(like1) AS sd, count(like1)::DOUBLE AS n FROM chains GROUP BY chain)""",
+    ),
+)
 def first_below_mean(s, d):
     return rounded(C.first_below_mean(V.chains(s, d), ["chain"], "like1"), "mean", "upper")
 
