@@ -15,10 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import WORD, WS, broadcast_within, text_of, words_of
+from bandloom.llm.common import WORD, broadcast_within, text_of, words_of
 from bandloom.session import stored
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Labels of 16 bytes that may be sent to every executor; more are joined by a shuffle.
@@ -31,13 +31,13 @@ STEP = 1e-4
 class Ratio:
     """Parameters of the likelihood ratio."""
 
-    buckets: int = 100_000
+    buckets: int = 20_000
     #: Labelled documents that the target and the threshold are fitted on: all, or so many by hash of their identifier.
     sample: int | None = None
     #: Share of the labelled good documents that the threshold may lose.
     loss: float = 0.001
     #: Parts of the labelled documents; each part is scored for the threshold with the target of the others.
-    folds: int = 4
+    folds: int = 8
     seed: int = 7
 
 
@@ -68,20 +68,15 @@ def window_hashes(h: Column, pairs: Column) -> Column:
     return _let(fours, lambda x: _joined(x, h, 4, F.size(h) - 4))
 
 
-def _covered(words: Column) -> Column:
-    """Words inside windows that occur twice or more, by the windows themselves."""
+def _covered(words: Column, windows: Column) -> Column:
+    """Words inside windows that occur twice or more: neighbours in the order of hashes whose words agree too."""
     window = WINDOW
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.struct(F.array_join(F.slice(words, i, window), " ").alias("g"), i.alias("i"))
-    )
-    twin = lambda s, k: (F.get(s, k - 1)["g"] == s[k]["g"]) | (F.get(s, k + 1)["g"] == s[k]["g"])
+    placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))
+    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (F.slice(words, a["i"], window) == F.slice(words, b["i"], window)), F.lit(False))
+    twin = lambda s, k: same(F.get(s, k - 1), s[k]) | same(F.get(s, k + 1), s[k])
     at = _let(
-        F.array_sort(grams),
-        lambda s: F.array_sort(
-            F.transform(
-                F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.coalesce(twin(s, k), F.lit(False))), lambda k: s[k]["i"]
-            )
-        ),
+        placed,
+        lambda s: F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: twin(s, k)), lambda k: s[k]["i"])),
     )
     # A window adds the words up to the next repeated window's start, at most its own length.
     gaps = lambda p: F.transform(p, lambda x, k: F.coalesce(F.least(F.get(p, k + 1) - x, F.lit(window)), F.lit(window)))
@@ -89,9 +84,13 @@ def _covered(words: Column) -> Column:
 
 
 def _repeated(words: Column, h: Column, pairs: Column) -> Column:
-    """Windows are compared by hash first; only a text in which two hashes agree has its windows compared as strings."""
-    again = _let(window_hashes(h, pairs), lambda x: F.size(F.array_distinct(x)) < F.size(x))
-    return F.when((F.size(words) > WINDOW) & again, _covered(words)).otherwise(0).cast("bigint")
+    """Windows are compared by hash first; only a text in which two hashes agree is looked at further."""
+
+    def count(x: Column) -> Column:
+        again = F.size(F.array_distinct(x)) < F.size(x)
+        return F.when(again, _covered(words, x)).otherwise(0).cast("bigint")
+
+    return _let(window_hashes(h, pairs), count)
 
 
 def repeated_words(words: Column) -> Column:
@@ -126,7 +125,7 @@ def measured(words: Column, weights: Column, buckets: int) -> Column:
             lambda h: _let(
                 pair_hashes(h),
                 lambda p: F.struct(
-                    F.size(w).cast("bigint").alias("n_words"), _repeated(w, h, p).alias("n_repeat_words"), _mean_ratio(h, p, weights, buckets).alias("llr")
+                    F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), _repeated(w, h, p).alias("n_repeat_words"), _mean_ratio(h, p, weights, buckets).alias("llr")
                 ),
             ),
         ),
@@ -199,8 +198,8 @@ def judge(
     out = docs.withColumn("__measured", measured(words_of(body), _constant(weights), ratio.buckets)).withColumns(
         {
             "n_words": m["n_words"],
-            "word_chars": F.length(F.translate(body, WS, "")).cast("bigint"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint"),
+            "word_chars": m["word_chars"],
+            "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint"),
             "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
             "n_repeat_words": m["n_repeat_words"],
             "base_failed": base_failed(m),
