@@ -37,7 +37,7 @@ class Ratio:
     #: Share of the labelled good documents that the threshold may lose.
     loss: float = 0.001
     #: Parts of the labelled documents; each part is scored for the threshold with the target of the others.
-    folds: int = 8
+    folds: int = 4
     seed: int = 7
 
 
