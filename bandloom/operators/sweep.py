@@ -27,6 +27,10 @@ from .scores import best_candidate, best_per_feature_count
 from .selection import MIN_WEIGHT, feature_sets, path_dedupe
 
 
+#: Predictions that a task holds at a time while it scores candidates.
+SCORE_VALUES = 1 << 19
+
+
 @dataclass(frozen=True)
 class Plan:
     """Settings of a sweep."""
@@ -245,18 +249,23 @@ def score_candidates(train: DataFrame, models: DataFrame, plan: Plan, block: int
         coef, lam = SparseModels(right.column("feats"), right.column("coef"), width), right.column("lam").to_numpy()
         icpt, split = right.column("intercept").to_numpy(), right.column("split").to_numpy()
         out = {role: np.zeros((n_models, len(sums))) for role in ("train", "val")}
+        # As many rows at a time as a block of models may predict, so that the many temporary arrays stay small.
+        step = max(1, SCORE_VALUES // block)
         for s in np.unique(split):
             at = np.flatnonzero(split == s)
             for lo in range(0, len(at), block):
                 idx = at[lo : lo + block]
-                pred = inverse_np(x @ coef.dense(idx).T + icpt[idx], float(lam[idx[0]]))
-                for role, mask in (("train", member[:, s]), ("val", ~member[:, s])):
-                    p, t = pred[mask], y[mask][:, None]
-                    ok = np.isfinite(p)
-                    e, tv = np.where(ok, p - t, 0.0), np.where(ok, t, 0.0)
-                    out[role][idx] = np.column_stack(
-                        [ok.sum(0), (~ok).sum(0), np.abs(e).sum(0), (e * e).sum(0), tv.sum(0), (tv * tv).sum(0)]
-                    )
+                weights = coef.dense(idx).T
+                for start in range(0, n_rows, step):
+                    part = slice(start, start + step)
+                    pred = inverse_np(x[part] @ weights + icpt[idx], float(lam[idx[0]]))
+                    for role, mask in (("train", member[part, s]), ("val", ~member[part, s])):
+                        p, t = pred[mask], y[part][mask][:, None]
+                        ok = np.isfinite(p)
+                        e, tv = np.where(ok, p - t, 0.0), np.where(ok, t, 0.0)
+                        out[role][idx] += np.column_stack(
+                            [ok.sum(0), (~ok).sum(0), np.abs(e).sum(0), (e * e).sum(0), tv.sum(0), (tv * tv).sum(0)]
+                        )
         tables = []
         for role, m in out.items():
             cols = [right.column(c) for c in (*keys, *rest)] + [pa.array([role] * n_models)] + [pa.array(m[:, i]) for i in range(len(sums))]

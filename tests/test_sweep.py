@@ -146,3 +146,24 @@ def test_sweep_end_to_end(data):
     assert (top.r2 > 0.7).all()
     used = models.filter("model = 'lasso'").toPandas()
     assert all(set(u) <= set(f) for u, f in zip(used.feats_used, used.feats))
+
+
+def test_scoring_holds_a_bounded_number_of_predictions(spark, monkeypatch):
+    back, most = W.inverse_np, 1 << 19
+
+    def checked(z, lam):
+        assert np.size(z) <= most
+        return back(z, lam)
+
+    monkeypatch.setattr(W, "inverse_np", checked)
+    plan = W.Plan(keys=("k",), width=2, row_id="id", n_splits=2, n_repeats=1)
+    rows = spark.range(5000).selectExpr("'a' AS k", "id", "array(id % 7D, id % 5D) AS x", "id % 11D AS y", "id % 2 AS fold_0")
+    models = spark.range(256).selectExpr(
+        "'a' AS k", "1L AS split", "1D AS alpha", "'lasso' AS model", "id AS cand", "1D AS lam", "id / 8D AS intercept", "array(0) AS feats", "array(0.5D) AS coef"
+    )
+    got = {(r.cand, r.role): r for r in W.score_candidates(rows, models, plan).collect()}
+    i = np.arange(5000)
+    for cand in (0, 200):
+        for role, at in (("val", i % 2 == 0), ("train", i % 2 == 1)):
+            e = (cand / 8 + 0.5 * (i % 7) - i % 11)[at]
+            assert got[cand, role].n == 2500 and np.isclose(got[cand, role].mae, np.abs(e).mean()) and np.isclose(got[cand, role].mse, (e * e).mean())
