@@ -84,10 +84,12 @@ class Trees:
 
     def nodes(self, tree: int, bins: np.ndarray, depth: int) -> np.ndarray:
         """The node of each row at ``depth``, 0 where its way ended before."""
+        flat, base = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        feature, cut = self.feature[tree].astype(np.int64), self.cut[tree]
         at = np.ones(len(bins), np.int64)
         for _ in range(depth):
-            f = self.feature[tree, at]
-            right = bins[np.arange(len(bins)), np.maximum(f, 0)] > self.cut[tree, at]
+            f = feature.take(at)
+            right = flat.take(base + np.maximum(f, 0)) > cut.take(at)
             at = np.where((f >= 0) & (at > 0), 2 * at + right, 0)
         return at
 
@@ -120,56 +122,95 @@ def _unpack(b: pa.RecordBatch, plan: Forest) -> tuple[np.ndarray, ...]:
 
 
 _HIST = "tree int, node int, hist binary"
-#: Bytes of histograms that a task holds before it sends them on.
-HELD = 64 << 20
+#: Bytes of histograms that a task sends on at a time.
+SENT = 8 << 20
+#: Rows that a task holds at a time; a row is ``width`` bytes and a few numbers.
+ROWS_HELD = 1 << 18
+#: Rows whose places in the histograms are worked out at a time.
+STEP = 1 << 14
+
+
+def _blocks(batches, plan: Forest):
+    """Group, keys, responses, folds and bins of up to about ``ROWS_HELD`` rows at a time, whatever the size of a batch."""
+    held: dict[int, list] = {}
+    size = 0
+
+    def blocks():
+        for g, parts in held.items():
+            yield g, *(np.concatenate(c) for c in zip(*parts))
+
+    for b in batches:
+        if not len(b):
+            continue
+        cols, groups = _unpack(b, plan), b.column(4).to_numpy()
+        for g in np.unique(groups).tolist():
+            mine = np.flatnonzero(groups == g)
+            held.setdefault(g, []).append([c[mine] for c in cols])
+        size += len(b)
+        if size >= ROWS_HELD:
+            yield from blocks()
+            held, size = {}, 0
+    yield from blocks()
+
+
+def _tree_histograms(trees: Trees, plan: Forest, tree: int, depth: int, key, y, folds, bins):
+    """``node, histogram`` of a tree's open nodes at ``depth`` that any of the rows is drawn for."""
+    # Nodes whose rows are too few or alike are not open.
+    opened = np.flatnonzero(trees.feature[tree] == -2) if depth else np.ones(1, np.int64)
+    if not len(opened):
+        return
+    _, r, f = plan.place(tree)
+    slot = np.full(trees.feature.shape[1], -1, np.int64)
+    slot[opened] = np.arange(len(opened))
+    feats = np.array([plan.features(tree, n) for n in opened.tolist()])
+    k, flat = feats.shape[1], bins.ravel()
+    cells = k * (plan.bins + 1)
+    first = np.arange(len(opened))[:, None] * cells + np.arange(k) * (plan.bins + 1)
+    weight, response = np.zeros(len(opened) * cells), np.zeros(len(opened) * cells)
+    squares, seen = np.zeros(len(opened)), np.zeros(len(opened), np.int64)
+    for lo in range(0, len(y), STEP):
+        at = lo + np.flatnonzero(folds[lo : lo + STEP, r] != f)
+        own = slot.take(trees.nodes(tree, bins[at], depth))
+        live = np.flatnonzero(own >= 0)
+        at, own = at[live], own[live]
+        w = plan.weights(key[at], tree)
+        live = np.flatnonzero(w > 0)
+        at, own, w = at[live], own[live], w[live]
+        z = w * y[at]
+        place = (first[own] + flat.take(at[:, None] * plan.width + feats[own])).ravel()
+        weight += np.bincount(place, np.repeat(w, k), len(weight))
+        response += np.bincount(place, np.repeat(z, k), len(weight))
+        squares += np.bincount(own, z * y[at], len(opened))
+        seen += np.bincount(own, minlength=len(opened))
+    weight, response = weight.reshape(-1, cells), response.reshape(-1, cells)
+    for i in np.flatnonzero(seen):
+        yield int(opened[i]), np.concatenate([weight[i], response[i], squares[i : i + 1]])
 
 
 def _histograms(rows: DataFrame, plan: Forest, grown, depth: int, n_groups: int) -> DataFrame:
-    """Histograms of the open nodes of one level, one partial per task and node."""
+    """Histograms of the open nodes of one level, one partial per block of rows and node.
 
-    def run(batches):
-        trees, held, size = grown.value, {}, 0
+    A task takes its rows through one tree after the other, so that it holds the
+    histograms of one tree and sends as many as there are nodes, whatever the number of rows.
+    """
 
-        def emit():
-            keys = list(held)
-            arrays = [pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array([held[k].tobytes() for k in keys], pa.binary())]
-            for lo in range(0, len(keys), 1_000):
-                yield pa.RecordBatch.from_arrays([a.slice(lo, 1_000) for a in arrays], names=["tree", "node", "hist"])
+    def emit(made):
+        arrays = [pa.array([m[i] for m in made], pa.int32()) for i in (0, 1)] + [pa.array([m[2].tobytes() for m in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["tree", "node", "hist"])
 
-        for b in batches:
-            if not len(b):
-                continue
-            key, y, folds, bins = _unpack(b, plan)
-            groups = b.column(4).to_numpy()
-            for g in np.unique(groups):
-                mine = np.flatnonzero(groups == g)
-                for tree in range(int(g), plan.size, n_groups):
-                    _, r, f = plan.place(tree)
-                    at = mine[folds[mine, r] != f]
-                    node = trees.nodes(tree, bins[at], depth)
-                    w = plan.weights(key[at], tree)
-                    if depth:  # nodes whose rows are too few or alike are not open
-                        node = np.where(trees.feature[tree, node] == -2, node, 0)
-                    live = np.flatnonzero((node > 0) & (w > 0))
-                    live = live[np.argsort(node[live], kind="stable")]
-                    own, starts = np.unique(node[live], return_index=True)
-                    for n, lo, hi in zip(own.tolist(), starts, [*starts[1:], len(live)]):
-                        i = live[lo:hi]
-                        feats = plan.features(tree, n)
-                        place = (bins[at[i]][:, feats].astype(np.int64) + np.arange(len(feats)) * (plan.bins + 1)).ravel()
-                        cells, weight = len(feats) * (plan.bins + 1), np.repeat(w[i], len(feats))
-                        response = weight * np.repeat(y[at[i]], len(feats))
-                        hist = np.concatenate([np.bincount(place, weight, cells), np.bincount(place, response, cells), [np.dot(w[i], y[at[i]] ** 2)]])
-                        if (tree, n) in held:
-                            held[tree, n] += hist
-                        else:
-                            held[tree, n] = hist
-                            size += hist.nbytes
-                if size >= HELD:
-                    yield from emit()
-                    held, size = {}, 0
-        if held:
-            yield from emit()
+    def run(batches):
+        trees = grown.value
+        for group, *cols in _blocks(batches, plan):
+            made, size = [], 0
+            for tree in range(int(group), plan.size, n_groups):
+                for node, hist in _tree_histograms(trees, plan, tree, depth, *cols):
+                    made.append((tree, node, hist))
+                    size += hist.nbytes
+                    if size >= SENT:
+                        yield emit(made)
+                        made, size = [], 0
+            if made:
+                yield emit(made)
 
     return rows.mapInArrow(run, _HIST)
 
@@ -217,12 +258,15 @@ def _splits(hists: DataFrame, plan: Forest) -> DataFrame:
 def grow(rows: DataFrame, plan: Forest) -> Trees:
     """All trees; a job per level. What comes to the driver is a row per open node.
 
-    With fewer partitions than cores the trees are dealt to several copies of the rows.
+    Rows are cut into as few parts as tasks can hold, because every part sends on
+    histograms of its own; with fewer parts than cores the trees are dealt to copies of the rows.
     """
     spark = rows.sparkSession
-    n_groups = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(rows.rdd.getNumPartitions(), 1)))
+    parts = max(1, -(-rows.count() // ROWS_HELD))
+    n_groups = min(plan.size, max(1, -(-2 * spark.sparkContext.defaultParallelism // parts)))
+    part = F.pmod(F.xxhash64("key", "y", "bins"), F.lit(parts)).cast("int")
     dealt = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    dealt = checkpointed(dealt.repartition(2 * spark.sparkContext.defaultParallelism, "group") if n_groups > 1 else dealt)
+    dealt = checkpointed(dealt.repartitionById(n_groups * parts, F.col("group") * parts + part))
     trees = Trees.empty(plan)
     for depth in range(plan.depth):
         sent = spark.sparkContext.broadcast(trees)
@@ -288,9 +332,10 @@ def forest_sweep(df: DataFrame, plan: Forest, row_id: str, x: str = "x", y: str
             kinds = [pa.int64()] * 3 + [pa.float64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=schema.names)
 
-    total = rows.mapInArrow(score, schema).groupBy("cand", "repeat", "fold").agg(*[F.sum(c).alias(c) for c in sums])
-    spread = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    spread = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # every row goes through all trees
+    total = spread.mapInArrow(score, schema).groupBy("cand", "repeat", "fold").agg(*[F.sum(c).alias(c) for c in sums])
+    around = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     return total.select(
         "cand", "repeat", "fold", F.col("n").cast("bigint").alias("n"), (F.col("sae") / F.col("n")).alias("mae"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
-        F.when(spread > 0, 1 - F.col("sse") / spread).alias("r2"),
+        F.when(around > 0, 1 - F.col("sse") / around).alias("r2"),
     )

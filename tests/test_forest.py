@@ -75,3 +75,21 @@ def test_missing_responses_and_one_valued_features(spark):
     plan = T.Forest(width=4, shares=(0.5,), min_split=(2,), trees=3, depth=3, n_splits=2, n_repeats=1)
     got = T.forest_sweep(df, plan, "id").collect()
     assert sum(r.n for r in got) == 80 - len(range(0, 80, 9))
+
+
+def test_trees_are_dealt_evenly_and_send_a_histogram_per_node(spark, monkeypatch):
+    x, y, fold = data(300, 4, 1)
+    plan = T.Forest(width=4, shares=(0.5,), min_split=(2,), trees=20, depth=2, n_splits=2, n_repeats=1)
+    dealt, sent, histograms = [], [], T._histograms
+
+    def watched(rows, *rest):
+        dealt.append(rows.groupBy(F.spark_partition_id().alias("p"), "group").count().collect())
+        sent.append(histograms(rows, *rest).groupBy("tree", "node").count().collect())
+        return histograms(rows, *rest)
+
+    monkeypatch.setattr(T, "_histograms", watched)
+    T.grow(T.binned(frame(spark, x, y, fold, 1), plan, "id"), plan)
+    groups = {r.group for r in dealt[0]}
+    # Every group of trees is a task of its own with all rows, and sends one histogram per node.
+    assert len(groups) > 1 and len({r.p for r in dealt[0]}) == len(dealt[0]) == len(groups) and all(r["count"] == 300 for r in dealt[0])
+    assert len(sent[0]) == plan.size and all(r["count"] == 1 for level in sent for r in level)
