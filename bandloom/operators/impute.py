@@ -79,32 +79,111 @@ def _distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
         return np.where(joint > 0, np.maximum(out, 0) * q.shape[1] / joint, np.inf)
 
 
-def _nearest(q, q_ids, d, d_ids, k, chunk=512):
-    """k nearest donors of every missing value: rows (query, feature, distance, donor, value)."""
-    out = []
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, each added up by itself: equal donors are equally far."""
+    gap = a - b
+    here = ~np.isnan(gap)
+    joint = here.sum(axis=1)
+    total = (np.where(here, gap, 0.0) ** 2).sum(axis=1)
+    return np.where(joint > 0, total * a.shape[1] / np.maximum(joint, 1), np.inf)
+
+
+def _closest(q, q_ids, d, d_ids, i, j, dist, k) -> tuple:
+    """k nearest donors of every missing value among the pairs ``i, j``, as columns."""
+    use = np.isfinite(dist) & (q_ids[i] != d_ids[j])
+    i, j, dist = i[use], j[use], dist[use]
+    pair, f = np.nonzero(np.isnan(q[i]) & ~np.isnan(d[j]))
+    i, j, dist = i[pair], j[pair], dist[pair]
+    order = np.lexsort((d_ids[j], dist, f, i))
+    i, j, f, dist = i[order], j[order], f[order], dist[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (f[1:] != f[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+    top = np.arange(len(i)) - first < k
+    i, j, f, dist = i[top], j[top], f[top], dist[top]
+    return q_ids[i], f, dist, d_ids[j], d[j, f]
+
+
+def _together(found: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 5
+
+
+def _nearest(q, q_ids, d, d_ids, k):
+    """k nearest donors of every missing value: columns (query, feature, distance, donor, value)."""
+    out, k_at, chunk = [], min(k, len(d)) - 1, max(16, (1 << 19) // max(len(d), 1))
+    absent = np.isnan(d)
     for lo in range(0, len(q), chunk):
         part, ids = q[lo : lo + chunk], q_ids[lo : lo + chunk]
         dist = _distances(part, d)
         dist[ids[:, None] == d_ids[None, :]] = np.inf
-        for i, f in zip(*np.nonzero(np.isnan(part))):
-            row = np.where(np.isnan(d[:, f]), np.inf, dist[i])
-            take = min(k, len(row))
-            kth = np.partition(row, take - 1)[take - 1]
-            best = np.flatnonzero(row <= kth)
-            best = best[np.lexsort((d_ids[best], row[best]))][:k]
-            out += [(ids[i], f, row[j], d_ids[j], d[j, f]) for j in best if np.isfinite(row[j])]
-    return out
+        row, f = np.nonzero(np.isnan(part))
+        for at in range(0, len(row), chunk):
+            r, g = row[at : at + chunk], f[at : at + chunk]
+            mine = np.where(absent[:, g].T, np.inf, dist[r])
+            # A little more than the k-th distance: pairs are measured again one by one.
+            kth = np.partition(mine, k_at, axis=1)[:, k_at]
+            big = np.nanmax(np.abs(part[r]), axis=1, initial=0.0) ** 2 * q.shape[1]
+            pair, j = np.nonzero(mine <= (kth * (1 + 1e-9) + 1e-9 * big)[:, None])
+            lone = np.full((len(r), q.shape[1]), 0.0)
+            lone[np.arange(len(r)), g] = np.nan
+            for start in range(0, len(pair), PAIRS):
+                p, c = pair[start : start + PAIRS], j[start : start + PAIRS]
+                out.append(_closest(lone, ids[r], d, d_ids, p, c, _exact(part[r[p]], d[c]), k))
+    return _together(out)
+
+
+#: Pairs of rows that are measured one by one at a time.
+PAIRS = 1 << 16
+#: Neighbouring blocks that a row visits in one go.
+TILE = 16
+
+
+def _within(q, q_ids, home, reach, d, d_ids, block, k, rows=512, donors=2048):
+    """k nearest donors of every missing value among those within ``reach`` and outside a row's own block.
+
+    Sums of squares come first, for all pairs at once and in single precision; a pair
+    that may be within reach is then measured by itself.
+    """
+    out, width = [], q.shape[1]
+    mid = np.nanmean(np.concatenate([d, np.zeros((1, width))]), axis=0)
+    a, b = np.nan_to_num(q - mid), np.nan_to_num(d - mid)
+    no_a, no_b = np.isnan(q), np.isnan(d)
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    # Over features that both rows have: |a|^2 + |b|^2 - 2ab, less what only one of them has.
+    left = np.column_stack([-2 * a, -(a * a), -no_a.astype(float), aa, np.ones(len(a))]).astype(np.float32)
+    right = np.column_stack([b, no_b, b * b, np.ones(len(b)), bb]).astype(np.float32).T
+    most = bb.max(initial=0.0)
+    limit = (reach * (1 + 1e-6) * (width - no_a.sum(axis=1)) / width + 1e-4 * (aa + most)).astype(np.float32)
+    for lo in range(0, len(q), rows):
+        for start in range(0, len(d), donors):
+            part = slice(start, start + donors)
+            i, j = np.nonzero(left[lo : lo + rows] @ right[:, part] <= limit[lo : lo + rows, None])
+            i, j = i + lo, j + start
+            other = home[i] != block[j]
+            i, j, near = i[other], j[other], []
+            for at in range(0, len(i), PAIRS):
+                p, c = i[at : at + PAIRS], j[at : at + PAIRS]
+                dist = _exact(q[p], d[c])
+                use = dist <= reach[p] * (1 + 1e-9)
+                near.append((p[use], c[use], dist[use]))
+            if near:
+                p, c, dist = (np.concatenate(v) for v in zip(*near))
+                out.append(_closest(q, q_ids, d, d_ids, p, c, dist, k))
+    return _together(out)
 
 
 def _reached(row: np.ndarray, reach: float, lo: np.ndarray, hi: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     """Boxes that may hold a donor of ``row`` within ``reach``."""
     here = ~np.isnan(row)
     gap = np.maximum(np.maximum(lo[:, here] - row[here], row[here] - hi[:, here]), 0.0)
-    gap = np.sort(np.where(np.isfinite(gap), gap, 0.0) ** 2, axis=1)
+    gap = np.where(np.isfinite(gap), gap, 0.0) ** 2
+    near = gap.sum(axis=1) <= reach * (1 + 1e-9)
+    far = np.flatnonzero(~near)
     # A donor may miss up to ``gaps`` features: the largest gaps may not count.
+    gap = np.sort(gap[far], axis=1)
     cum = np.concatenate([np.zeros((len(gap), 1)), np.cumsum(gap, axis=1)], axis=1)
-    low = cum[np.arange(len(gap)), np.maximum(gap.shape[1] - gaps, 0)]
-    return np.flatnonzero(low <= reach * (1 + 1e-9))
+    near[far] = cum[np.arange(len(gap)), np.maximum(gap.shape[1] - gaps[far], 0)] <= reach * (1 + 1e-9)
+    return np.flatnonzero(near)
 
 
 _GUEST = "node bigint, id bigint, x array<double>, reach double, home bigint"
@@ -153,8 +232,7 @@ def _inside(guests: DataFrame, level: DataFrame, width: int, visit_rows: int) ->
 _FOUND = "id bigint, feature bigint, dist double, donor bigint, value double"
 
 
-def _found_table(rows) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * 5
+def _found_table(cols) -> pa.Table:
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
     return pa.table([pa.array(np.asarray(c, dtype=t.to_pandas_dtype()), t) for c, t in zip(cols, kinds)], names=["id", "feature", "dist", "donor", "value"])
 
@@ -180,7 +258,7 @@ def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2,
 
     def own(table: pa.Table) -> pa.Table:
         m, ids = list_matrix(table.column("x"), width), table.column("id").to_numpy()
-        hits = _nearest(m, ids, m, ids, k)
+        hits = list(zip(*_nearest(m, ids, m, ids, k)))
         by: dict[int, list] = {}
         for h in hits:
             by.setdefault(int(h[0]), []).append(h)
@@ -213,6 +291,8 @@ def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2,
     while n_top > TOP_BOXES:
         levels.append(checkpointed(_coarser(levels[-1], width)))
         n_top = levels[-1].count()
+    # A row is sent once to neighbouring blocks that it may need; one level of boxes tells them all.
+    tile, one_level = (TILE, True) if len(levels) == 1 else (1, False)
     top = levels[-1].select("node", "lo", "hi", "gaps").toArrow()  # at most TOP_BOXES rows
     ids_t, gaps_t = top.column("node").to_numpy(), top.column("gaps").to_numpy()
     lo_t, hi_t = list_matrix(top.column("lo"), width), list_matrix(top.column("hi"), width)
@@ -222,9 +302,11 @@ def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2,
         for b in batches:
             if not b.num_rows:
                 continue
-            m, reach = list_matrix(b.column(2), width), b.column(3).to_numpy()
+            m, reach, home = list_matrix(b.column(2), width), b.column(3).to_numpy(), b.column(0).to_numpy()
             for i in np.flatnonzero(reach >= 0):
                 go = ids_t[_reached(m[i], reach[i], lo_t, hi_t, gaps_t)]
+                if one_level:
+                    go = np.unique(go[go != home[i]] // tile)
                 if len(go):
                     take = pa.array(np.full(len(go), i))
                     yield pa.RecordBatch.from_arrays([pa.array(go), *(b.column(c).take(take) for c in (1, 2, 3, 0))], names=names)
@@ -237,13 +319,20 @@ def impute_knn(df: DataFrame, width: int, id_col: str, x: str = "x", k: int = 2,
 
         def meet(q: pa.Table, d: pa.Table) -> pa.Table:
             if not q.num_rows or not d.num_rows:
-                return _found_table([])
-            hits = _nearest(
-                list_matrix(q.column("x"), width), q.column("id").to_numpy(), list_matrix(d.column("x"), width), d.column("id").to_numpy(), k
-            )
-            return _found_table(hits)
-
-        left, right = _dealt(guests.filter("node <> home"), rows.withColumnRenamed("block", "node"), visit_rows)
+                return _found_table([[]] * 5)
+            (qx, dx), (q_ids, d_ids) = (list_matrix(t.column("x"), width) for t in (q, d)), (t.column("id").to_numpy() for t in (q, d))
+            reach, home, block = q.column("reach").to_numpy(), q.column("home").to_numpy(), d.column("block").to_numpy()
+            # Single precision holds squares up to 1e38; a row without a bound looks at all donors of the other blocks.
+            sure = np.isfinite(reach) & (max(np.nanmax(np.abs(qx), initial=0.0), np.nanmax(np.abs(dx), initial=0.0)) < 1e15)
+            found = [_within(qx[sure], q_ids[sure], home[sure], reach[sure], dx, d_ids, block, k)] if sure.any() else []
+            for h in np.unique(home[~sure]):
+                mine, away = ~sure & (home == h), block != h
+                if away.any():
+                    found.append(_nearest(qx[mine], q_ids[mine], dx[away], d_ids[away], k))
+            return _found_table(_together(found))
+
+        blocks = rows.select(F.floor(F.col("block") / tile).alias("node"), "block", "id", "x")
+        left, right = _dealt(guests if one_level else guests.filter("node <> home"), blocks, visit_rows)
         found = found.unionByName(left.cogroup(right).applyInArrow(meet, _FOUND))
     nearest = F.row_number().over(Window.partitionBy("id", "feature").orderBy("dist", "donor"))
     values = found.withColumn("rn", nearest).filter(F.col("rn") <= k).groupBy("id", "feature").agg(F.avg("value").alias("value"))

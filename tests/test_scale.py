@@ -177,6 +177,24 @@ def test_neighbours_are_found_through_levels_of_boxes(spark, monkeypatch):
     assert deep.keys() == flat.keys() and all(np.allclose(deep[i], flat[i]) for i in deep)
 
 
+def test_a_row_is_sent_once_to_neighbouring_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n, p = 320, 6
+    x = rng.normal(size=(n, p))
+    x[:, 5] += 3 * np.arange(n) / n
+    x[rng.random((n, p)) < 0.06] = np.nan
+    x[np.nansum(x, axis=1) < 1, 4] = np.nan  # many blocks without a single donor
+    x[:, 0] = np.where(np.isnan(x[:, 0]), 1.0, x[:, 0])
+    df = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(4)
+    sent, dealt = [], impute._dealt
+    monkeypatch.setattr(impute, "_dealt", lambda guests, *rest: sent.append(guests.count()) or dealt(guests, *rest))
+    many = {r.id: r.x for r in impute.impute_knn(df, p, "id", block_rows=10, visit_rows=50).collect()}
+    # 32 blocks lie in two tiles, so that a row travels twice at most.
+    assert 0 < sum(sent) <= 2 * n
+    one = {r.id: r.x for r in impute.impute_knn(df, p, "id").collect()}
+    assert many.keys() == one.keys() and all(np.allclose(many[i], one[i]) for i in one)
+
+
 @pytest.mark.parametrize("small", [10**9, 0])
 def test_percentiles_and_moments_in_one_pass(spark, small):
     rng = np.random.default_rng(3)
