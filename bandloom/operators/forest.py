@@ -180,8 +180,12 @@ def _tree_histograms(trees: Trees, plan: Forest, tree: int, depth: int, key, y,
         place = (first[own] + flat.take(at[:, None] * plan.width + feats[own])).ravel()
         weight += np.bincount(place, np.repeat(w, k), len(weight))
         response += np.bincount(place, np.repeat(z, k), len(weight))
-        squares += np.bincount(own, z * y[at], len(opened))
-        seen += np.bincount(own, minlength=len(opened))
+        order = np.argsort(own, kind="stable")
+        here, starts = np.unique(own[order], return_index=True)
+        for n, start, end in zip(here.tolist(), starts, [*starts[1:], len(order)]):
+            i = order[start:end]
+            squares[n] += np.dot(w[i], y[at[i]] ** 2)
+            seen[n] += len(i)
     weight, response = weight.reshape(-1, cells), response.reshape(-1, cells)
     for i in np.flatnonzero(seen):
         yield int(opened[i]), np.concatenate([weight[i], response[i], squares[i : i + 1]])
