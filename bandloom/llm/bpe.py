@@ -77,21 +77,21 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.accept, self.depth, self.inner = [-1], [0], [True]  # per node: token, length, whether it goes on
-        # Fragments at a token's ends while it was merged, latest first: (bytes, rank at which it arose).
-        self.left: dict[int, list[tuple[bytes, int]]] = {}
-        self.right: dict[int, list[tuple[bytes, int]]] = {}
+        # The token at each end of a token that its last merge joined: the fragments there while it was merged, latest
+        # first, each arising at its own rank. A single byte has none; a token that no merges lead to is absent.
+        self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
             if len(token) == 1:
-                self.left[rank] = self.right[rank] = [(token, -1)]
+                self.left[rank] = self.right[rank] = -1
             else:
                 parts = greedy_merge(token, ranks, 2)
                 if len(parts) != 2 or any(ranks[x] not in self.left for x in parts):
-                    continue  # no merges lead to it: it only stands for a whole piece
+                    continue  # it only stands for a whole piece
                 a, b = (ranks[x] for x in parts)
-                if max(self.left[a][0][1], self.right[b][0][1]) > rank:
+                if (self.left[a] >= 0 and a > rank) or (self.right[b] >= 0 and b > rank):
                     raise ValueError(f"rank {rank} comes before its parts")
-                self.left[rank] = [(token, rank), *self.left[a]]
-                self.right[rank] = [(token, rank), *self.right[b]]
+                self.left[rank], self.right[rank] = a, b
             node = ROOT
             for b in token:
                 at = node << 8 | b
@@ -123,20 +123,20 @@ class Transducer:
         Going back in time, the two fragments at the border must never have been
         mergeable before one of them grew. On equal ranks the left place is first.
         """
-        xs, ys, i, j = self.right[a], self.left[b], 0, 0
+        right, left, bytes_of = self.right, self.left, self.bytes_of
         until, from_left, rank_of = 1 << 60, True, self.ranks.get
         while True:
-            (x, arose_x), (y, arose_y) = xs[i], ys[j]
-            r = rank_of(x + y)
+            in_a, in_b = right[a], left[b]
+            r = rank_of(bytes_of[a] + bytes_of[b])
             if r is not None and (r < until or (r == until and not from_left)):
                 return False
-            if arose_x < 0 and arose_y < 0:
+            if in_a < 0 and in_b < 0:
                 return True
-            from_left = arose_x > arose_y
+            from_left = in_b < 0 or (in_a >= 0 and a > b)
             if from_left:
-                until, i = arose_x, i + 1
+                until, a = a, in_a
             else:
-                until, j = arose_y, j + 1
+                until, b = b, in_b
 
     def _step(self, state: int, byte: int) -> int:
         child, accept, inner, fits, last, live = self.child, self.accept, self.inner, self.fits, -1, []

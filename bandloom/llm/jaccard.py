@@ -61,8 +61,10 @@ class Join:
 
 
 class _Words(dict):
+    """Hashes of words met before; dropped when there are many, as they only save time."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bandloom.llm import bpe, exact, jaccard, mixing, quality
-from bandloom.session import stored
+from bandloom.session import small_batches, stored
 
 
 #: Smaller than the operator's own: executors also hold what the stages before left in memory.
-LIMITS = bpe.Limits(states=100_000, pairs=150_000, pieces=150_000)
+LIMITS = bpe.Limits(states=75_000, pairs=100_000, pieces=100_000)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest identifier of each component of documents that share 80% of their 5-word shingles."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, jaccard.Join(words=5, least=80, of=100))
 
 
@@ -35,6 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` (packed little-endian unsigned 32-bit) and whether the ids decode to the text."""
+    small_batches(spark)
     ranks = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded", limits=LIMITS, keep=False)
     return tokens.selectExpr("doc_id", "lang", "source", "n_tokens", "ids", "decoded = coalesce(text, '') AS round_trip")

@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -53,3 +54,12 @@ def test_stream_decodes_any_cut(data, cuts):
         assert len(stream.open) <= 3
         at += n
     assert out + stream.finish() == data.decode("utf-8", "replace")
+
+
+def test_a_token_of_many_merges_is_kept_once():
+    data = bytes(range(256))
+    ranks = {data[i : i + 1]: i for i in range(256)} | {data[:n]: 254 + n for n in range(2, 257)}
+    made = bpe.Transducer(ranks)
+    assert sum(sys.getsizeof(x) for ends in (made.left, made.right) for x in ends.values()) < 100 * len(ranks)
+    for piece in (data + data[:3], data[5:] + data[:200], data[:7] * 3):
+        assert made.encode(piece) == [ranks[x] for x in bpe.greedy_merge(piece, ranks)]

@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -60,3 +61,18 @@ def test_empty_input(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("name", ["near_dedup", "tokenise"])
+def test_batches_of_long_rows_are_small(spark, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = table(spark, [(i, f"{i} " * 10_000) for i in range(100, 400)]).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "rows"])
+
+    dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    seen = docs.select("text").mapInArrow(sizes, "size bigint, rows bigint").collect()
+    assert sum(r.rows for r in seen) == 300
+    assert max(r["size"] for r in seen) < 5 << 20
